@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memloom.catalog import query
 from memloom.operators import edges as ed
 from memloom.operators import nodes as nd
+from memloom.session import cut_lineage
 from memloom.sources import tables as tb
 from memloom.sources.tables import NODES_SQL, jaccard_sql, term_set_sql
 
@@ -42,9 +43,21 @@ edges AS (SELECT conv_id, src, dst, relation, confidence FROM e_support UNION AL
 """
 
 
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def stored(spark, d, name, build):
+    """A table built once per application and folder and kept as a checkpoint, like a written table."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build())
+    return _STORED[key]
+
+
 def graph(spark, d):
-    nodes = tb.nodes(spark, d)
-    return nodes, ed.build_edges(nodes)
+    """Node and edge tables of the dialogues, built once and reused by every query over them."""
+    nodes = stored(spark, d, "nodes", lambda: tb.nodes(spark, d))
+    return nodes, stored(spark, d, "edges", lambda: ed.build_edges(nodes))
 
 
 def split(nodes):
