@@ -53,8 +53,8 @@ def _(spark, d):
 
 
 @query("relative_expression_T03", "WITH " + MENTION_SQL + f""", r AS (SELECT *, CASE k WHEN 0 THEN mentioned WHEN 1 THEN mentioned - to_days(1) WHEN 2 THEN mentioned - to_days(2) WHEN 3 THEN mentioned - to_days(n::INTEGER) WHEN 4 THEN mentioned - to_days((7 * n)::INTEGER)
-  WHEN 5 THEN mentioned - to_months(n::INTEGER) WHEN 6 THEN mentioned - to_years(n::INTEGER) WHEN 7 THEN mentioned - to_months(1) WHEN 8 THEN mentioned - to_days(14) END AS at FROM m)
-SELECT id, {iso_sql('at')} AS at, CASE WHEN k <= 8 THEN 'exact' WHEN k IN (9, 11) THEN 'ambiguous' WHEN k = 12 THEN 'unknown' ELSE 'symbolic' END AS status FROM r""")
+  WHEN 5 THEN mentioned - to_months(n::INTEGER) WHEN 6 THEN mentioned - to_years(n::INTEGER) WHEN 7 THEN mentioned - to_months(1) WHEN 8 THEN mentioned - to_days(14) END AS att FROM m)
+SELECT id, {iso_sql('att')} AS "at", CASE WHEN k <= 8 THEN 'exact' WHEN k IN (9, 11) THEN 'ambiguous' WHEN k = 12 THEN 'unknown' ELSE 'symbolic' END AS status FROM r""")
 def _(spark, d):
     n = F.col("n").cast("string")
     texts = ["today", "Yesterday", "the day before yesterday", F.concat(n, F.lit(" days ago")), F.concat("w", F.lit(" weeks ago")), F.concat("w", F.lit(" months ago")),
@@ -85,8 +85,8 @@ def _(spark, d):
 BIND_SQL = f""", b AS (SELECT *, CASE k WHEN 0 THEN mentioned WHEN 1 THEN mentioned WHEN 2 THEN mentioned - to_days(1) WHEN 3 THEN mentioned - to_days((7 * n)::INTEGER) WHEN 4 THEN mentioned - to_months(n::INTEGER) WHEN 5 THEN mentioned - to_days(7)
  WHEN 6 THEN make_timestamp(year(mentioned) - 1, 7, 1, 0, 0, 0) WHEN 7 THEN mentioned - to_years(3) WHEN 8 THEN make_date(year(mentioned), (n + 1)::INTEGER, (n * 2)::INTEGER) + (mentioned - date_trunc('day', mentioned))
  WHEN 9 THEN make_date(year(mentioned), 3, n::INTEGER) + (mentioned - date_trunc('day', mentioned)) WHEN 10 THEN make_date(year(mentioned), 10, (n + 10)::INTEGER) + (mentioned - date_trunc('day', mentioned))
- WHEN 11 THEN make_timestamp(CASE WHEN month(mentioned) > 1 THEN year(mentioned) ELSE year(mentioned) - 1 END, 1, 1, 0, 0, 0) END AS at FROM m)
-SELECT id, {iso_sql('at')} AS at, ['day','approximate_recent','day','week','approximate','week','season','coarse_multi_year','day','day','day','month','unknown','unknown'][k + 1] AS precision,
+ WHEN 11 THEN make_timestamp(CASE WHEN month(mentioned) > 1 THEN year(mentioned) ELSE year(mentioned) - 1 END, 1, 1, 0, 0, 0) END AS att FROM m)
+SELECT id, {iso_sql('att')} AS "at", ['day','approximate_recent','day','week','approximate','week','season','coarse_multi_year','day','day','day','month','unknown','unknown'][k + 1] AS precision,
  CASE WHEN k IN (3, 4) THEN n END AS duration_value FROM b"""
 
 
@@ -153,7 +153,7 @@ def _plan_questions(spark, d):
     text = _pick([
         F.concat(F.lit("How many days passed between "), a, F.lit(" and "), b, F.lit("?")), F.concat(F.lit("How many weeks ago did I start "), a, F.lit("?")),
         F.concat(F.lit("Which happened first, "), a, F.lit(" or "), b, F.lit("?")), F.concat(F.lit("When did I finish "), a, F.lit("?")), F.concat(F.lit("How long did I "), a, F.lit(" before I "), b, F.lit("?")),
-        F.concat(F.lit("What color is "), a, F.lit("?")), F.concat(F.lit("List the order: "), a, F.lit(", "), b, F.lit(", and walking home?")), F.concat(F.lit("When is "), a, F.lit(" as of now?"))], k)
+        F.concat(F.lit("What color is "), a, F.lit("?")), F.concat(F.lit("List in chronological order: "), a, F.lit(", "), b, F.lit(", and walking home?")), F.concat(F.lit("When is "), a, F.lit(" as of now?"))], k)
     return o.select(key.alias("question_id"), text.alias("question"))
 
 
@@ -299,8 +299,8 @@ def _(spark, d):
 
 
 @query("state_at_time_T18", "WITH " + STATE_SQL + """,
-ask AS (SELECT event_id AS ask_id, 'user' || user_id AS entity, event_type AS attribute, ts + to_hours(30) AS at FROM events),
-hit AS (SELECT ask_id, sv.state_id, sv.value, row_number() OVER (PARTITION BY ask_id ORDER BY valid_from DESC, state_id DESC) AS r FROM ask JOIN sv ON sv.entity = ask.entity AND sv.attribute = ask.attribute AND confidence >= 0.8 AND valid_from <= at AND (valid_to IS NULL OR at < valid_to))
+ask AS (SELECT event_id AS ask_id, 'user' || user_id AS entity, event_type AS attribute, ts + to_hours(30) AS att FROM events),
+hit AS (SELECT ask_id, sv.state_id, sv.value, row_number() OVER (PARTITION BY ask_id ORDER BY valid_from DESC, state_id DESC) AS r FROM ask JOIN sv ON sv.entity = ask.entity AND sv.attribute = ask.attribute AND confidence >= 0.8 AND valid_from <= att AND (valid_to IS NULL OR att < valid_to))
 SELECT ask.ask_id, hit.state_id, hit.value FROM ask LEFT JOIN hit ON hit.ask_id = ask.ask_id AND r = 1""")
 def _(spark, d):
     e = tb.table(spark, d, "events")
@@ -352,7 +352,7 @@ def _(spark, d):
     return tp.supplement(roles, candidates.filter("role_no = 1"), roles).select("question_id", "role_no", "source")
 
 
-@query("closure_consistency_T21", "WITH " + CLOSE_SQL + """, cf AS (SELECT clo.q, count(*) AS c FROM clo JOIN clo b ON b.q = clo.q AND b.u = clo.u + 2 WHERE clo.u % 2 = 1 GROUP BY clo.q)
+@query("closure_consistency_T21", "WITH " + CLOSE_SQL + """, cf AS (SELECT clo.q, count(*) AS c FROM clo JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = clo.q AND l_linenumber = clo.u JOIN clo b ON b.q = clo.q AND b.u = clo.u + 2 WHERE clo.u % 2 = 1 GROUP BY clo.q)
 SELECT DISTINCT clo.q AS question_id, coalesce(c, 0) AS conflicts, c IS NULL AS consistent FROM clo LEFT JOIN cf ON cf.q = clo.q""")
 def _(spark, d):
     c = _closure(spark, d)
@@ -581,3 +581,74 @@ def _chain(spark, d):
     return times.distinct(), links.join(have, ["question_id", "anchor_event_id"], "left_semi").withColumn("anchor_event_id", F.col("anchor_event_id").cast("string")).withColumn("event_id", F.col("event_id").cast("string"))
 
 
+@query("constraint_propagation_T36")
+def _(spark, d):
+    times, links = _chain(spark, d)
+    known, _ = tp.propagate(times.withColumn("event_id", F.col("event_id").cast("string")), links)
+    return known.select("question_id", "event_id", tm.iso(F.col("at")).alias("at"))
+
+
+@query("one_way_propagation_T36", """
+WITH ln AS (SELECT DISTINCT l_orderkey AS q, l_linenumber AS n FROM lineitem), gp AS (SELECT *, n - row_number() OVER (PARTITION BY q ORDER BY n) AS g FROM ln), st AS (SELECT q, g, min(n) AS f FROM gp GROUP BY ALL),
+t0 AS (SELECT l_orderkey AS q, l_linenumber AS n, min(l_shipdate) AS t FROM lineitem GROUP BY ALL), fm AS (SELECT q, min(n) AS n FROM ln GROUP BY q)
+SELECT gp.q AS question_id, gp.n::VARCHAR AS event_id, strftime(t0.t + to_days(((gp.n * (gp.n + 1) - st.f * (st.f + 1)) // 2)::INTEGER), '%Y-%m-%d %H:%M:%S') AS "at"
+FROM gp JOIN st ON st.q = gp.q AND st.g = gp.g JOIN fm ON fm.q = gp.q AND fm.n = st.f JOIN t0 ON t0.q = gp.q AND t0.n = fm.n""")
+def _(spark, d):
+    times, links = _chain(spark, d)
+    first = times.groupBy("question_id").agg(F.min_by(F.struct("event_id", "at"), "event_id").alias("f")).select("question_id", F.col("f.event_id").cast("string").alias("event_id"), "f.at")
+    known, _ = tp.propagate(first, links, 8)
+    return known.select("question_id", "event_id", tm.iso(F.col("at")).alias("at"))
+
+
+@query("enriched_candidates_T37")
+def _(spark, d):
+    times, links = _chain(spark, d)
+    known, conflicts = tp.propagate(times.withColumn("event_id", F.col("event_id").cast("string")), links)
+    ops = _order_operands(spark, d).withColumn("event_id", F.col("operand_no").cast("string")).withColumn("occurred", F.lit(None).cast("timestamp_ntz"))
+    ops = ops.withColumn("start_at", F.lit(None).cast("timestamp_ntz")).withColumn("end_at", F.lit(None).cast("timestamp_ntz"))
+    return tp.enriched_candidates(ops, known, conflicts, _asked(spark, d))
+
+
+@query("answer_routing_T38", """SELECT doc_id AS question_id, CASE WHEN doc_id % 3 = 0 THEN 'v' || doc_id ELSE 'b' || doc_id END AS final_prediction, CASE WHEN doc_id % 3 = 0 THEN toxic = 1 ELSE quality = 1 END AS final_correct,
+ CASE WHEN doc_id % 3 = 0 THEN 'verified' ELSE 'baseline' END AS final_source, CASE WHEN doc_id % 3 = 0 AND quality = 0 AND toxic = 1 THEN 'fix' WHEN doc_id % 3 = 0 AND quality = 1 AND toxic = 0 THEN 'break' ELSE 'unchanged' END AS comparison FROM labels""")
+def _(spark, d):
+    l = tb.table(spark, d, "labels").withColumnRenamed("doc_id", "question_id")
+    key = F.col("question_id").cast("string")
+    baseline = l.select("question_id", F.concat(F.lit("b"), key).alias("prediction"), (F.col("quality") == 1).alias("correct"))
+    verified = l.filter("question_id % 3 = 0").select("question_id", F.concat(F.lit("v"), key).alias("prediction"), (F.col("toxic") == 1).alias("correct"), F.lit("verified").alias("source"))
+    return tp.route_answers(baseline, verified)
+
+
+@query("subset_selection_T39", """SELECT doc_id AS question_id, 'newly_safe' AS subset FROM labels WHERE quality = 1 AND toxic = 0 UNION ALL SELECT doc_id, 'covered_not_safe' FROM labels WHERE toxic = 1 AND quality = 0""")
+def _(spark, d):
+    l = tb.table(spark, d, "labels").select(F.col("doc_id").alias("question_id"), (F.col("quality") == 1).alias("safe"), (F.col("toxic") == 1).alias("full_coverage"))
+    previous = l.select("question_id", F.col("full_coverage").alias("safe"))
+    a = tp.newly_safe(l, previous).select("question_id", F.lit("newly_safe").alias("subset"))
+    return a.unionByName(tp.covered_not_safe(l).select("question_id", F.lit("covered_not_safe").alias("subset")))
+
+
+@query("sample_per_type_T39", """WITH x AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || '|7'), event_id) AS r FROM events WHERE event_type <> 'error') SELECT event_id AS question_id, event_type AS question_type FROM x WHERE r <= 20""")
+def _(spark, d):
+    e = tb.table(spark, d, "events").select(F.col("event_id").alias("question_id"), F.col("event_type").alias("question_type"))
+    return tp.sample_per_type(e, 20, 7, "error").select("question_id", "question_type")
+
+
+@query("latest_conversation_time_T40", "WITH " + tb.TURNS_SQL + "z AS (SELECT 1) SELECT conv_id, max(ts) AS latest FROM turns GROUP BY conv_id")
+def _(spark, d):
+    return tp.latest_time(tb.turns(spark, d)).select("conv_id", tm.iso(F.col("latest")).alias("latest"))
+
+
+@query("temporal_packet_T41")
+def _(spark, d):
+    roles, records = _matching(spark, d)
+    rows = tp.packet_rows(tp.match_operands(roles, records), records, "T2")
+    return rows.select("question_id", "role", "event_id", tm.iso(F.col("occurred")).alias("occurred"), "expression", "constraint_text")
+
+
+@query("solver_dispatch_T42")
+def _(spark, d):
+    roles, records = _matching(spark, d)
+    plans = roles.select("question_id").distinct().select(
+        "question_id", F.when(F.length("question_id") % 2 == 0, "CALENDAR_DIFF").otherwise("SORT_EVENTS").alias("operator"), F.lit("ordered_event_set").alias("subtype"), F.lit("day").alias("answer_unit"),
+        F.lit(None).cast("timestamp_ntz").alias("question_time"))
+    return tp.dispatch_solver(plans, tp.match_operands(roles, records), records, roles)
