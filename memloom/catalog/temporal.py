@@ -152,7 +152,7 @@ def _plan_questions(spark, d):
     a, b = F.concat(F.lit("buying item "), (key % 97).cast("string")), F.concat(F.lit("selling part "), (key % 89).cast("string"))
     text = _pick([
         F.concat(F.lit("How many days passed between "), a, F.lit(" and "), b, F.lit("?")), F.concat(F.lit("How many weeks ago did I start "), a, F.lit("?")),
-        F.concat(F.lit("Which happened first, "), a, F.lit(" or "), b, F.lit("?")), F.concat(F.lit("When did I finish "), a, F.lit("?")), F.concat(F.lit("How long did I "), a, F.lit(" before I "), b, F.lit("?")),
+        F.concat(F.lit("Which happened earlier, "), a, F.lit(" or "), b, F.lit("?")), F.concat(F.lit("When did I finish "), a, F.lit("?")), F.concat(F.lit("How long did I "), a, F.lit(" before I "), b, F.lit("?")),
         F.concat(F.lit("What color is "), a, F.lit("?")), F.concat(F.lit("List in chronological order: "), a, F.lit(", "), b, F.lit(", and walking home?")), F.concat(F.lit("When is "), a, F.lit(" as of now?"))], k)
     return o.select(key.alias("question_id"), text.alias("question"))
 
@@ -161,7 +161,7 @@ def _plan_questions(spark, d):
 WITH p AS (SELECT o_orderkey AS question_id, (o_orderkey // 3) % 8 AS k, 'buying item ' || (o_orderkey % 97) AS a, 'selling part ' || (o_orderkey % 89) AS b FROM orders)
 SELECT question_id, CASE k WHEN 0 THEN 'ORDERING' WHEN 1 THEN 'DURATION' WHEN 2 THEN 'ORDERING' WHEN 3 THEN 'DATE' WHEN 4 THEN 'DURATION' WHEN 6 THEN 'ORDERING' WHEN 7 THEN 'STATE_AT_TIME' END AS query_type,
  CASE k WHEN 0 THEN 'SORT_EVENTS' WHEN 1 THEN 'ELAPSED_TO_QUESTION' WHEN 2 THEN 'SORT_EVENTS' WHEN 3 THEN 'RESOLVE_DATE' WHEN 4 THEN 'CALENDAR_DIFF' WHEN 6 THEN 'SORT_EVENTS' WHEN 7 THEN 'SELECT_VALID_STATE' END AS operator,
- CASE k WHEN 0 THEN 'between_events' WHEN 1 THEN 'elapsed_to_question_time' WHEN 2 THEN 'first_of_candidates' WHEN 3 THEN 'event_date' WHEN 4 THEN 'between_events' WHEN 6 THEN 'ordered_event_set' WHEN 7 THEN 'valid_state' END AS subtype,
+ CASE k WHEN 0 THEN 'between_events' WHEN 1 THEN 'elapsed_to_question_time' WHEN 2 THEN 'between_events' WHEN 3 THEN 'event_date' WHEN 4 THEN 'between_events' WHEN 6 THEN 'ordered_event_set' WHEN 7 THEN 'valid_state' END AS subtype,
  CASE k WHEN 0 THEN 'day' WHEN 1 THEN 'week' END AS answer_unit,
  CASE k WHEN 0 THEN a || '|' || b WHEN 1 THEN 'start ' || a WHEN 2 THEN a || '|' || b WHEN 3 THEN 'i finish ' || a WHEN 4 THEN a || '|' || b WHEN 6 THEN a || '|' || b || '|walking home' WHEN 7 THEN 'when is ' || a || ' as of now' END AS roles FROM p""")
 def _(spark, d):
