@@ -32,4 +32,4 @@ def load_all() -> None:
         importlib.import_module(f"memloom.catalog.{module}")
 
 
-MODULES = ["nodes", "edges", "hierarchy", "retrieval", "expansion", "metrics", "temporal", "packs"]
+MODULES = ["nodes", "edges", "hierarchy", "retrieval", "expansion", "metrics", "temporal", "packs", "features", "cards"]
