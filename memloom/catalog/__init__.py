@@ -32,4 +32,6 @@ def load_all() -> None:
         importlib.import_module(f"memloom.catalog.{module}")
 
 
-MODULES = ["nodes", "edges", "hierarchy", "retrieval", "expansion", "metrics", "temporal", "packs", "features", "cards"]
+MODULES = [
+    "nodes", "edges", "hierarchy", "retrieval", "expansion", "metrics", "temporal", "packs", "features", "cards", "sources", "streams",
+]

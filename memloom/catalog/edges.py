@@ -92,15 +92,19 @@ def _(spark, d):
     return pairs.select("conv_id", "src", "dst", F.round(ed.tx.jaccard(F.col("new_terms"), F.col("old_terms")), 6).alias("similarity"))
 
 
-@query("update_edges_E04", "WITH " + EDGES_SQL + "z AS (SELECT 1) SELECT conv_id, src, dst, round(confidence, 6) AS confidence FROM e_change WHERE relation = 'UPDATES'")
+def marked_facts(spark, d):
+    return nd.fact_nodes(tb.as_marked_turns(tb.table(spark, d, "conversations")))
+
+
+@query("update_edges_E04", "WITH " + tb.marked_sql(EDGES_SQL) + "z AS (SELECT 1) SELECT conv_id, src, dst, round(confidence, 6) AS confidence FROM e_change WHERE relation = 'UPDATES'")
 def _(spark, d):
-    rows = ed.change_edges(tb.fact_nodes(spark, d)).filter("relation = 'UPDATES'")
+    rows = ed.change_edges(marked_facts(spark, d)).filter("relation = 'UPDATES'")
     return rows.select("conv_id", "src", "dst", F.round("confidence", 6).alias("confidence"))
 
 
-@query("conflict_edges_E05", "WITH " + EDGES_SQL + "z AS (SELECT 1) SELECT conv_id, src, dst, round(confidence, 6) AS confidence FROM e_change WHERE relation = 'CONFLICTS_WITH'")
+@query("conflict_edges_E05", "WITH " + tb.marked_sql(EDGES_SQL) + "z AS (SELECT 1) SELECT conv_id, src, dst, round(confidence, 6) AS confidence FROM e_change WHERE relation = 'CONFLICTS_WITH'")
 def _(spark, d):
-    rows = ed.change_edges(tb.fact_nodes(spark, d)).filter("relation = 'CONFLICTS_WITH'")
+    rows = ed.change_edges(marked_facts(spark, d)).filter("relation = 'CONFLICTS_WITH'")
     return rows.select("conv_id", "src", "dst", F.round("confidence", 6).alias("confidence"))
 
 

@@ -15,11 +15,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
+    return as_turns(table(spark, folder, "conversations"))
+
+
+def as_turns(conversations: DataFrame) -> DataFrame:
     """Dialogue turns; sessions are runs of four turns, message times follow conversation and turn numbers."""
     session = F.concat(F.lit("D"), (F.floor(F.col("turn") / TURNS_PER_SESSION) + 1).cast("string"))
     ts = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod("conv_id", F.lit(700)).cast("int"))
     clock = F.concat(F.lit(" "), F.lpad((F.col("turn") % 24).cast("string"), 2, "0"), F.lit(":30:00"))
-    return table(spark, folder, "conversations").select(
+    return conversations.select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv_id"),
         F.col("turn").alias("pos"),
         F.concat(session, F.lit(":"), (F.col("turn") + 1).cast("string")).alias("turn_id"),
@@ -30,6 +34,22 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def as_marked_turns(conversations: DataFrame) -> DataFrame:
+    """Turns with a change or denial cue added by turn number, for the update and conflict rules."""
+    cue = F.when(F.col("turn") % 3 == 0, " and this has changed since yesterday evening").when(
+        F.col("turn") % 3 == 1, " and that is not true since yesterday evening").otherwise(" and so on since yesterday evening")
+    return as_turns(conversations.withColumn("text", F.concat(F.substring_index("text", " ", 4), cue)))
+
+
+def marked_sql(sql: str) -> str:
+    """The oracle's turn table with the same cues."""
+    cue = (
+        "array_to_string(string_split(text, ' ')[1:4], ' ') || CASE turn % 3 WHEN 0 THEN ' and this has changed since yesterday evening' "
+        "WHEN 1 THEN ' and that is not true since yesterday evening' ELSE ' and so on since yesterday evening' END AS text,"
+    )
+    return sql.replace("role AS speaker, text,", f"role AS speaker, {cue}")
+
+
 TURNS_SQL = """
 turns AS (
   SELECT 'c' || conv_id AS conv_id, turn AS pos,
