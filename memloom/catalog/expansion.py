@@ -227,7 +227,14 @@ def _euclid(q, v):
 
 
 def _hyper(q, v):
-    return -vx.lorentz_distance(vx.exp_map(vx.scale(q, F.lit(0.72))), vx.exp_map(vx.scale(v, F.lit(0.6))))
+    return -vx.lorentz_distance(q, v)
+
+
+def _hyper_route(queries, events, topics, fact_event):
+    """Points are computed once per question, event and topic, not per pair."""
+    point = lambda c, s: vx.exp_map(vx.scale(F.col(c), F.lit(s)))
+    return ex.topdown_candidates(
+        queries.withColumn("query_vector", point("query_vector", 0.72)), events.withColumn("vector", point("vector", 0.6)), topics.withColumn("vector", point("vector", 0.6)), fact_event, _hyper, "hyp")
 
 
 def _nmean(keys: str, name: str) -> str:
@@ -276,7 +283,7 @@ def _(spark, d):
 @query("topdown_hyperbolic_X09", "WITH " + VH_SQL + "," + td_sql(HYP_BODY, "hyp") + TD_SELECT.format("hyp"))
 def _(spark, d):
     queries, events, topics, fact_event = _vector_hierarchy(spark, d)
-    return td_columns(ex.topdown_candidates(queries, events, topics, fact_event, _hyper, "hyp"))
+    return td_columns(_hyper_route(queries, events, topics, fact_event))
 
 
 MERGE_SQL = VH_SQL + "," + td_sql(EU, "eu") + "," + td_sql(HYP_BODY, "hyp") + """,
@@ -289,7 +296,7 @@ mg AS (SELECT conv_id, node_id, string_agg(DISTINCT route, '+' ORDER BY route) A
 def both_routes(spark, d):
     queries, events, topics, fact_event = _vector_hierarchy(spark, d)
     return ex.topdown_candidates(queries, events, topics, fact_event, _euclid, "eu").unionByName(
-        ex.topdown_candidates(queries, events, topics, fact_event, _hyper, "hyp"))
+        _hyper_route(queries, events, topics, fact_event))
 
 
 @query("route_merge_X10", "WITH " + MERGE_SQL + """

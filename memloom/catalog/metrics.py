@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from memloom.catalog import query
 from memloom.catalog.expansion import POOL_SQL, SEED_SQL, pool, questions, seeded
 from memloom.catalog.retrieval import BENCH_SQL, bench_hits
+from memloom.functions import text as tx
 from memloom.operators import expansion as ex
 from memloom.operators import metrics as me
-from memloom.operators.ordering import top_per
 from memloom.sources import tables as tb
 
 MEANS = ["hit", "recall", "full_cover"]
@@ -28,14 +28,18 @@ BENCH_ROWS = "WITH " + BENCH_SQL + "," + GOLD_SQL + _rows_sql("bhit", 20)
 
 
 def bench_gold(spark, d):
-    """Documents that contain a benchmark passage; candidates come from a shared rare word, not from all pairs."""
-    b, docs = tb.table(spark, d, "benchmark"), tb.table(spark, d, "documents")
-    from memloom.functions import text as tx
+    """Documents that contain a benchmark passage verbatim.
 
-    word = F.array_max(F.transform(tx.lexical_tokens("text"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    A document that contains a passage contains its inner words as whole tokens, so candidates come from an equi
+    join on the passage's longest inner word (passages have at least three words) and are then compared in full.
+    """
+    b, docs = tb.table(spark, d, "benchmark"), tb.table(spark, d, "documents")
+    words = tx.raw_tokens("text")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    word = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     keyed = b.select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"), word.alias("word"))
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(tx.lexical_tokens("text"))).alias("word"))
-    pairs = keyed.select("question_id", "word").join(tokens, "word")
+    tokens = docs.select("doc_id", F.explode(tx.raw_tokens("text")).alias("word"))
+    pairs = tokens.join(keyed.select("question_id", "word"), "word").select("question_id", "doc_id").distinct()
     return pairs.join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("question_id", "passage"), "question_id").filter(
         F.col("text").contains(F.col("passage"))).select("question_id", F.col("doc_id").alias("evidence"))
 

@@ -55,9 +55,19 @@ def term_set(text: Column | str) -> Column:
     return F.array_distinct(content_terms(text))
 
 
+def raw_tokens(text: Column | str) -> Column:
+    """Lexical tokens before lower-casing; explode them and lower the rows to stay inside generated code."""
+    return F.regexp_extract_all(col_of(text), F.lit(LEXICAL_PATTERN), F.lit(0))
+
+
+def token_count(text: Column | str) -> Column:
+    """Number of lexical tokens without building them."""
+    return F.regexp_count(col_of(text), F.lit(LEXICAL_PATTERN))
+
+
 def lexical_tokens(text: Column | str) -> Column:
     """Tokens of the lexical scorer: every run of word characters, lower-cased."""
-    return F.transform(F.regexp_extract_all(col_of(text), F.lit(LEXICAL_PATTERN), F.lit(0)), F.lower)
+    return F.transform(raw_tokens(text), F.lower)
 
 
 def entity_view_terms(text: Column | str) -> Column:

@@ -16,12 +16,11 @@ from memloom.operators.ordering import top_per
 
 def term_statistics(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings (doc, term, tf), document frequencies (term, df) and one row of corpus totals (n_docs, avg_len)."""
-    tokens = docs.select(doc, tx.lexical_tokens(text).alias("tokens")).withColumn("doc_len", F.size("tokens"))
-    postings = tokens.select(doc, "doc_len", F.explode("tokens").alias("term")).groupBy(doc, "doc_len", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    tokens = docs.select(doc, tx.raw_tokens(text).alias("tokens")).withColumn("doc_len", F.size("tokens"))
+    rows = tokens.select(doc, "doc_len", F.explode("tokens").alias("token"))
+    postings = rows.groupBy(doc, "doc_len", F.lower("token").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    totals = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(tx.token_count(text)).alias("avg_len"))
     return postings, frequency, totals
 
 
@@ -40,11 +39,12 @@ def bm25_scores(
         .groupBy(*keys, query, "term").agg(F.count(F.lit(1)).alias("times"))
     )
     vocabulary = wanted.select(*keys, "term").distinct()
-    tokens = docs.select(*keys, doc, tx.lexical_tokens(doc_text).alias("tokens")).withColumn("doc_len", F.size("tokens"))
-    used = tokens.select(*keys, doc, "doc_len", F.explode("tokens").alias("term")).join(vocabulary, [*keys, "term"], "left_semi")
+    tokens = docs.select(*keys, doc, tx.raw_tokens(doc_text).alias("tokens")).withColumn("doc_len", F.size("tokens"))
+    exploded = tokens.select(*keys, doc, "doc_len", F.explode("tokens").alias("token"))
+    used = exploded.select(*keys, doc, "doc_len", F.lower("token").alias("term")).join(vocabulary, [*keys, "term"], "left_semi")
     postings = used.groupBy(*keys, doc, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = postings.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
-    totals = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    totals = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(tx.token_count(doc_text)).alias("avg_len"))
     weighted = wanted.join(frequency, [*keys, "term"])
     # Without a scope the totals are one row, which is the only thing broadcast here.
     weighted = weighted.join(totals, keys) if keys else weighted.join(F.broadcast(totals), F.lit(True))
