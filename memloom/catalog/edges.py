@@ -54,9 +54,13 @@ def stored(spark, d, name, build):
     return _STORED[key]
 
 
+def graph_nodes(spark, d):
+    return stored(spark, d, "nodes", lambda: tb.nodes(spark, d))
+
+
 def graph(spark, d):
     """Node and edge tables of the dialogues, built once and reused by every query over them."""
-    nodes = stored(spark, d, "nodes", lambda: tb.nodes(spark, d))
+    nodes = graph_nodes(spark, d)
     return nodes, stored(spark, d, "edges", lambda: ed.build_edges(nodes))
 
 
@@ -75,13 +79,13 @@ firsts AS (SELECT conv_id, node_id AS anchor_id, row_number() OVER (PARTITION BY
 SELECT conv_id, fact_id, anchor_id, shared::BIGINT AS shared, rank::INTEGER AS rank FROM cand WHERE rank <= 40 UNION ALL
 SELECT a.conv_id, a.fact_id, f.anchor_id, 0, f.rank FROM alone a JOIN firsts f USING (conv_id) WHERE f.rank <= 40""")
 def _(spark, d):
-    facts, anchors = split(tb.nodes(spark, d))
+    facts, anchors = split(graph_nodes(spark, d))
     return ed.anchor_candidates(facts, anchors).drop("anchor_pos")
 
 
 @query("anchor_links_E03", "WITH " + EDGES_SQL + "z AS (SELECT 1) SELECT conv_id, src, dst, round(confidence, 6) AS confidence, round(similarity, 6) AS similarity FROM e_anchor")
 def _(spark, d):
-    return ed.link_anchors(*split(tb.nodes(spark, d))).select(
+    return ed.link_anchors(*split(graph_nodes(spark, d))).select(
         "conv_id", "src", "dst", F.round("confidence", 6).alias("confidence"), F.round("similarity", 6).alias("similarity")
     )
 

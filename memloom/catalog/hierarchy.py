@@ -222,6 +222,17 @@ def _(spark, d):
     return fo.cluster_entity_states(entity_units(spark, d))
 
 
+@query("running_centroids_H10", "WITH RECURSIVE " + VM_SQL + """,
+ro AS (SELECT *, row_number() OVER (PARTITION BY conv_id, cluster_id ORDER BY pos) AS n FROM vm),
+rc AS (SELECT conv_id, cluster_id, member_id, n, vector AS c FROM ro WHERE n = 1
+  UNION ALL SELECT conv_id, cluster_id, member_id, n, list_transform(m, lambda x: x / s) FROM (SELECT *, sqrt(list_dot_product(m, m)) AS s FROM (
+    SELECT r.conv_id, r.cluster_id, r.member_id, r.n, list_transform(list_zip(rc.c, r.vector), lambda z: (z[1] * rc.n + z[2]) / (rc.n + 1)) AS m FROM rc JOIN ro r ON r.conv_id = rc.conv_id AND r.cluster_id = rc.cluster_id AND r.n = rc.n + 1)))
+SELECT member_id, n AS size, array_to_string(list_transform(c, lambda x: CAST(CAST(round(x * 100000) AS BIGINT) AS VARCHAR)), ',') AS centroid FROM rc""")
+def _(spark, d):
+    cells = F.transform("centroid", lambda x: F.round(x * 100000).cast("bigint").cast("string"))
+    return fo.running_centroids(vector_members(spark, d)).select("member_id", "size", F.array_join(cells, ",").alias("centroid"))
+
+
 @query("session_distance_H11", """
 WITH e AS (SELECT event_id, user_id % 9 AS a, (user_id * 7 + event_id) % 9 AS b, (event_id * 3) % 9 AS c FROM events)
 SELECT event_id, CASE WHEN a IN (b, c) THEN 0 ELSE least(abs(a - b), abs(a - c)) END::BIGINT AS gap, (greatest(a, b, c) - least(a, b, c))::BIGINT AS span,

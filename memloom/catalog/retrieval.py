@@ -51,7 +51,8 @@ def _(spark, d):
 def _(spark, d):
     postings, frequency, totals = re_.term_statistics(tb.table(spark, d, "documents"))
     counts = postings.groupBy("term").agg(F.sum("tf").alias("cf"))
-    return frequency.join(counts, "term").join(F.broadcast(totals), F.lit(True)).withColumn("avg_len", F.round("avg_len", 6))
+    rows = frequency.join(counts, "term").withColumn("n_docs", totals.select("n_docs").scalar())
+    return rows.withColumn("avg_len", F.round(totals.select("avg_len").scalar(), 6))
 
 
 @query("bm25_top20_R03", "WITH " + BENCH_SQL + "SELECT q AS question_id, doc AS doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM bhit WHERE rank <= 20")

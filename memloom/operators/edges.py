@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
-from memloom.operators.nodes import known_speakers  # noqa: F401  (re-exported for graph builders)
 from memloom.operators.ordering import dense_ordinal, first_per, top_per
 
 EDGE_COLUMNS = ["conv_id", "src", "dst", "relation", "role", "view", "confidence", "similarity"]
@@ -33,18 +32,49 @@ def support_edges(nodes: DataFrame) -> DataFrame:
     return _edge(wanted.join(raws, ["conv_id", "dst"], "left_semi"), F.lit("SUPPORTS"), F.lit(0.98))
 
 
+def _term_pairs(terms: Column) -> Column:
+    """All two-element subsets of a sorted term list as structs."""
+    ordered = F.array_sort(terms)
+    return F.flatten(F.transform(ordered, lambda t, i: F.transform(
+        F.slice(ordered, i + 2, F.greatest(F.size(ordered) - i - 1, F.lit(0))), lambda u: F.struct(t.alias("t"), u.alias("u")))))
+
+
+def _sharing_pairs(facts: DataFrame, anchors: DataFrame, limit: int) -> DataFrame:
+    """Fact and anchor pairs that can be among a fact's ``limit`` anchors with most shared terms.
+
+    A term with more than ``limit`` anchors is crowded. An anchor that shares one crowded term and nothing else
+    can only count if it is among the term's first ``limit`` anchors, because those share at least as much and
+    come earlier. So single terms join at most ``limit`` anchors each, and crowded terms join in full only by
+    pairs. Nothing that could rank is lost, and a word everybody uses never pairs all facts with all anchors.
+    """
+    fact_sets = facts.select("conv_id", F.col("node_id").alias("fact_id"), tx.term_set("text").alias("fact_terms"))
+    anchor_sets = anchors.select(
+        "conv_id", F.col("node_id").alias("anchor_id"), F.col("pos").alias("anchor_pos"), tx.term_set("text").alias("anchor_terms")
+    )
+    fact_rows = fact_sets.select("conv_id", "fact_id", F.explode("fact_terms").alias("term"))
+    postings = anchor_sets.select("conv_id", "anchor_id", "anchor_pos", F.explode("anchor_terms").alias("term"))
+    first = top_per(postings, ["conv_id", "term"], [F.asc("anchor_pos")], limit, "list_no")
+    single = fact_rows.join(first.select("conv_id", "term", "anchor_id"), ["conv_id", "term"]).select("conv_id", "fact_id", "anchor_id")
+    crowded = postings.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > limit).select("conv_id", "term")
+
+    def pairs(rows: DataFrame, key: str) -> DataFrame:
+        kept = rows.join(crowded, ["conv_id", "term"], "left_semi").groupBy("conv_id", key).agg(F.collect_set("term").alias("terms"))
+        return kept.select("conv_id", key, F.inline(_term_pairs(F.col("terms"))))
+
+    double = pairs(fact_rows, "fact_id").join(pairs(postings, "anchor_id"), ["conv_id", "t", "u"]).select("conv_id", "fact_id", "anchor_id")
+    return (
+        single.unionByName(double).distinct()
+        .join(fact_sets, ["conv_id", "fact_id"]).join(anchor_sets, ["conv_id", "anchor_id"])
+        .withColumn("shared", F.size(F.array_intersect("fact_terms", "anchor_terms")).cast("bigint"))
+        .withColumn("similarity", tx.jaccard(F.col("fact_terms"), F.col("anchor_terms")))
+        .select("conv_id", "fact_id", "anchor_id", "anchor_pos", "shared", "similarity")
+    )
+
+
 def anchor_candidates(facts: DataFrame, anchors: DataFrame, limit: int = 40) -> DataFrame:
     """Per fact the ``limit`` anchors of its conversation with most shared terms; without any shared term the
     first ``limit`` anchors stand in. Ties go to the earlier anchor."""
-    fact_terms = facts.select("conv_id", F.col("node_id").alias("fact_id"), F.explode(tx.term_set("text")).alias("term"))
-    anchor_terms = anchors.select(
-        "conv_id", F.col("node_id").alias("anchor_id"), F.col("pos").alias("anchor_pos"),
-        F.explode(tx.term_set("text")).alias("term"),
-    )
-    shared = (
-        fact_terms.join(anchor_terms, ["conv_id", "term"])
-        .groupBy("conv_id", "fact_id", "anchor_id", "anchor_pos").agg(F.count(F.lit(1)).alias("shared"))
-    )
+    shared = _sharing_pairs(facts, anchors, limit)
     matched = top_per(shared, ["conv_id", "fact_id"], [F.desc("shared"), F.asc("anchor_pos")], limit)
     first = top_per(
         anchors.select("conv_id", F.col("node_id").alias("anchor_id"), F.col("pos").alias("anchor_pos")),
@@ -61,36 +91,8 @@ def anchor_candidates(facts: DataFrame, anchors: DataFrame, limit: int = 40) ->
 def link_anchors(
     facts: DataFrame, anchors: DataFrame, min_score: float = 0.08, max_links: int = 3, candidates: int = 40
 ) -> DataFrame:
-    """FACT to ANCHOR edges by term similarity: best ``max_links`` of the candidates at or above ``min_score``.
-
-    A pair scoring ``min_score`` shares at least ``min_score * |fact terms|`` terms, so it shares one of the
-    fact's rarest ``|terms| - needed + 1`` terms. Only those are joined, which keeps common words of long
-    texts out of the shuffle; pairs below the bound rank after every pair above it, so no result is lost.
-    """
-    fact_sets = facts.select("conv_id", F.col("node_id").alias("fact_id"), tx.term_set("text").alias("fact_terms"))
-    anchor_sets = anchors.select(
-        "conv_id", F.col("node_id").alias("anchor_id"), F.col("pos").alias("anchor_pos"), tx.term_set("text").alias("anchor_terms")
-    )
-    postings = anchor_sets.select("conv_id", "anchor_id", F.explode("anchor_terms").alias("term"))
-    frequency = postings.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    probes = (
-        fact_sets.select("conv_id", "fact_id", F.size("fact_terms").alias("n"), F.explode("fact_terms").alias("term"))
-        .join(frequency, ["conv_id", "term"], "left")
-    )
-    needed = F.greatest(F.lit(1), F.ceil(F.lit(min_score) * F.col("n") - F.lit(1e-9)))
-    rare = Window.partitionBy("conv_id", "fact_id").orderBy(F.coalesce("df", F.lit(0)), "term")
-    probes = (
-        probes.withColumn("r", F.row_number().over(rare))
-        .filter((F.col("r") <= F.col("n") - needed + 1) & F.col("df").isNotNull())
-        .select("conv_id", "fact_id", "term")
-    )
-    pairs = probes.join(postings, ["conv_id", "term"]).select("conv_id", "fact_id", "anchor_id").distinct()
-    scored = (
-        pairs.join(fact_sets, ["conv_id", "fact_id"]).join(anchor_sets, ["conv_id", "anchor_id"])
-        .withColumn("shared", F.size(F.array_intersect("fact_terms", "anchor_terms")))
-        .withColumn("similarity", tx.jaccard(F.col("fact_terms"), F.col("anchor_terms")))
-        .select("conv_id", "fact_id", "anchor_id", "anchor_pos", "shared", "similarity")
-    )
+    """FACT to ANCHOR edges by term similarity: best ``max_links`` of the candidates at or above ``min_score``."""
+    scored = _sharing_pairs(facts, anchors, candidates)
     kept = top_per(scored, ["conv_id", "fact_id"], [F.desc("shared"), F.asc("anchor_pos")], candidates, "shared_rank")
     best = top_per(kept, ["conv_id", "fact_id"], [F.desc("similarity"), F.asc("shared_rank")], max_links, "link_rank")
     linked = best.filter(F.col("similarity") >= min_score).select(
@@ -238,7 +240,7 @@ def provenance_stats(nodes: DataFrame) -> DataFrame:
         F.sum(F.when(F.coalesce("ok", F.lit(0)) == 0, 1).otherwise(0)).alias("missing_raw_facts"),
     )
     lost = resolved.filter("raw_id IS NULL").select("value").distinct().agg(F.count(F.lit(1)).alias("unresolved_support_ids"))
-    return totals.join(F.broadcast(lost), F.lit(True)).withColumn(
+    return totals.withColumn("unresolved_support_ids", lost.scalar()).withColumn(
         "fact_with_raw_ratio",
         F.when(F.col("total_facts") > 0, (F.col("total_facts") - F.col("missing_raw_facts")) / F.col("total_facts")).otherwise(0.0),
     )

@@ -369,9 +369,9 @@ def sample_branches(members: DataFrame, seed: int = 7) -> DataFrame:
     ``members``: (fact_id, event_id, pos) with ``pos`` unique and events contiguous in it.
     """
     numbered = dense_ordinal(members.withColumn("_all", F.lit(1)), ["_all"], "pos", "place").drop("_all")
-    total = numbered.agg((F.max("place") + 1).alias("total"))
+    total = numbered.agg((F.max("place") + 1).alias("total")).scalar()
     spans = numbered.groupBy("event_id").agg(F.min("place").alias("lo"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = numbered.join(spans, "event_id").filter(F.col("place") < F.col("lo") + F.col("n") - 1).join(F.broadcast(total), F.lit(True)).filter(F.col("total") > F.col("n"))
+    pairs = numbered.join(spans, "event_id").filter(F.col("place") < F.col("lo") + F.col("n") - 1).withColumn("total", total).filter(F.col("total") > F.col("n"))
     number = F.conv(F.left(F.md5(F.concat_ws("|", F.col("fact_id").cast("string"), F.lit(str(seed)))), F.lit(8)), 16, 10).cast("bigint")
     far = F.pmod(F.col("lo") + F.col("n") + F.pmod(number, F.col("total") - F.col("n")), F.col("total"))
     rows = pairs.select(F.col("fact_id").alias("anchor_id"), (F.col("place") + 1).alias("p1"), far.alias("p2"))

@@ -281,6 +281,28 @@ def cluster_events(
     )
 
 
+def running_centroids(members: DataFrame) -> DataFrame:
+    """Normalised centre of each cluster after every member, as the greedy folds keep it.
+
+    ``members``: (conv_id, cluster_id, member_id, pos, vector).
+    """
+    def make():
+        state: dict = {"n": 0, "c": None}
+
+        def step(row):
+            vector = np.asarray(row["vector"], dtype=np.float64)
+            moved = vector if state["c"] is None else (state["c"] * state["n"] + vector) / (state["n"] + 1)
+            size = float(np.linalg.norm(moved))
+            state["c"] = moved / size if size > 1e-12 and state["c"] is not None else moved
+            state["n"] += 1
+            return (state["n"], state["c"].tolist())
+
+        return step
+
+    rows = members.select("conv_id", "cluster_id", "member_id", "pos", "vector")
+    return sorted_fold(rows, ["conv_id", "cluster_id"], ["pos"], make, "size long, centroid array<double>", ["conv_id", "cluster_id", "member_id"])
+
+
 def cluster_topics(events: DataFrame, threshold: float = 0.52, max_events: int = 8) -> DataFrame:
     """Online topic clusters of events ``(conv_id, event_id, vector, terms, entities, sessions, first_pos)``."""
 

@@ -46,8 +46,11 @@ def bm25_scores(
     frequency = postings.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
     totals = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(tx.token_count(doc_text)).alias("avg_len"))
     weighted = wanted.join(frequency, [*keys, "term"])
-    # Without a scope the totals are one row, which is the only thing broadcast here.
-    weighted = weighted.join(totals, keys) if keys else weighted.join(F.broadcast(totals), F.lit(True))
+    if keys:
+        weighted = weighted.join(totals, keys)
+    else:
+        for name in ("n_docs", "avg_len"):
+            weighted = weighted.withColumn(name, totals.select(name).scalar())
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select(*keys, query, "term", (F.col("times") * idf).alias("weight"), "avg_len")
     length = 1 - b + b * F.col("doc_len") / F.greatest(F.col("avg_len"), F.lit(1e-6))

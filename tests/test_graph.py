@@ -62,6 +62,17 @@ def test_anchor_links_match_an_exhaustive_loop(spark, nodes):
     assert got == want and want
 
 
+@pytest.mark.parametrize("limit", [2, 5, 40])
+def test_anchor_candidates_keep_the_best_when_words_are_crowded(nodes, limit):
+    facts, anchors = nodes.filter("type = 'FACT'"), nodes.filter("type = 'ANCHOR'")
+    anchor_rows, want = anchors.collect(), set()
+    for f in facts.collect():
+        here = sorted((a for a in anchor_rows if a.conv_id == f.conv_id), key=lambda a: (-len(terms(f.text) & terms(a.text)), a.pos))
+        matched = [a for a in here if terms(f.text) & terms(a.text)]
+        want |= {(f.node_id, a.node_id) for a in (matched or sorted(here, key=lambda a: a.pos))[:limit]}
+    assert {(r.fact_id, r.anchor_id) for r in ed.anchor_candidates(facts, anchors, limit).collect()} == want
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 16])
 def test_change_edges_match_a_window_loop_for_any_partitioning(spark, nodes, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
