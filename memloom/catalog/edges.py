@@ -77,7 +77,7 @@ def _(spark, d):
 alone AS (SELECT conv_id, node_id AS fact_id FROM facts WHERE (conv_id, node_id) NOT IN (SELECT conv_id, fact_id FROM cand)),
 firsts AS (SELECT conv_id, node_id AS anchor_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS rank FROM anchors)
 SELECT conv_id, fact_id, anchor_id, shared::BIGINT AS shared, rank::INTEGER AS rank FROM cand WHERE rank <= 40 UNION ALL
-SELECT a.conv_id, a.fact_id, f.anchor_id, 0, f.rank FROM alone a JOIN firsts f USING (conv_id) WHERE f.rank <= 40""")
+SELECT a.conv_id, a.fact_id, f.anchor_id, 0::BIGINT, f.rank::INTEGER FROM alone a JOIN firsts f USING (conv_id) WHERE f.rank <= 40""")
 def _(spark, d):
     facts, anchors = split(graph_nodes(spark, d))
     return ed.anchor_candidates(facts, anchors).drop("anchor_pos")

@@ -255,7 +255,7 @@ def _(spark, d):
 def _negatives(spark, d):
     m = vector_members(spark, d)
     edges = m.select(F.col("member_id").alias("edge_id"), F.col("cluster_id").alias("parent_id"))
-    parents = m.select(F.col("cluster_id").alias("parent_id"), F.floor(F.col("member_id") / 6).alias("pos")).distinct().withColumn("parent_type", F.lit("EVENT"))
+    parents = m.select(F.col("cluster_id").alias("parent_id"), F.floor(F.col("member_id") / 6).alias("pos")).distinct().withColumn("parent_type", F.when(F.col("pos") >= 0, "EVENT").otherwise("TOPIC"))
     return fe.sample_negatives(edges, parents, 2)
 
 

@@ -26,6 +26,11 @@ def build_session(app_name: str = "memloom", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names, or None where the setting is absent."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -34,8 +39,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(
-            prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")
-        )
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(checkpoint_folder(spark) or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
     return df.checkpoint(eager=True)

@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators.ordering import first_per, top_per
+from memloom.session import checkpoint_folder
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    base = checkpoint_folder(spark)
     return f"{base.rstrip('/')}/memloom-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
