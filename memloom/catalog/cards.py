@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.catalog import query
-from memloom.catalog.features import CAND_SQL, candidates, rounded, route_rows
+from memloom.catalog.features import CAND_SQL, candidates, route_rows
 from memloom.operators import cards as ca
 from memloom.operators import features as fe
 from memloom.operators import metrics as me

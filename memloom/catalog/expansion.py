@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from memloom.catalog import query
 from memloom.catalog.edges import EDGES_SQL, graph, stored
-from memloom.catalog.hierarchy import ORDER_SQL, VM_SQL, vector_members
-from memloom.catalog.retrieval import CONVN_SQL, bm25_sql, exp_sql, ldist_sql
+from memloom.catalog.hierarchy import VM_SQL, vector_members
+from memloom.catalog.retrieval import bm25_sql, exp_sql, ldist_sql
 from memloom.catalog.nodes import hash_embedding_sql, names_sql
 from memloom.functions import text as tx
 from memloom.functions import vectors as vx
@@ -203,7 +203,7 @@ def _(spark, d):
     return hierarchy_rows(spark, d).select("question_id", "node_id", "source", "seed_id", "event_id", "hop", F.round("score", 6).alias("score"), "rank")
 
 
-@query("same_event_expansion_X07", "WITH " + EVT_SQL.replace("  UNION ALL SELECT op.q", "  UNION ALL SELECT op.q").replace("WHERE en <= 8)", "WHERE false)") +
+@query("same_event_expansion_X07", "WITH " + EVT_SQL.replace("WHERE en <= 8)", "WHERE false)") +
        "SELECT q AS question_id, node_id, source, seed_id, round(score, 6) AS score, rank::INTEGER AS rank FROM hc WHERE rank <= 100")
 def _(spark, d):
     return hierarchy_rows(spark, d, "same_event").select("question_id", "node_id", "source", "seed_id", F.round("score", 6).alias("score"), "rank")
@@ -359,10 +359,6 @@ def _(spark, d):
         "question_id", "path_id", F.array_join("path", ">").alias("path"), F.round("score", 6).alias("score"), "rank")
 
 
-PATHS_SQL = SEED_SQL + f""",
-pth AS (SELECT q, conv_id, doc || '#' AS path_id, doc AS a, b.node_id AS b, s.rank FROM seeds s JOIN raws b ON b.conv_id = s.conv_id AND b.node_id = replace(s.doc, ':fact:', ':raw:')),"""
-
-
 @query("path_scores_X13", "WITH " + SEED_SQL + "," + hash_embedding_sql("nodes", "node_id", "text", 31) + "," +
        hash_embedding_sql("qs", "q", "text", 31).replace("hv AS", "hv2 AS").replace("FROM hv ", "FROM hv2 ").replace("cells AS", "cells2 AS").replace("FROM cells ", "FROM cells2 ").replace("size_ AS", "size2 AS").replace("JOIN size_", "JOIN size2").replace("JOIN cells c", "JOIN cells2 c").replace("grid AS", "grid2 AS").replace("FROM grid ", "FROM grid2 ").replace("vec AS", "vec2 AS") + f""",
 st AS (SELECT q, conv_id, doc AS path_id, doc AS node_id FROM seeds UNION ALL SELECT q, conv_id, doc, replace(doc, ':fact:', ':raw:') FROM seeds

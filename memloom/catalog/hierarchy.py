@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.catalog import query
-from memloom.catalog.edges import EDGES_SQL
-from memloom.catalog.nodes import hash_embedding_sql, joined, names_sql
+from memloom.catalog.nodes import ENTITY_STOP_SQL, hash_embedding_sql, joined, lexical_sql, names_sql, normalize_entity_sql
 from memloom.functions import text as tx
 from memloom.operators import folds as fo
 from memloom.operators import hierarchy as hi
@@ -445,8 +444,6 @@ UNITS_SQL = TM_SQL + """,
 un0 AS (SELECT conv_id, member_id AS fact_id, text, vector, session, unnest(list_distinct(list_append(entities, speaker))) AS entity
         FROM (SELECT tm.*, f.speaker FROM tm JOIN facts f ON f.node_id = tm.member_id)),
 """ 
-from memloom.catalog.nodes import ENTITY_STOP_SQL, lexical_sql, normalize_entity_sql  # noqa: E402
-
 UNITS_SQL += f"""un1 AS (SELECT *, {normalize_entity_sql('entity')} AS entity_key FROM un0),
 un AS (SELECT conv_id, fact_id, entity_key, min(entity) AS entity, any_value(vector) AS vector, any_value(session) AS session, any_value(text) AS text FROM un1 WHERE entity_key <> '' GROUP BY conv_id, fact_id, entity_key),
 ut AS (SELECT *, list_filter(list_distinct({lexical_sql('text')}), lambda t: length(t) >= 3 AND NOT list_contains({ENTITY_STOP_SQL}, t) AND NOT regexp_full_match(t, '[0-9]+') AND NOT list_contains({lexical_sql('entity')}, t)) AS terms FROM un),
