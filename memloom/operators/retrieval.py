@@ -49,8 +49,8 @@ def bm25_scores(
     if keys:
         weighted = weighted.join(totals, keys)
     else:
-        for name in ("n_docs", "avg_len"):
-            weighted = weighted.withColumn(name, totals.select(name).scalar())
+        corpus = totals.select(F.struct("n_docs", "avg_len").alias("t")).scalar()
+        weighted = weighted.withColumn("t", corpus).select("*", "t.n_docs", "t.avg_len")
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select(*keys, query, "term", (F.col("times") * idf).alias("weight"), "avg_len")
     length = 1 - b + b * F.col("doc_len") / F.greatest(F.col("avg_len"), F.lit(1e-6))
