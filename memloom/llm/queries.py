@@ -27,3 +27,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     from memloom.llm.sharding import shard_documents
 
     return shard_documents(table(spark, folder, "documents"))
+
+
+@query("op9_robust_outliers")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.quality import judge_quality
+
+    return judge_quality(table(spark, folder, "documents"))
