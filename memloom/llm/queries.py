@@ -34,3 +34,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from memloom.llm.quality import judge_quality
 
     return judge_quality(table(spark, folder, "documents"))
+
+
+@query("op2_nearest_toxic_examples")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
