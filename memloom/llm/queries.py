@@ -41,3 +41,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from memloom.llm.toxicity import score_toxicity
 
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_weighted_near_copies")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.near_copies import near_copy_classes
+
+    return near_copy_classes(table(spark, folder, "documents"))
