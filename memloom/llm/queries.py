@@ -48,3 +48,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from memloom.llm.near_copies import near_copy_classes
 
     return near_copy_classes(table(spark, folder, "documents"))
+
+
+@query("op5_block_apportionment")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.mixing import mix_documents
+
+    return mix_documents(table(spark, folder, "documents"))
