@@ -55,3 +55,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     from memloom.llm.mixing import mix_documents
 
     return mix_documents(table(spark, folder, "documents"))
+
+
+@query("op6_mixture_packing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"))
