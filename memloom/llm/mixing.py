@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from memloom.llm.shared import hash_bucket, running_total, stored
 
@@ -95,17 +99,17 @@ def plan_blocks(sized: DataFrame, block: int, shards: int, max_sources: int) ->
     return sized.sparkSession.createDataFrame(rows, "source string, source_size long, target double, shard int, blocks long, quota long")
 
 
-def block_times(sized: DataFrame, block: int, shards: int, seed: int, max_sources: int) -> DataFrame:
+def block_times(sized: DataFrame, block: int, shards: int, seed: int, max_sources: int, totals: DataFrame | None = None) -> DataFrame:
     """The rows of ``sized`` with ``source_size, target, start`` and ``times``: for each block that the document touches, how
-    often it is taken, in order."""
-    plan = stored(plan_blocks(sized, block, shards, max_sources), "mix-plan")
+    often it is taken, in order. ``totals``: the same rows with ``source`` and ``size`` alone, cheaper to sum."""
+    plan = stored(plan_blocks(totals or sized, block, shards, max_sources), "mix-plan")
     per_source = plan.groupBy("source").agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"),
         F.transform(F.array_sort(F.collect_list(F.struct("shard", "blocks", "quota"))), lambda p: F.struct(p["blocks"].alias("blocks"), p["quota"].alias("quota"))).alias("plan"),
     )
     per_source = stored(per_source.withColumnRenamed("source", "__source"), "mix-sources")
-    ordered = sized.withColumn("__hash", F.xxhash64(F.col("row"), F.col("doc_id"), F.lit(seed))).withColumn("__bucket", hash_bucket(F.col("__hash"), 10))
-    lined = running_total(ordered, ["source"], "__bucket", ["__hash", "doc_id", "row"], "size", "start")
+    bucketed = lambda df: df.withColumn("__hash", F.xxhash64(F.col("row"), F.col("doc_id"), F.lit(seed))).withColumn("__bucket", hash_bucket(F.col("__hash"), 10))
+    lined = running_total(bucketed(sized), ["source"], "__bucket", ["__hash", "doc_id", "row"], "size", "start", bucketed(totals) if totals is not None else None)
     joined = lined.join(per_source, F.col("source").eqNullSafe(F.col("__source")))
 
     def taken(index: Column) -> Column:
@@ -129,7 +133,7 @@ def words_in_block(start: Column, size: Column, index: Column, block: int) -> Co
 
 def sizes_of(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
     words = F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).alias("source"), words.alias("size"), F.xxhash64(text_column).alias("row"))
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), words.alias("size"), F.xxhash64(text_column).alias("row"))
 
 
 def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", block: int = 256, shards: int = 16, seed: int = 17, max_sources: int = 100_000) -> DataFrame:
@@ -148,3 +152,48 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.transform("times", lambda t, i: t.cast("long") * words_in_block(F.col("start"), F.col("size"), i, block)), F.lit(0).cast("long"), lambda a, b: a + b,
     )
     return timed.select("doc_id", "size", "source_size", "target", total.alias("taken"))
+
+
+def take_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", length_column: str | None = "n_chars", block: int = 256, shards: int = 16, seed: int = 17, max_sources: int = 100_000) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: a row for every time a document is taken, with the words taken that time.
+
+    The n-th row of a document holds its blocks that are taken at least n times, unbroken stretches with their white space and
+    a line end between stretches; a document that is taken whole keeps its text as it is. ``length_column`` is set to the
+    code points of the text. Documents without words are taken 0 times.
+    """
+    sized = sizes_of(docs, id_column, text_column, source_column)
+    carried = docs.withColumns({"__doc_id": F.col(id_column).cast("long"), "__source": F.col(source_column).cast("string")}).select(
+        F.col("__doc_id").alias("doc_id"), F.col("__source").alias("source"), F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(text_column).alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("original"),
+    )
+    plan_input = stored(sized, "mix-sizes")
+    timed = block_times(carried, block, shards, seed, max_sources, plan_input).where(F.exists("times", lambda t: t > 0))
+    copies = timed.select("original", "start", "size", "times", F.explode(F.sequence(F.lit(1), F.array_max("times"))).alias("copy"))
+    marked = copies.select("original", "start", F.transform("times", lambda t: t >= F.col("copy")).alias("taken"), F.col(f"original.{text_column}").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut_text(*row, block) for row in zip(batch["text"].to_pylist(), batch["start"].to_pylist(), batch["taken"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["original"], pa.array(texts, pa.string())], names=["original", "text"])
+
+    original = marked.schema["original"].dataType
+    out = marked.mapInArrow(cut, StructType([StructField("original", original), StructField("text", StringType())]))
+    pick = {text_column: F.col("text")} | ({length_column: F.char_length("text").cast(docs.schema[length_column].dataType)} if length_column in docs.columns else {})
+    return out.select(*[pick.get(c, F.col("original").getField(c)).alias(c) for c in docs.columns])
+
+
+def cut_text(text: str, start: int, taken: list[bool], block: int) -> str:
+    """The words of a document that begins at word ``start`` of its line which lie in the taken ones of its blocks."""
+    if all(taken):
+        return text
+    words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    pieces, first = [], start // block
+    begin = None
+    for i, take in enumerate([*taken, False]):
+        if take and begin is None:
+            begin = max(0, (first + i) * block - start)
+        elif not take and begin is not None:
+            end = min(len(words), (first + i) * block - start)
+            pieces.append(text[words[begin][0] : words[end - 1][1]])
+            begin = None
+    return "\n".join(pieces)

@@ -138,6 +138,25 @@ def near_copy_classes(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Null texts are in a class of their own each. Texts without words are equal if their characters are. Texts under five
     words are one shingle. Null ids: such a row never names a class; a class of null ids alone has a null name and keeps all.
     """
+    rows = near_copy_rows(docs, id_column, text_column)
+    classes = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    named = rows.join(classes.withColumnRenamed("component", "__component"), F.col("component") == F.col("__component"), "left")
+    class_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return named.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of every class of ``near_copy_classes``: that of the least id, of equal ids the least text hash, once."""
+    rows = near_copy_rows(docs, id_column, text_column).where("component IS NOT NULL")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("blank"), F.col("doc_id"), F.col("node"))).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__node"))
+    hashed = docs.withColumns({"__row_id": F.col(id_column).cast("long"), "__text_node": F.unhex(F.md5(F.col(text_column).cast("binary")))})
+    kept = hashed.join(first, (F.col("__text_node") == F.col("__node")) & F.col("__row_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__text_node", "__row_id"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(text_column).isNull()))
+
+
+def near_copy_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Stored ``doc_id, node, component`` per row; node and component are null for a null text."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
     shared = spark.sparkContext.broadcast(class_weights(texts))
@@ -205,9 +224,5 @@ def near_copy_classes(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     links = stored(both.mapInArrow(verify, "a binary, b binary"), "near-verified")
     found = components(links)
-    rows = signed.select("doc_id", "node").join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    rows = stored(rows, "near-rows")
-    classes = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    named = rows.join(classes.withColumnRenamed("component", "__component"), F.col("component") == F.col("__component"), "left")
-    class_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return named.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    rows = signed.select("doc_id", "node").join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    return stored(rows, "near-rows")

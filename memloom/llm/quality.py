@@ -153,12 +153,28 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Null and empty texts have no words and fail. Null languages and sources are values of their own. A cell of fewer than
     ``min_cell`` rows in the end judges nobody: its rows are kept, with a null distance. Repeated rows get a row each.
     """
-    ready = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), F.col(source_column).alias("source"))
-    counted = text_statistics(ready, keep=("lang", "source"))
+    rows, models = fit_quality(docs, (), id_column, text_column, lang_column, source_column, min_words, max_repeated, min_cell, rounds)
+    return with_distance(rows, models).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict(limit).alias("kept"), F.when(~F.col("base_failed"), F.round("distance", 6)).alias("distance"),
+    )
+
+
+def verdict(limit: float) -> Column:
+    return ~F.col("base_failed") & ~F.coalesce(F.col("distance") > limit, F.lit(False))
+
+
+def fit_quality(docs: DataFrame, keep: tuple[str, ...], id_column: str, text_column: str, lang_column: str, source_column: str, min_words: int, max_repeated: int, min_cell: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Stored rows with statistics, ``cell`` and the whole input row in ``original`` (only the columns in ``keep``), and the models of their cells."""
+    ready = docs.select(
+        F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), F.col(source_column).alias("source"),
+        *([F.struct(*[F.col(c) for c in keep]).alias("original")] if keep else []),
+    )
+    carried = ("original",) if keep else ()
+    counted = text_statistics(ready, keep=("lang", "source", *carried))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
     marks = [F.col("lang").isNull(), F.col("lang"), F.col("source").isNull(), F.col("source")]
     rows = counted.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.xxhash64(F.lit("source"), *marks).alias("by_source"), F.xxhash64(F.lit("lang"), *marks[:2]).alias("by_lang"),
         *[F.when(~F.col("base_failed"), F.round(make() * STEPS).cast("long")).alias(name) for name, (make, _) in FEATURES.items()],
     )
@@ -170,11 +186,15 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.col("by_source").alias("__by_source"),
         F.when(F.col("n") >= min_cell, F.col("by_source")).when(F.col("in_lang") >= min_cell, F.col("by_lang")).otherwise(F.lit(0)).alias("cell"),
     )
-    celled = stored(rows.join(cells, F.col("by_source") == F.col("__by_source"), "left").drop("__by_source", "by_source", "by_lang"), "quality-cells")
-    judged = celled.where("NOT base_failed")
+    cells = stored(cells, "quality-cells")
+    celled = rows.join(cells, F.col("by_source") == F.col("__by_source"), "left").drop("__by_source", "by_source", "by_lang")
+    judged = stored(celled.where("NOT base_failed").select("cell", *FEATURES), "quality-judged")
     enough = judged.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= min_cell).select(F.col("cell").alias("__enough"))
     models = robust_models(judged.join(enough, F.col("cell") == F.col("__enough"), "left_semi"), rounds)
-    verdict = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > limit, F.lit(False))
-    return with_distance(celled, models).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), F.when(~F.col("base_failed"), F.round("distance", 6)).alias("distance"),
-    )
+    return celled, models
+
+
+def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source", min_words: int = 50, max_repeated: int = 50, min_cell: int = 64, limit: float = 64.0, rounds: int = 3) -> DataFrame:
+    """The input rows that ``judge_quality`` keeps, with their own columns."""
+    rows, models = fit_quality(docs, tuple(docs.columns), id_column, text_column, lang_column, source_column, min_words, max_repeated, min_cell, rounds)
+    return with_distance(rows, models).where(verdict(limit)).select("original.*")

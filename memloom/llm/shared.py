@@ -44,13 +44,14 @@ def hash_bucket(value: Column, bits: int) -> Column:
     return F.shiftrightunsigned(value, 64 - bits)
 
 
-def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], amount: str, name: str) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], amount: str, name: str, slim: DataFrame | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``amount`` over the rows of the same group that come before this one.
 
     Rows are ordered by ``bucket``, then by ``order``. A group may hold most of the table: its rows are summed per
-    (group, bucket), and only one row per bucket takes part in the running sum across buckets.
+    (group, bucket), and only one row per bucket takes part in the running sum across buckets. ``slim`` has the same rows
+    with fewer columns, for the sums.
     """
-    sums = df.groupBy(*group, bucket).agg(F.sum(amount).alias("__sum"))
+    sums = (df if slim is None else slim).groupBy(*group, bucket).agg(F.sum(amount).alias("__sum"))
     earlier = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*[F.col(c).alias(f"__{c}") for c in [*group, bucket]], F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -280,3 +280,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     scored = docs.select(F.col(id_column).alias("doc_id"), toxicity_column(docs, model, text_column).alias("__s"))
     score = F.col("__s.score")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= settings.threshold).cast("int").alias("predicted"), F.col("__s.evidence").alias("evidence"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """The input rows whose score is below the threshold, with their own columns."""
+    model = fit_toxicity(docs, labels, id_column, text_column, settings=settings)
+    return docs.where(toxicity_column(docs, model, text_column)["score"] < settings.threshold)
