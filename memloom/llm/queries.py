@@ -62,3 +62,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from memloom.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"))
+
+
+@query("op8_chunked_warc")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, folder, "pages"))
