@@ -69,3 +69,19 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from memloom.llm.warc import archive_round_trip
 
     return archive_round_trip(table(spark, folder, "pages"))
+
+
+@query("op1_voronoi_top20", """
+    WITH v AS (
+        SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT a.id AS query_id, b.id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.vector_search import embedding_neighbours
+
+    return embedding_neighbours(table(spark, folder, "embeddings"))
