@@ -85,3 +85,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     from memloom.llm.vector_search import embedding_neighbours
 
     return embedding_neighbours(table(spark, folder, "embeddings"))
+
+
+@query("op3_template_extraction")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.templates import extract_articles
+
+    return extract_articles(table(spark, folder, "pages"))
