@@ -92,3 +92,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from memloom.llm.templates import extract_articles
 
     return extract_articles(table(spark, folder, "pages"))
+
+
+@query("op7_token_rollups")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.rollups import corpus_rollups
+
+    return corpus_rollups(table(spark, folder, "documents"))
