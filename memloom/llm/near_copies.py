@@ -17,6 +17,10 @@ CLASSES = 1 << 18
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
+#: How much more than a shingle of all texts one of hardly any text weighs.
+SPAN = 0.5
+#: Nodes of a band that others are compared with, besides its most central and its least one.
+DRAWN = 6
 
 
 def gamma_quantiles(n: int) -> np.ndarray:
@@ -76,7 +80,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def class_weights(texts: DataFrame) -> np.ndarray:
-    """Inverse document frequency per shingle class, from 1 (in every text) to 2 (no more often than the mean class).
+    """Inverse document frequency per shingle class, from 1 (in every text) to ``1 + SPAN`` (no more often than the mean class).
 
     Every text counts once in the class of each of its shingles. The damped scale keeps what sets copies apart from weighing
     much more than what thousands of copies share.
@@ -100,7 +104,7 @@ def class_weights(texts: DataFrame) -> np.ndarray:
     frequency[classes[classes >= 0]] = n[classes >= 0]
     floor = max(1.0, frequency.sum() / CLASSES)
     scale = np.log(max(rows / floor, 1 + 1e-9))
-    return 1.0 + np.clip(np.log(np.maximum(rows / frequency, 1.0)) / scale, 0.0, 1.0)
+    return 1.0 + SPAN * np.clip(np.log(np.maximum(rows / frequency, 1.0)) / scale, 0.0, 1.0)
 
 
 def weighted_jaccard(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> float:
@@ -130,8 +134,8 @@ def components(links: DataFrame) -> DataFrame:
 def near_copy_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, class_id, class_size, kept`` per input row: classes of exact and near copies, named by their least id.
 
-    Equal texts are one node. Nodes that share a band are compared with three of the band's nodes: the one that shares most
-    bands with others, the least and a hashed one; so a band of n nodes gives at most 3 n pairs. Pairs whose signatures are
+    Equal texts are one node. Nodes that share a band are compared with a few of the band's nodes: the one that shares most
+    bands with others, the least and ``DRAWN`` hashed ones; so a band of n nodes gives at most 8 n pairs. Pairs whose signatures are
     far below the threshold go; the others are linked if the weighted Jaccard similarity of their five-word shingles is at
     least 0.8. Classes are the connected components; ``kept`` marks the row or rows that bear the least id of their class.
 
@@ -187,11 +191,9 @@ def near_copy_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFra
     crowded = stored(banded.join(sizes, "band"), "near-bands")
     degree = crowded.groupBy("node").agg(F.sum("size").alias("degree"))
     members = crowded.join(degree, "node")
-    mark = F.xxhash64("node", F.lit("leader"))
-    leaders = members.groupBy("band").agg(
-        F.max(F.struct("degree", "node"))["node"].alias("central"), F.min("node").alias("least"), F.max(F.struct(mark.alias("mark"), F.col("node")))["node"].alias("random"),
-    )
-    pairs = members.select("node", "band").join(leaders, "band").select("node", F.explode(F.array_distinct(F.array("central", "least", "random"))).alias("leader")).where("node != leader")
+    drawn = [F.max(F.struct(F.xxhash64("node", F.lit(i)).alias("mark"), F.col("node")))["node"] for i in range(DRAWN)]
+    leaders = members.groupBy("band").agg(F.array_distinct(F.array(F.max(F.struct("degree", "node"))["node"], F.min("node"), *drawn)).alias("leaders"))
+    pairs = members.select("node", "band").join(leaders, "band").select("node", F.explode("leaders").alias("leader")).where("node != leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"{x}_id"), F.col("signature").alias(f"{x}_signature"))
