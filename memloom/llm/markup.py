@@ -1,4 +1,4 @@
-"""Blocks of a web page: runs of text between block-level tags, each with the path of the elements around it."""
+"""Blocks of a web page: runs of text between block-level tags, each with the path of the elements around it (and where each of them starts)."""
 
 from __future__ import annotations
 
@@ -33,6 +33,7 @@ NOISE_WORDS = {
 @dataclass
 class Block:
     path: str
+    elements: tuple[int, ...]
     text: str
     link: int
     noise: bool
@@ -47,7 +48,7 @@ def blocks_of(page: str | None) -> list[Block]:
     """All text blocks in page order; white space inside a block is one space, character references are decoded."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, bool, int]] = []
     parts: list[str] = []
     link = 0
 
@@ -55,7 +56,7 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal link
         text = SPACES.sub(" ", entities.unescape("".join(parts))).strip() if parts else ""
         if text:
-            out.append(Block("/".join(step for _, step, _ in stack if step), text, min(link, len(text)), bool(stack) and stack[-1][2]))
+            out.append(Block("/".join(step for _, step, _, _ in stack if step), tuple(n for _, step, _, n in stack if step), text, min(link, len(text)), bool(stack) and stack[-1][2]))
         parts.clear()
         link = 0
 
@@ -63,13 +64,13 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal link
         if text:
             parts.append(text)
-            if any(name == "a" for name, _, _ in stack):
+            if any(name == "a" for name, *_ in stack):
                 link += len(text)
 
     def close(names: set[str], fence: set[str] = frozenset()) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
-                if any(name not in INLINE for name, _, _ in stack[i:]):
+                if any(name not in INLINE for name, *_ in stack[i:]):
                     finish()
                 del stack[i:]
                 return
@@ -100,7 +101,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in INLINE:
             if tag not in VOID and not match[3].endswith("/"):
                 words = {w for _, value in ATTRIBUTE.findall(match[3]) for w in LETTERS.findall(value.lower())} if match[3] else set()
-                stack.append((tag, "", (bool(stack) and stack[-1][2]) or bool(words & NOISE_WORDS)))
+                stack.append((tag, "", (bool(stack) and stack[-1][2]) or bool(words & NOISE_WORDS), at))
             continue
         if tag not in ("br", "hr"):
             close({"p"}, {"table", "button", "object"})
@@ -111,8 +112,8 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         marks = [(name.lower(), value.strip("\"'").lower()) for name, value in ATTRIBUTE.findall(match[3])] if match[3] else []
         words = {w for _, value in marks for w in LETTERS.findall(value)}
-        inside = any(name in ("article", "main") for name, _, _ in stack)
+        inside = any(name in ("article", "main") for name, *_ in stack)
         label = "".join(("#" if name == "id" else ".") + "-".join(LETTERS.findall(value)) for name, value in sorted(marks) if name != "role")
-        stack.append((tag, tag + label, (bool(stack) and stack[-1][2]) or noisy(tag, words, inside)))
+        stack.append((tag, tag + label, (bool(stack) and stack[-1][2]) or noisy(tag, words, inside), at))
     finish()
     return out

@@ -36,9 +36,10 @@ def number(*parts: str) -> int:
 
 
 def tokens_of(blocks: list[Block]) -> dict[int, list]:
-    """Per token its kind, path, times on the page and characters outside links: every path with its ancestors, and every text
-    in its path."""
+    """Per token its kind, path, times on the page and characters outside links: every path with its ancestors, counted by
+    element, and every text in its path."""
     found: dict[int, list] = {}
+    seen: set[tuple[str, int]] = set()
     for block in blocks:
         if block.noise:
             continue
@@ -49,7 +50,9 @@ def tokens_of(blocks: list[Block]) -> dict[int, list]:
         for depth in range(1, len(steps) + 1):
             path = "/".join(steps[:depth])
             entry = found.setdefault(number("p", path), [TAG, path, 0, 0])
-            entry[2] += 1
+            element = block.elements[depth - 1] if block.elements else 0
+            entry[2] += (path, element) not in seen
+            seen.add((path, element))
             entry[3] += len(block.text) - block.link
     return found
 
@@ -110,7 +113,7 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     frequent = stored(frequent.drop("__host"), "page-frequent")
     holders = frequent.where(f"kind = {TAG}").select(F.col("host").alias("__host"), F.col("vector").alias("__vector"), F.col("path").alias("__path"))
     texts = frequent.where((F.col("kind") == TEXT) & (F.col("on_pages") >= LEAST_PAGES)).join(
-        holders, F.col("host").eqNullSafe(F.col("__host")) & (F.col("vector") == F.col("__vector")) & (F.col("path") == F.col("__path")), "left_semi",
+        holders, F.col("host").eqNullSafe(F.col("__host")) & (F.col("vector") == F.col("__vector")) & F.concat("path", F.lit("/")).startswith(F.concat("__path", F.lit("/"))), "left_semi",
     )
     kept = frequent.where(f"kind = {TAG}").unionByName(texts)
     return kept.select("host", "token", "kind", "path", "chars", "host_chars").groupBy("host").applyInArrow(template_of, "host string, region string, constant array<long>")
