@@ -15,7 +15,7 @@ from memloom.llm.shared import new_path
 CHUNK = 1 << 18
 #: Bytes of chunks that a task holds before it passes them on.
 HELD = 8 << 20
-CHUNKS = "record long, chunk int, data binary, digest binary"
+CHUNKS = "record long, chunk int, chunks int, data binary, digest binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -48,12 +48,13 @@ class Chunker:
     """Gathers chunk rows and hands them on in batches of bounded size."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, int, bytes, bytes]] = []
+        self.rows: list[tuple[int, int, int, bytes, bytes]] = []
         self.size = 0
 
     def add(self, record: int, pieces: list[memoryview | bytes]) -> Iterator[pa.RecordBatch]:
         """The pieces of a record, in order, as chunks; a chunk's digest is that of the record up to its end."""
         seen, chunk, held = hashlib.sha1(), 0, b""
+        chunks = max(1, -(-sum(map(len, pieces)) // CHUNK))
         for piece in pieces:
             view = memoryview(piece)
             at = 0
@@ -63,23 +64,23 @@ class Chunker:
                 at += take
                 if len(held) == CHUNK:
                     seen.update(held)
-                    yield from self.push(record, chunk, held, seen.digest())
+                    yield from self.push(record, chunk, chunks, held, seen.digest())
                     chunk, held = chunk + 1, b""
         if held or not chunk:
             seen.update(held)
-            yield from self.push(record, chunk, held, seen.digest())
+            yield from self.push(record, chunk, chunks, held, seen.digest())
 
     def push(self, *row) -> Iterator[pa.RecordBatch]:
         self.rows.append(row)
-        self.size += len(row[2])
+        self.size += len(row[3])
         if self.size >= HELD:
             yield self.flush()
 
     def flush(self) -> pa.RecordBatch:
-        columns = list(zip(*self.rows)) or [[], [], [], []]
+        columns = list(zip(*self.rows)) or [[]] * 5
         self.rows, self.size = [], 0
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["record", "chunk", "data", "digest"])
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["record", "chunk", "chunks", "data", "digest"])
 
 
 def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -107,7 +108,7 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
                 yield from chunker.add(record.as_py(), [head, *body, b"\r\n\r\n"])
         yield chunker.flush()
 
-    ready.mapInArrow(chunked, CHUNKS).write.parquet(path)
+    ready.mapInArrow(chunked, CHUNKS).write.option("compression", "zstd").parquet(path)
 
 
 class RecordReader:
@@ -150,7 +151,10 @@ class RecordReader:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` per record; a damaged or unfinished record raises an error."""
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` per record; a damaged or unfinished record raises an error.
+
+    Records of one chunk are read where they lie; the chunks of longer ones are brought together and put in order first.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader: RecordReader | None = None
@@ -178,8 +182,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             done.append(reader.close())
         yield flush()
 
-    chunks = spark.read.schema(CHUNKS).parquet(path).repartition("record").sortWithinPartitions("record", "chunk")
-    return chunks.mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    chunks = spark.read.schema(CHUNKS).parquet(path)
+    result = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    whole = chunks.where("chunks = 1").mapInArrow(parse, result)
+    return whole.unionByName(chunks.where("chunks > 1").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(parse, result))
 
 
 def archive_round_trip(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least: int = 0) -> DataFrame:
