@@ -156,16 +156,15 @@ def _flag_sql(pattern: str) -> str:
     return f"regexp_matches(a, '(?i){pattern}')"
 
 
-FILLER_SQL = r"^(?:thanks(?:\s+\w+)?|thank you|wow|cool|awesome|great|nice|okay|ok|sure|yeah|yep|aww|haha)\s*[,!.-]*\s*"
+FILLER_SQL = r"^(?:thanks(?:\s+[\p{L}\p{M}\p{N}_]+)?|thank you|wow|cool|awesome|great|nice|okay|ok|sure|yeah|yep|aww|haha)\s*[,!.-]*\s*"
 LEAD_SQL = r"^(?:by the way|btw|actually|well)\s*[,!.-]*\s*"
-ASCII = r"[\x00-\x7F]"
 
 
 @query("clause_cleaning_N10", "WITH " + SENTENCES_SQL + f"""
 stripped AS (
   SELECT doc_id, n, trim(regexp_replace(regexp_replace(s, '(?i){FILLER_SQL}', ''), '(?i){LEAD_SQL}', '')) AS v
-  FROM marked WHERE regexp_full_match(s, '[\\x00-\\x7F]*')),
-judged AS (SELECT *, v AS a FROM stripped)
+  FROM marked),
+judged AS (SELECT *, regexp_replace(v, '[^\\x00-\\x7F]', 'z', 'g') AS a FROM stripped)
 SELECT doc_id, n::INTEGER AS n, v AS clause FROM judged
 WHERE v <> '' AND NOT v LIKE '%?'
   AND NOT {_flag_sql('^(?:what|when|where|who|why|how|did|do|does|is|are|was|were|can|could|would|will|have|has)' + chr(92) + 'b')}
@@ -174,8 +173,7 @@ WHERE v <> '' AND NOT v LIKE '%?'
   AND NOT {_flag_sql('^(?:i agree|sounds good|good luck|congratulations|congrats)[!,. ]*$')}
 """)
 def _(spark, d):
-    sentences = _sentences(spark, d).filter(F.col("s").rlike(r"^[\x00-\x7F]*$"))
-    return sentences.select("doc_id", "n", nd.clean_clause(F.col("s")).alias("clause")).filter("clause IS NOT NULL")
+    return _sentences(spark, d).select("doc_id", "n", nd.clean_clause(F.col("s")).alias("clause")).filter("clause IS NOT NULL")
 
 
 def _cue_sql(name: str) -> str:

@@ -192,7 +192,7 @@ def _(spark, d):
 
 WINDOW_SQL = REC_SQL + """,
 pl AS (SELECT conv_id, session_id, node_id, row_number() OVER (PARTITION BY conv_id, session_id ORDER BY pos) - 1 AS place, count(*) OVER (PARTITION BY conv_id, session_id) AS turns FROM raws),
-sp AS (SELECT q, pl.conv_id, pl.session_id, rank, greatest(0, place - 1) AS s, least(turns, place + 2) AS e FROM rec JOIN pl ON pl.node_id = rec.raw_id WHERE rank <= 3),
+sp AS (SELECT q, pl.conv_id, pl.session_id, rank, greatest(0, place - 1) AS s, least(turns, place + 2) AS e FROM rec JOIN pl ON pl.node_id = rec.raw_id ),
 fl AS (SELECT *, max(e) OVER (PARTITION BY q, session_id ORDER BY s, e, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
 il AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY q, session_id ORDER BY s, e, rank ROWS UNBOUNDED PRECEDING) AS island FROM fl),
 wi AS (SELECT q, conv_id, session_id, island, min(s) AS s, max(e) AS e, min(rank) AS mr FROM il GROUP BY ALL),
@@ -202,7 +202,7 @@ wr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY mr, s, e, session_id
 @query("message_windows_P12", "WITH " + WINDOW_SQL + " SELECT wr.q AS question_id, wr.session_id, wn::INTEGER AS window_no, s::BIGINT AS \"start\", e::BIGINT AS \"end\", mr::INTEGER AS min_rank, pl.node_id FROM wr JOIN pl ON pl.conv_id = wr.conv_id AND pl.session_id = wr.session_id AND place >= s AND place < e WHERE wn <= 12")
 def _(spark, d):
     rows, nodes = records(spark, d)
-    return pk.message_windows(rows.filter("rank <= 3"), nodes.filter("type = 'RAW'"), 1).select("question_id", "session_id", "window_no", "start", "end", "min_rank", "node_id")
+    return pk.message_windows(rows, nodes.filter("type = 'RAW'"), 1).select("question_id", "session_id", "window_no", "start", "end", "min_rank", "node_id")
 
 
 @query("message_chunks_P13", "WITH " + REC_SQL + ", ch AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY substr(session_id, 2)::INT, pos, raw_id) AS c FROM rec) SELECT q AS question_id, raw_id AS node_id, rank::INTEGER AS rank, c::INTEGER AS chunk_no FROM ch WHERE c <= 24")
@@ -223,7 +223,7 @@ def _(spark, d):
 
 
 @query("entity_summaries_P16", "WITH " + REC_SQL + """, ef AS (SELECT conv_id, conv_id || ':' || speaker AS e, 'ENTITY' AS ty, node_id AS f FROM facts UNION ALL SELECT conv_id, conv_id || ':' || speaker || ':' || session_id, 'ENTITY_STATE', node_id FROM facts),
-sz AS (SELECT e, count(DISTINCT f) AS fc FROM ef GROUP BY e), ov AS (SELECT q, e, ty, count(*) AS o FROM rec JOIN ef ON ef.f = rec.node_id WHERE rank <= 3 GROUP BY ALL),
+sz AS (SELECT e, count(DISTINCT f) AS fc FROM ef GROUP BY e), ov AS (SELECT q, e, ty, count(*) AS o FROM rec JOIN ef ON ef.f = rec.node_id GROUP BY ALL),
 r AS (SELECT ov.*, fc, row_number() OVER (PARTITION BY q ORDER BY ty = 'ENTITY_STATE' DESC, o DESC, fc DESC, ov.e) AS n FROM ov JOIN sz ON sz.e = ov.e) SELECT q AS question_id, e AS entity_node_id, o AS overlap, fc AS fact_count, n::INTEGER AS entity_no FROM r WHERE n <= 14""")
 def _(spark, d):
     rows, nodes = records(spark, d)
@@ -231,7 +231,7 @@ def _(spark, d):
     entity = F.concat_ws(":", "conv_id", "speaker")
     pairs = facts.select("conv_id", entity.alias("entity_node_id"), F.lit("ENTITY").alias("entity_type"), F.col("node_id").alias("fact_id")).unionByName(
         facts.select("conv_id", F.concat_ws(":", entity, F.col("session_id")).alias("entity_node_id"), F.lit("ENTITY_STATE").alias("entity_type"), F.col("node_id").alias("fact_id")))
-    return pk.entity_summaries(rows.filter("rank <= 3"), pairs).select("question_id", "entity_node_id", "overlap", "fact_count", "entity_no")
+    return pk.entity_summaries(rows, pairs).select("question_id", "entity_node_id", "overlap", "fact_count", "entity_no")
 
 
 CLASSES = ["detail", "detail", "count", "detail", "temporal", "detail", "detail", "detail", "detail", "detail", "temporal", "inference"]

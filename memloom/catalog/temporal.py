@@ -596,7 +596,7 @@ FROM gp JOIN st ON st.q = gp.q AND st.g = gp.g JOIN fm ON fm.q = gp.q AND fm.n =
 def _(spark, d):
     times, links = _chain(spark, d)
     first = times.groupBy("question_id").agg(F.min_by(F.struct("event_id", "at"), "event_id").alias("f")).select("question_id", F.col("f.event_id").cast("string").alias("event_id"), "f.at")
-    known, _ = tp.propagate(first, links, 8)
+    known, _ = tp.propagate(first, links)
     return known.select("question_id", "event_id", tm.iso(F.col("at")).alias("at"))
 
 

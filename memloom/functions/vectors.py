@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memloom.functions import text as tx
+
 EPS = 1e-7
 
 # Radial offsets of the deterministic mapper and level scales of the hierarchy projection.
@@ -41,8 +43,7 @@ def cosine(left: Column, right: Column) -> Column:
 
 
 def normalize(vector: Column) -> Column:
-    size = norm(vector)
-    return F.when(size <= 1e-12, vector).otherwise(F.transform(vector, lambda x: x / size))
+    return tx.let(norm(vector), lambda size: F.when(size <= 1e-12, vector).otherwise(F.transform(vector, lambda x: x / size)))
 
 
 def scale(vector: Column, factor: Column) -> Column:
@@ -56,10 +57,9 @@ def _spatial(point: Column) -> Column:
 def exp_map(tangent: Column, curvature: float = 1.0) -> Column:
     """Point on the hyperboloid reached from the origin along a tangent vector (time coordinate first)."""
     root = math.sqrt(curvature)
-    length = norm(tangent)
-    spatial = F.transform(tangent, lambda x: x * (F.sinh(length * root) / F.greatest(length * root, F.lit(EPS))))
-    time = F.sqrt(F.lit(1.0 / curvature) + F.aggregate(spatial, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.concat(F.array(time), spatial)
+    stretch = tx.let(norm(tangent) * root, lambda length: F.sinh(length) / F.greatest(length, F.lit(EPS)))
+    spatial = tx.let(stretch, lambda factor: F.transform(tangent, lambda x: x * factor))
+    return tx.let(spatial, lambda s: F.concat(F.array(F.sqrt(F.lit(1.0 / curvature) + F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x * x))), s))
 
 
 def lorentz_inner(left: Column, right: Column) -> Column:

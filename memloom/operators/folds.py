@@ -7,13 +7,12 @@ conversation: a session for topic segments, a topic for events and episodes, an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
@@ -147,31 +146,22 @@ def event_segments(
 # --- greedy clustering -----------------------------------------------------------------------------------
 
 
-def session_numbers(sessions) -> list[int]:
-    found = [re.search(r"\d+", s or "") for s in sessions]
-    return [int(m.group(0)) for m in found if m]
+def steps_apart(left: set[int], right: set[int]) -> int:
+    """Least distance of two sets of session numbers, 2 where one of them is empty."""
+    return min((abs(a - b) for a in left for b in right), default=2)
 
 
-def session_gap(session: str, others: set[str]) -> int:
-    if not session or not others or session in others:
-        return 0
-    mine, theirs = session_numbers([session]), session_numbers(others)
-    if not mine or not theirs:
-        return 2
-    return min(abs(mine[0] - n) for n in theirs)
+def with_session_numbers(rows: DataFrame, sessions: Column) -> DataFrame:
+    """Adds ``numbers``, the numbers in the session ids of a row."""
+    return rows.withColumn("numbers", F.array_compact(F.transform(sessions, tx.session_number)))
 
 
-def session_span(sessions) -> int:
-    numbers = session_numbers(sessions)
-    return max(numbers) - min(numbers) if numbers else 0
-
-
-def session_similarity(left: set[str], right: set[str]) -> float:
-    if not left or not right:
+def session_similarity(left: dict[str, set], right: dict[str, set]) -> float:
+    if not left["sessions"] or not right["sessions"]:
         return 0.0
-    if left & right:
+    if left["sessions"] & right["sessions"]:
         return 1.0
-    return 0.5 if min(session_gap(s, right) for s in left) == 1 else 0.0
+    return 0.5 if steps_apart(left["numbers"], right["numbers"]) == 1 else 0.0
 
 
 def set_overlap(left: set, right: set) -> float:
@@ -252,15 +242,16 @@ def cluster_events(
     def read(row):
         return unit(row["vector"]), {
             "terms": set(row["terms"]), "entities": set(row["entities"]),
-            "sessions": {row["session"]} if row["session"] else set(),
+            "sessions": {row["session"]} if row["session"] else set(), "numbers": set(row["numbers"]),
             "speakers": {row["speaker"]} if row["speaker"] else set(),
         }
 
     def score(vector, sets, cluster):
-        session = next(iter(sets["sessions"]), "")
-        if session_span(cluster.sets["sessions"] | sets["sessions"]) > max_session_gap:
+        held, known = cluster.sets["sessions"], cluster.sets["numbers"] | sets["numbers"]
+        if known and max(known) - min(known) > max_session_gap:
             return None
-        gap = session_gap(session, cluster.sets["sessions"])
+        apart = held and sets["sessions"] and not held & sets["sessions"]
+        gap = steps_apart(sets["numbers"], cluster.sets["numbers"]) if apart else 0
         near = 1.0 if gap == 0 else 0.5 if gap == 1 else 0.0
         return (
             0.60 * cosine(vector, cluster.centre)
@@ -276,7 +267,7 @@ def cluster_events(
         F.col("order_key.session").alias("o1"), F.col("order_key.number").alias("o2"), F.col("order_key.id").alias("o3"),
     )
     return sorted_fold(
-        source, ["conv_id"], ["o1", "o2", "o3", "pos"], greedy_maker(read, score, threshold, max_facts, scan),
+        with_session_numbers(source, F.array("session")), ["conv_id"], ["o1", "o2", "o3", "pos"], greedy_maker(read, score, threshold, max_facts, scan),
         "event_no long", ["conv_id", "node_id", "pos"],
     )
 
@@ -307,18 +298,18 @@ def cluster_topics(events: DataFrame, threshold: float = 0.52, max_events: int =
     """Online topic clusters of events ``(conv_id, event_id, vector, terms, entities, sessions, first_pos)``."""
 
     def read(row):
-        return unit(row["vector"]), {k: set(row[k]) for k in ("terms", "entities", "sessions")}
+        return unit(row["vector"]), {k: set(row[k]) for k in ("terms", "entities", "sessions", "numbers")}
 
     def score(vector, sets, cluster):
         return (
             0.65 * cosine(vector, cluster.centre)
             + 0.20 * set_overlap(sets["entities"], cluster.sets["entities"])
             + 0.10 * set_overlap(sets["terms"], cluster.sets["terms"])
-            + 0.05 * session_similarity(sets["sessions"], cluster.sets["sessions"])
+            + 0.05 * session_similarity(sets, cluster.sets)
         )
 
     return sorted_fold(
-        events.select("conv_id", "event_id", "vector", "terms", "entities", "sessions", "first_pos"),
+        with_session_numbers(events.select("conv_id", "event_id", "vector", "terms", "entities", "sessions", "first_pos"), F.col("sessions")),
         ["conv_id"], ["first_pos", "event_id"], greedy_maker(read, score, threshold, max_events),
         "topic_no long", ["conv_id", "event_id", "first_pos"],
     )

@@ -129,14 +129,10 @@ def token_overlap(rows: DataFrame, key: Sequence[str], prediction: str, gold: st
     """Token F1 and BLEU-1 (with brevity penalty) per row from multiset overlap."""
     key = list(key)
     sized = rows.select(*key, answer_tokens(F.col(prediction)).alias("p"), answer_tokens(F.col(gold)).alias("g"))
-    counted = (
-        sized.select(*key, F.explode("p").alias("t"), F.lit(1).alias("cp"), F.lit(0).alias("cg"))
-        .unionByName(sized.select(*key, F.explode("g").alias("t"), F.lit(0).alias("cp"), F.lit(1).alias("cg")))
-        .groupBy(*key, "t").agg(F.sum("cp").alias("cp"), F.sum("cg").alias("cg"))
-        .groupBy(*key).agg(F.sum(F.least("cp", "cg")).alias("common"))
-    )
+    times = lambda tokens, token: F.size(F.filter(tokens, lambda t: t == token))
+    shared = F.aggregate(F.array_intersect("p", "g"), F.lit(0), lambda acc, t: acc + F.least(times(F.col("p"), t), times(F.col("g"), t)))
+    joined = sized.select(*key, F.size("p").alias("np"), F.size("g").alias("ng"), shared.alias("common"))
     np_, ng = F.col("np"), F.col("ng")
-    joined = sized.select(*key, F.size("p").alias("np"), F.size("g").alias("ng")).join(counted, key, "left").withColumn("common", F.coalesce("common", F.lit(0)))
     precision, recall = F.col("common") / np_, F.col("common") / ng
     f1 = F.when((np_ == 0) | (ng == 0) | (F.col("common") == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
     brevity = F.when(np_ > ng, 1.0).otherwise(F.exp(1 - ng / np_))

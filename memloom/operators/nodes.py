@@ -464,23 +464,15 @@ def anchor_confidence(
 
 
 def hash_embedding(texts: DataFrame, key: list[str], dim: int = 31) -> DataFrame:
-    """Signed hashed bag-of-words vectors, unit length, keyed by ``key``.
+    """Signed hashed bag-of-words vectors, unit length, keyed by ``key``; every row is computed by itself."""
+
+    def signed(token: Column) -> Column:
+        value = F.conv(F.left(F.md5(token), F.lit(8)), 16, 10).cast("bigint")
+        return F.struct(F.pmod(value, F.lit(dim)).cast("int").alias("bucket"), F.when(F.pmod(F.shiftright(value, 8), F.lit(2)) == 1, 1.0).otherwise(-1.0).alias("sign"))
+
+    def dense(signs: Column) -> Column:
+        cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(signs, F.lit(0.0), lambda sum_, s: F.when(s["bucket"] == i, sum_ + s["sign"]).otherwise(sum_)))
+        return tx.let(cells, lambda c: tx.let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)), lambda size: F.transform(c, lambda x: F.when(size > 0, x / size).otherwise(0.0))))
+
+    return texts.select(*key, tx.let(F.transform(tx.lexical_tokens("text"), signed), dense).alias("vector"))
 
-    Tokens are counted per bucket with a map-side combinable sum; only ``dim`` cells per key are gathered.
-    """
-    value = F.conv(F.left(F.md5("token"), F.lit(8)), 16, 10).cast("bigint")
-    cells = (
-        texts.select(*key, F.explode(tx.lexical_tokens("text")).alias("token"))
-        .groupBy(*key, "token").count()
-        .select(*key, F.pmod(value, F.lit(dim)).cast("int").alias("bucket"),
-                (F.when(F.pmod(F.shiftright(value, 8), F.lit(2)) == 1, 1.0).otherwise(-1.0) * F.col("count")).alias("sign"))
-        .groupBy(*key, "bucket").agg(F.sum("sign").alias("cell"))
-        .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "cell"))).alias("cells"),
-                           F.sqrt(F.sum(F.col("cell") * F.col("cell"))).alias("size"))
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.when(F.col("size") > 0, F.coalesce(F.try_element_at("cells", i), F.lit(0.0)) / F.col("size")).otherwise(F.lit(0.0)),
-    )
-    empty = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.lit(0.0))
-    return texts.select(*key).join(cells, key, "left").select(*key, F.coalesce(dense, empty).alias("vector"))

@@ -37,15 +37,15 @@ def convert_json_array(spark: SparkSession, path: str, target: str, schema: str)
 
 def session_turns(documents: DataFrame) -> DataFrame:
     """Turns in session order; a missing id becomes ``D{session}:{running turn number}``."""
-    numbers = F.sequence(F.lit(1), F.lit(99))
-    keyed = F.filter(numbers, lambda n: F.map_contains_key("conversation", F.concat(F.lit("session_"), n.cast("string"))))
+    names = F.filter(F.map_keys("conversation"), lambda key: key.rlike("^session_[1-9][0-9]*$"))
+    keyed = F.array_sort(F.transform(names, lambda key: F.substring(key, 9, 10).cast("int")))
     bodies = F.transform(keyed, lambda n: F.struct(n.alias("n"), F.element_at("conversation", F.concat(F.lit("session_"), n.cast("string"))).alias("body"),
                                                    F.try_element_at("conversation", F.concat(F.lit("session_"), n.cast("string"), F.lit("_date_time"))).alias("ts")))
     sessions = documents.select(F.col("sample_id").alias("conv_id"), F.posexplode(bodies).alias("s", "e")).select(
         "conv_id", "s", F.col("e.n").alias("n"), F.col("e.ts").alias("ts"), F.from_json("e.body", SESSION_TURNS).alias("turns"))
     rows = sessions.select("conv_id", "s", "n", "ts", F.posexplode("turns").alias("i", "t"))
     sizes = sessions.select("conv_id", "s", F.size("turns").alias("size"))
-    # at most 99 sessions per conversation: the running offset is a sum over a short window
+    # one row per session of a conversation: the running offset is a sum over a short window
     before = Window.partitionBy("conv_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("conv_id", "s", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     placed = rows.join(offsets, ["conv_id", "s"]).withColumn("pos", F.col("offset") + F.col("i"))

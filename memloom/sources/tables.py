@@ -38,13 +38,13 @@ def as_marked_turns(conversations: DataFrame) -> DataFrame:
     """Turns with a change or denial cue added by turn number, for the update and conflict rules."""
     cue = F.when(F.col("turn") % 3 == 0, " and this has changed since yesterday evening").when(
         F.col("turn") % 3 == 1, " and that is not true since yesterday evening").otherwise(" and so on since yesterday evening")
-    return as_turns(conversations.withColumn("text", F.concat(F.substring_index("text", " ", 4), cue)))
+    return as_turns(conversations.withColumn("text", F.concat("text", cue)))
 
 
 def marked_sql(sql: str) -> str:
     """The oracle's turn table with the same cues."""
     cue = (
-        "array_to_string(string_split(text, ' ')[1:4], ' ') || CASE turn % 3 WHEN 0 THEN ' and this has changed since yesterday evening' "
+        "text || CASE turn % 3 WHEN 0 THEN ' and this has changed since yesterday evening' "
         "WHEN 1 THEN ' and that is not true since yesterday evening' ELSE ' and so on since yesterday evening' END AS text,"
     )
     return sql.replace("role AS speaker, text,", f"role AS speaker, {cue}")

@@ -27,10 +27,18 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def run_available(stream: DataFrame, target: str, mode: str = "append") -> DataFrame:
-    """Process what is there into a Parquet sink with its own checkpoint, and read the result."""
+    """Process what is there into Parquet with its own checkpoint, and read the result.
+
+    In complete mode every micro-batch replaces the table by the whole current result, so the last one also holds what the
+    watermark has not closed yet.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("parquet").option("path", f"{target}/data").option("checkpointLocation", f"{target}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.option("checkpointLocation", f"{target}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{target}/data"))
+    else:
+        writer = writer.format("parquet").option("path", f"{target}/data")
+    writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{target}/data")
 
 
@@ -40,14 +48,15 @@ def extracted_nodes(turns: DataFrame) -> DataFrame:
 
 
 def session_activity(turns: DataFrame, delay: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
-    """Turns and first and last time per conversation and activity session, final once the watermark passes.
+    """Turns, distinct speakers and first and last time per conversation and activity session.
 
-    Distinct speakers are counted approximately by a sketch, the only form a stream keeps in bounded state.
+    In append mode a session leaves when the watermark has passed it and its state goes; in complete mode all are kept. A
+    session's speakers are a set in its state: as many as take part in it.
     """
     return (
         turns.withWatermark("ts", delay)
         .groupBy("conv_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("turns"), F.approx_count_distinct("speaker").alias("speakers"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .agg(F.count(F.lit(1)).alias("turns"), F.size(F.collect_set("speaker")).cast("long").alias("speakers"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
         .drop("w")
     )
 
@@ -84,29 +93,45 @@ def change_edges(turns: DataFrame, window: int = 20, min_similarity: float = 0.1
 
 
 def _versions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = json.loads(state.get[0]) if state.exists else {"open": None, "late": 0}
+    held = state.get if state.exists else (None, None, None, 0)
+    passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
     rows = pd.concat(list(batches)).sort_values(["ts", "state_id"])
-    closed, late = [], 0
+    start, state_id, value, late = held
+    out = []
     for row in rows.itertuples(index=False):
-        stamp = row.ts.isoformat()
-        current = held["open"]
-        if current is not None and (pd.Timestamp(stamp), row.state_id) < (pd.Timestamp(current[0]), current[1]):
+        if row.ts < passed or start is not None and (row.ts, row.state_id) < (pd.Timestamp(start), state_id):
             late += 1
             continue
-        if current is not None:
-            closed.append((key[0], key[1], current[1], current[2], pd.Timestamp(current[0]), row.ts, row.state_id, held["late"] + late))
-        held["open"] = [stamp, int(row.state_id), int(row.value)]
-    held["late"] += late
-    state.update((json.dumps(held),))
-    yield pd.DataFrame(closed, columns=[c.split()[0] for c in VERSION_OUTPUT.split(", ")])
+        if start is not None:
+            out.append((key[0], key[1], state_id, value, pd.Timestamp(start), row.ts, row.state_id, late))
+        start, state_id, value = row.ts.isoformat(), int(row.state_id), int(row.value)
+    state.update((start, state_id, value, late))
+    if start is not None:
+        out.append((key[0], key[1], state_id, value, pd.Timestamp(start), None, None, late))
+    produced = pd.DataFrame(out, columns=[c.split()[0] for c in VERSION_OUTPUT.split(", ")])
+    yield produced.astype({"next_id": "Int64", "valid_to": "datetime64[ns]"})
+
+
+def state_versions(states: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Versions per (entity, attribute): a closed one as the next state arrives, and the open one (no ``valid_to``) of every
+    micro-batch that touches the key. Rows behind the watermark or older than the open version are left out and counted in
+    ``late_rows``. State is the open version of each key, nothing else.
+
+    ``states``: (entity, attribute, state_id, value, ts).
+    """
+    return states.withWatermark("ts", delay).groupBy("entity", "attribute").applyInPandasWithState(
+        _versions, VERSION_OUTPUT, "start string, state_id long, value long, late long", "append", "NoTimeout")
 
 
-def state_versions(states: DataFrame) -> DataFrame:
-    """Closed versions per (entity, attribute) as the next one arrives; rows older than the open version are
-    dropped and counted in ``late_rows``. ``states``: (entity, attribute, state_id, value, ts)."""
-    return states.groupBy("entity", "attribute").applyInPandasWithState(_versions, VERSION_OUTPUT, "held string", "append", "NoTimeout")
+def latest_versions(versions: DataFrame) -> DataFrame:
+    """The emitted versions with each state once: closed where a later micro-batch has closed it, else open."""
+    keys = ["entity", "attribute", "state_id"]
+    return versions.groupBy(*keys).agg(
+        F.max_by(F.struct("value", "valid_from", "valid_to", "next_id", "late_rows"), F.struct(F.col("next_id").isNotNull(), F.col("late_rows"))).alias("v")
+    ).select(*keys, "v.*")
 
 
-def open_versions_at(versions: DataFrame, asked: DataFrame) -> DataFrame:
-    """As-of answers of a static question table against streamed closed versions."""
-    return versions.join(asked, ["entity", "attribute"]).filter("valid_from <= at AND at < valid_to")
+def versions_at(versions: DataFrame, asked: DataFrame) -> DataFrame:
+    """As-of answers of ``asked (entity, attribute, at, ...)``: the version, closed or open, that holds at that time."""
+    held = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
+    return versions.join(asked, ["entity", "attribute"]).filter(held)

@@ -62,8 +62,20 @@ def test_streamed_versions_drop_and_count_late_rows(spark, tmp_path):
     at = lambda n: __import__("datetime").datetime(2024, 1, n)
     write_batch(spark, str(tmp_path / "in"), "b0", [("a", "x", 1, 1, at(1)), ("a", "x", 3, 3, at(5))], schema)
     write_batch(spark, str(tmp_path / "in"), "b1", [("a", "x", 2, 2, at(3)), ("a", "x", 4, 4, at(9))], schema)
-    rows = st.run_available(st.state_versions(stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out")).orderBy("state_id").collect()
-    assert [(r.state_id, r.next_id, r.late_rows) for r in rows] == [(1, 3, 0), (3, 4, 1)]
+    versions = st.latest_versions(st.run_available(st.state_versions(stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out")))
+    rows = versions.orderBy("state_id").collect()
+    assert [(r.state_id, r.next_id, r.late_rows) for r in rows] == [(1, 3, 0), (3, 4, 1), (4, None, 1)]
+    asked = spark.createDataFrame([("a", "x", 1, at(2)), ("a", "x", 2, at(9)), ("a", "x", 3, at(30)), ("a", "x", 4, __import__("datetime").datetime(2023, 1, 1))], "entity string, attribute string, ask long, at timestamp")
+    assert sorted((r.ask, r.state_id) for r in st.versions_at(versions, asked).collect()) == [(1, 1), (2, 4), (3, 4)]
+
+
+def test_streamed_sessions_keep_the_open_ones(spark, tmp_path):
+    schema = "conv_id string, speaker string, ts timestamp"
+    at = lambda minute: __import__("datetime").datetime(2024, 1, 1, minute // 60, minute % 60)
+    write_batch(spark, str(tmp_path / "in"), "b0", [("c", "a", at(0)), ("c", "b", at(30)), ("c", "a", at(61))], schema)
+    write_batch(spark, str(tmp_path / "in"), "b1", [("c", "c", at(70)), ("d", "a", at(600))], schema)
+    rows = st.run_available(st.session_activity(stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), "complete").collect()
+    assert sorted((r.conv_id, r.turns, r.speakers) for r in rows) == [("c", 2, 2), ("c", 2, 2), ("d", 1, 1)]
 
 
 def test_graph_store_round_trip(spark, tmp_path):
