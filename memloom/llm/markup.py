@@ -28,6 +28,8 @@ NOISE_WORDS = {
     "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "reply", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored",
     "subscribe", "toolbar", "widget", "contentinfo", "complementary", "search",
 }
+HEADER_WORDS = {"header", "masthead"}
+WHOLE = {"html", "body", "main", "article"}
 
 
 @dataclass
@@ -40,7 +42,12 @@ class Block:
 
 
 def noisy(tag: str, words: set[str], inside: bool) -> bool:
-    """Whether an element starts something that is not the article; a header inside the article belongs to it."""
+    """Whether an element starts something that is not the article; a header inside the article belongs to it, and what the
+    classes of the page as a whole say is about its layout."""
+    if tag in WHOLE:
+        return False
+    if inside:
+        words = words - HEADER_WORDS
     return tag in NOISE_TAGS or (tag == "header" and not inside) or bool(words & NOISE_WORDS)
 
 

@@ -73,6 +73,11 @@ def test_blocks_close_as_html_does():
     assert texts == ["a", "b c", "d", "e", "f", "ghi"]
 
 
+def test_blocks_of_layout_classes():
+    blocks = blocks_of("<body class='has-sidebar nav-open'><div class=page-header>x</div><article class='with-comments'><div class='article-header'><h1>a</h1></div><p>b<div class=share-bar>y</div></article></body>")
+    assert [b.text for b in blocks if not b.noise] == ["a", "b"]
+
+
 DOCS = "doc_id long, text string, lang string, source string, size int"
 
 
