@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memloom.catalog import query
+from memloom.catalog import BUILT, query
 from memloom.operators import edges as ed
 from memloom.operators import nodes as nd
 from memloom.session import cut_lineage
@@ -43,25 +43,22 @@ edges AS (SELECT conv_id, src, dst, relation, confidence FROM e_support UNION AL
 """
 
 
-_STORED: dict[tuple[str, str, str], object] = {}
-
-
-def stored(spark, d, name, build):
-    """A table built once per application and folder and kept as a checkpoint, like a written table."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _STORED:
-        _STORED[key] = cut_lineage(build())
-    return _STORED[key]
+def stored(name, build):
+    """A table that several parts of one query use, built once per call of the query and kept as a checkpoint."""
+    built = BUILT.get({})
+    if name not in built:
+        built[name] = cut_lineage(build())
+    return built[name]
 
 
 def graph_nodes(spark, d):
-    return stored(spark, d, "nodes", lambda: tb.nodes(spark, d))
+    return stored("nodes", lambda: tb.nodes(spark, d))
 
 
 def graph(spark, d):
     """Node and edge tables of the dialogues, built once and reused by every query over them."""
     nodes = graph_nodes(spark, d)
-    return nodes, stored(spark, d, "edges", lambda: ed.build_edges(nodes))
+    return nodes, stored("edges", lambda: ed.build_edges(nodes))
 
 
 def split(nodes):

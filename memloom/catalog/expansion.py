@@ -53,7 +53,7 @@ def seeded(spark, d):
     nodes, edges = graph(spark, d)
     facts = nodes.filter("type = 'FACT'")
     q = questions(spark, d)
-    hits = stored(spark, d, "hits", lambda: re_.normalize_scores(
+    hits = stored("hits", lambda: re_.normalize_scores(
         re_.bm25_top_k(q, facts, 100, "question_id", "node_id", "conv_id", query_text="question")))
     return q, nodes, facts, edges, hits, hits.filter(F.col("rank") <= SEEDS)
 
@@ -333,7 +333,7 @@ def anchor_paths(spark, d, per_question: int = 5):
     nodes, edges = graph(spark, d)
     anchors = nodes.filter("type = 'ANCHOR'")
     q = questions(spark, d)
-    vectors = stored(spark, d, "node_vectors", lambda: nd.hash_embedding(nodes, ["node_id"], 31))
+    vectors = stored("node_vectors", lambda: nd.hash_embedding(nodes, ["node_id"], 31))
     points = vectors.join(nodes.select("conv_id", "node_id", "type", "status", "confidence"), "node_id").select(
         "conv_id", "node_id", "vector", vx.project_node(F.col("vector"), F.col("type"), F.col("status"), F.col("confidence")).alias("point"))
     q_vec = nd.hash_embedding(q.select("question_id", F.col("question").alias("text")), ["question_id"], 31)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from memloom.functions import text as tx
 from memloom.functions import vectors as vx
 from memloom.operators.ordering import top_per
+from memloom.session import cut_lineage
 
 
 def term_statistics(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -24,49 +25,76 @@ def term_statistics(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     return postings, frequency, totals
 
 
-def bm25_scores(
-    queries: DataFrame, docs: DataFrame, query: str = "question_id", doc: str = "doc_id", scope: str | None = None,
-    k1: float = 1.5, b: float = 0.75, query_text: str = "text", doc_text: str = "text",
-) -> DataFrame:
-    """BM25 score of every (question, document) pair that shares a term.
+def _bm25_parts(
+    queries: DataFrame, docs: DataFrame, query: str, doc: str, scope: str | None, k1: float, b: float, query_text: str, doc_text: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Weighted question terms and the stored postings of the terms that some question uses, each with its ``part`` of a score.
 
-    Documents are tokenised once; only terms some question uses are counted and shuffled. Repeated query terms
-    add repeatedly. With ``scope`` (a conversation column on both sides) statistics and matches stay inside it.
+    Documents are tokenised once: next to its used terms every document has a row of the empty term, which no token is, and the
+    corpus totals come from those rows. Repeated question terms add repeatedly.
     """
     keys = [scope] if scope else []
     wanted = (
         queries.select(*keys, query, F.explode(tx.lexical_tokens(query_text)).alias("term"))
         .groupBy(*keys, query, "term").agg(F.count(F.lit(1)).alias("times"))
     )
-    vocabulary = wanted.select(*keys, "term").distinct()
+    everywhere = docs.select(*keys).distinct().withColumn("term", F.lit("")) if keys else docs.sparkSession.range(1).select(F.lit("").alias("term"))
+    vocabulary = wanted.select(*keys, "term").unionByName(everywhere).distinct()
     tokens = docs.select(*keys, doc, tx.raw_tokens(doc_text).alias("tokens")).withColumn("doc_len", F.size("tokens"))
-    exploded = tokens.select(*keys, doc, "doc_len", F.explode("tokens").alias("token"))
+    exploded = tokens.select(*keys, doc, "doc_len", F.explode(F.concat(F.array(F.lit("")), F.col("tokens"))).alias("token"))
     used = exploded.select(*keys, doc, "doc_len", F.lower("token").alias("term")).join(vocabulary, [*keys, "term"], "left_semi")
-    postings = used.groupBy(*keys, doc, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = cut_lineage(used.groupBy(*keys, doc, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    totals = counted.filter("term = ''").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    postings = counted.filter("term <> ''")
     frequency = postings.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
-    totals = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(tx.token_count(doc_text)).alias("avg_len"))
-    weighted = wanted.join(frequency, [*keys, "term"])
     if keys:
-        weighted = weighted.join(totals, keys)
+        weighted, placed = wanted.join(frequency, [*keys, "term"]).join(totals, keys), postings.join(totals, keys)
     else:
         corpus = totals.select(F.struct("n_docs", "avg_len").alias("t")).scalar()
-        weighted = weighted.withColumn("t", corpus).select("*", "t.n_docs", "t.avg_len")
+        weighted, placed = (df.withColumn("t", corpus).select("*", "t.n_docs", "t.avg_len") for df in (wanted.join(frequency, "term"), postings))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = weighted.select(*keys, query, "term", (F.col("times") * idf).alias("weight"), "avg_len")
     length = 1 - b + b * F.col("doc_len") / F.greatest(F.col("avg_len"), F.lit(1e-6))
-    part = F.col("weight") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length))
-    return (
-        weighted.join(postings, [*keys, "term"])
-        .groupBy(*keys, query, doc).agg(F.sum(part).alias("score")).filter(F.col("score") > 0)
-    )
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
+    return weighted.select(*keys, query, "term", (F.col("times") * idf).alias("weight")), placed.select(*keys, doc, "term", part.alias("part"))
+
+
+def _bm25_sum(pairs: DataFrame, keys: list[str], query: str, doc: str) -> DataFrame:
+    return pairs.groupBy(*keys, query, doc).agg(F.sum(F.col("weight") * F.col("part")).alias("score")).filter(F.col("score") > 0)
+
+
+def bm25_scores(
+    queries: DataFrame, docs: DataFrame, query: str = "question_id", doc: str = "doc_id", scope: str | None = None,
+    k1: float = 1.5, b: float = 0.75, query_text: str = "text", doc_text: str = "text",
+) -> DataFrame:
+    """BM25 score of every (question, document) pair that shares a term. With ``scope`` (a conversation column on both sides)
+    statistics and matches stay inside it."""
+    keys = [scope] if scope else []
+    weighted, postings = _bm25_parts(queries, docs, query, doc, scope, k1, b, query_text, doc_text)
+    return _bm25_sum(weighted.join(postings, [*keys, "term"]), keys, query, doc)
 
 
 def bm25_top_k(
     queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "question_id", doc: str = "doc_id",
-    scope: str | None = None, order: str | None = None, **kwargs,
+    scope: str | None = None, order: str | None = None, k1: float = 1.5, b: float = 0.75, query_text: str = "text", doc_text: str = "text",
 ) -> DataFrame:
-    """Best ``k`` documents per question; scores equal to nine digits keep document order."""
-    scores = bm25_scores(queries, docs, query, doc, scope, **kwargs)
+    """Best ``k`` documents per question; scores equal to nine digits keep document order.
+
+    Exact pruning: the ``k``-th largest part of a single term is a floor of a question's ``k``-th score. A question's weakest
+    terms whose largest parts together stay below the floor cannot bring in a document by themselves, so documents come from
+    the other, strong terms; the weak ones, which are the words that everybody uses, only complete the scores of those.
+    """
+    keys = [scope] if scope else []
+    weighted, postings = _bm25_parts(queries, docs, query, doc, scope, k1, b, query_text, doc_text)
+    best = top_per(postings, [*keys, "term"], [F.desc("part"), F.asc(doc)], k, "place").groupBy(*keys, "term").agg(
+        F.max("part").alias("largest"), F.coalesce(F.max(F.when(F.col("place") == k, F.col("part"))), F.lit(0.0)).alias("kth"))
+    rated = weighted.join(best, [*keys, "term"]).select("*", (F.col("weight") * F.col("largest")).alias("most"), (F.col("weight") * F.col("kth")).alias("least"))
+    own = Window.partitionBy(*keys, query)
+    reach = F.sum("most").over(own.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rated = rated.select(*keys, query, "term", "weight", (reach >= F.max("least").over(own) - 1e-6).alias("strong"))
+    strong, weak = (rated.filter(c).drop("strong") for c in ("strong", "NOT strong"))
+    found = strong.join(postings, [*keys, "term"]).groupBy(*keys, query, doc).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    added = found.select(*keys, query, doc).join(weak, [*keys, query]).join(postings, [*keys, doc, "term"]).groupBy(*keys, query, doc).agg(F.sum(F.col("weight") * F.col("part")).alias("extra"))
+    scores = found.join(added, [*keys, query, doc], "left").select(*keys, query, doc, (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score")).filter(F.col("score") > 0)
     return top_per(scores, [query], [F.desc(F.round("score", 9)), F.asc(order or doc)], k)
 
 

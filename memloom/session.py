@@ -31,13 +31,17 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def own_folder(spark: SparkSession) -> str:
+    """A folder of this machine, where the cluster names none: right for a local master alone, refused on any other."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+
 
-    Only where that setting is absent (tests, a laptop) a folder of our own is chosen.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(spark) or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        context.setCheckpointDir(checkpoint_folder(spark) or own_folder(spark))
     return df.checkpoint(eager=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -11,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators.ordering import first_per, top_per
-from memloom.session import checkpoint_folder
+from memloom.session import checkpoint_folder, own_folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A fresh folder under the cluster's ``spark.checkpoint.dir``; one of this machine for a local master without it."""
     base = checkpoint_folder(spark)
-    return f"{base.rstrip('/')}/memloom-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/memloom-{uuid.uuid4().hex}" if base else own_folder(spark)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
