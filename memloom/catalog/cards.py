@@ -131,20 +131,20 @@ def training_rows(spark, d):
 @query("ranking_model_C09")
 def _(spark, d):
     rows = training_rows(spark, d)
-    model = ca.fit_ranker(rows, SMALL, trees=8, depth=3)
+    model = ca.fit_ranker(rows, SMALL)
     return ca.score_rows(model, rows, SMALL, [Q, "node_id"]).withColumn("model_score", F.round("model_score", 6))
 
 
 @query("cross_validated_scores_C10")
 def _(spark, d):
     rows = training_rows(spark, d)
-    return ca.cross_validate(rows, [0, 1, 2], SMALL, "fold", trees=4, depth=3)[0].withColumn("model_score", F.round("model_score", 6))
+    return ca.cross_validate(rows, [0, 1, 2], SMALL, "fold")[0].withColumn("model_score", F.round("model_score", 6))
 
 
 @query("feature_importance_C10")
 def _(spark, d):
     rows = training_rows(spark, d)
-    return ca.cross_validate(rows, [0, 1, 2], SMALL, "fold", trees=4, depth=3)[1]
+    return ca.cross_validate(rows, [0, 1, 2], SMALL, "fold")[1]
 
 
 @query("holdout_split_C10", "WITH l AS (SELECT DISTINCT conv_id FROM conversations ORDER BY 'c' || conv_id DESC LIMIT 10) SELECT 'c' || c.conv_id AS conv_id, turn AS pos, l.conv_id IS NOT NULL AS is_test FROM conversations c LEFT JOIN l ON l.conv_id = c.conv_id")

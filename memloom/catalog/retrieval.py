@@ -87,7 +87,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 SELECT query_id, item_id, round(score, 6) AS score, rank::INTEGER AS rank FROM rk WHERE rank <= 20""")
 def _(spark, d):
     items = embeddings(spark, d).select(F.col("vec_id").alias("item_id"), "vector")
-    return re_.dense_top_k(label_means(spark, d), items, 20, 2, 8).withColumn("score", F.round("score", 6))
+    return re_.dense_top_k(label_means(spark, d), items, 20).withColumn("score", F.round("score", 6))
 
 
 CONVQ_SQL = VM_SQL + """,

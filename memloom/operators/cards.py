@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.operators.ordering import first_per, top_per
+from memloom.operators.ordering import dense_ordinal, first_per, top_per
 
 Q = "question_id"
 # Accepted card types and roles.
@@ -149,30 +149,46 @@ def selected_summary(selected: DataFrame, labels: DataFrame) -> DataFrame:
                     F.countDistinct(F.when(F.col("gold"), F.col(Q))).alias("questions_with_card_gold"))
 
 
-def fit_ranker(rows: DataFrame, features: Sequence[str], trees: int = 80, rate: float = 0.05, depth: int = 5, min_leaf: int = 10, seed: int = 13):
-    """Boosted trees on the relevance label; the pointwise stand-in for a grouped ranking objective."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.withColumn("label", F.col("label").cast("double")))
-    return GBTRegressor(maxIter=trees, stepSize=rate, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed).fit(assembled)
+def ranking_pairs(rows: DataFrame, features: Sequence[str], partners: int = 8, seed: int = 13) -> DataFrame:
+    """Feature differences of a relevant and another row of the same question, with label 1, and turned round with label 0.
+
+    Rows that are not relevant are numbered in a hashed order; a relevant row meets ``partners`` of them by number, so pairs
+    grow with the rows and not with their square.
+    """
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    marked = rows.select(Q, "node_id", "label", vector.alias("x"), F.xxhash64(Q, "node_id", F.lit(seed)).alias("h"))
+    others = dense_ordinal(marked.filter("label = 0").select(Q, F.col("x").alias("y"), "h", F.shiftrightunsigned("h", 1).alias("place")), [Q], "place", "number", 1 << 55)
+    sizes = others.groupBy(Q).agg((F.max("number") + 1).alias("size"))
+    asked = marked.filter("label = 1").join(sizes, Q).withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.col("size"), F.lit(partners)) - 1)))
+    met = asked.withColumn("number", F.pmod(F.pmod("h", "size") + F.col("j"), F.col("size"))).join(others.select(Q, "number", "y"), [Q, "number"])
+    turned = met.select(F.zip_with("x", "y", lambda a, b: a - b).alias("d"), F.pmod(F.xxhash64("h", "j"), F.lit(2)).cast("double").alias("label"))
+    return turned.select("label", array_to_vector(F.when(F.col("label") == 1, F.col("d")).otherwise(F.transform("d", lambda v: -v))).alias("features"))
+
+
+def fit_ranker(rows: DataFrame, features: Sequence[str], iterations: int = 50, ridge: float = 1e-4, partners: int = 8, seed: int = 13) -> list[float]:
+    """Weights of a linear score that puts relevant rows before others of the same question: logistic regression on pairs."""
+    model = LogisticRegression(maxIter=iterations, regParam=ridge, fitIntercept=False).fit(ranking_pairs(rows, features, partners, seed))
+    return [float(w) for w in model.coefficients]
 
 
-def score_rows(model, rows: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-    return model.transform(assembled).select(*keep, F.col("prediction").alias("model_score"))
+def score_rows(weights: Sequence[float], rows: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    total = sum((F.col(f).cast("double") * w for f, w in zip(features, weights)), F.lit(0.0))
+    return rows.select(*keep, total.alias("model_score"))
 
 
 def cross_validate(rows: DataFrame, folds: Sequence, features: Sequence[str], fold: str = "conv_id", seed: int = 13, **params) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold scores and averaged feature importances.
+    """Out-of-fold scores, and the weight of each feature per standard deviation, averaged over the folds.
 
     For every fold value the model trains on the other folds. ``folds`` is the caller's list (one conversation each,
     or groups of them on large data); training itself is distributed.
     """
+    spread = rows.agg(*[F.coalesce(F.stddev(F.col(f).cast("double")), F.lit(0.0)).alias(f) for f in features]).first()
     scored, importances = None, []
     for number, value in enumerate(folds):
-        model = fit_ranker(rows.filter(F.col(fold) != value), features, seed=seed + number, **params)
-        part = score_rows(model, rows.filter(F.col(fold) == value), features, [Q, "node_id", fold])
+        weights = fit_ranker(rows.filter(F.col(fold) != value), features, seed=seed + number, **params)
+        part = score_rows(weights, rows.filter(F.col(fold) == value), features, [Q, "node_id", fold])
         scored = part if scored is None else scored.unionByName(part)
-        weights = model.featureImportances.toArray()
-        importances += [(number, name, float(weight)) for name, weight in zip(features, weights)]
+        importances += [(number, name, abs(weight) * spread[name]) for name, weight in zip(features, weights)]
     table = rows.sparkSession.createDataFrame(importances, "fold int, feature string, importance double")
     return scored, table.groupBy("feature").agg(F.avg("importance").alias("importance"))
 

@@ -127,15 +127,23 @@ def _block_scores(k: int, unit_only: bool):
     return run
 
 
+def _blocks(rows: DataFrame, block_bytes: int) -> int:
+    bytes_ = rows.agg(F.sum(F.size("vector").cast("bigint") * 8)).first()[0] or 0
+    return max(2, -(-bytes_ // block_bytes))
+
+
 def dense_top_k(
-    queries: DataFrame, items: DataFrame, k: int = 20, query_blocks: int = 4, item_blocks: int = 32, positive: bool = True
+    queries: DataFrame, items: DataFrame, k: int = 20, query_blocks: int | None = None, item_blocks: int | None = None, positive: bool = True,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """Exact best ``k`` items per question by dot product over whole tables.
+    """Exact, exhaustive best ``k`` items per question by dot product over whole tables.
 
     Both sides are hashed into blocks and every block pair is one matrix product, so memory per task is one
-    block of each side; each pair passes on only its best rows. Raise the block counts with the data.
+    block of each side; each pair passes on only its best rows. Without given counts a side has as many blocks as keep one
+    at ``block_bytes``: their number follows the data, their size does not.
     ``queries``: (query_id, vector); ``items``: (item_id, vector).
     """
+    query_blocks, item_blocks = query_blocks or _blocks(queries, block_bytes), item_blocks or _blocks(items, block_bytes)
     q = queries.select(
         "query_id", vx.as_double(F.col("vector")).alias("vector"),
         F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("ib"),
