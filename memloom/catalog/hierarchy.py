@@ -358,9 +358,9 @@ def _episode_members(spark, d):
     """Vector groups of six as events of episodes of four and topics of eight."""
     m = vector_members(spark, d)
     number = F.floor(F.col("member_id") / 6)
-    events = m.groupBy("conv_id", number.alias("n")).agg(F.first("vector").alias("v0"))
+    events = m.select("conv_id", number.alias("n")).distinct()
     views_ = hi.mean_vector(m, 64).withColumn("n", F.substring("cluster_id", 2, 20).cast("bigint"))
-    return views_.join(events.select("conv_id", "n"), ["conv_id", "n"]).select(
+    return views_.join(events, ["conv_id", "n"]).select(
         "conv_id", F.concat(F.lit("p"), F.floor(F.col("n") / 4).cast("string")).alias("cluster_id"),
         F.col("cluster_id").alias("member_id"), F.concat(F.lit("t"), F.floor(F.col("n") / 8).cast("string")).alias("topic_id"),
         F.col("centroid").alias("vector"), F.col("n").alias("pos"),

@@ -120,23 +120,24 @@ def safe_id(value: Column | str) -> Column:
     return F.left(F.regexp_replace(col_of(value), r"[^\p{L}\p{N}_-]", "_"), F.lit(80))
 
 
+# Cues of a status, an update and a conflict.
+STATUS_CUES = [("outdated", "not anymore|no longer|changed|instead"), ("exception", "except|unless"), ("disputed", "maybe|possibly|unclear|not sure")]
+UPDATE_CUE = "changed|updated|now|instead|no longer"
+CONFLICT_CUE = "not |never|contradict|wrong"
+
+
 def infer_status(text: Column | str) -> Column:
     """First matching cue decides: outdated, exception, disputed, else active."""
     lowered = F.lower(col_of(text))
-    return (
-        F.when(lowered.rlike("not anymore|no longer|changed|instead"), "outdated")
-        .when(lowered.rlike("except|unless"), "exception")
-        .when(lowered.rlike("maybe|possibly|unclear|not sure"), "disputed")
-        .otherwise("active")
-    )
+    return F.coalesce(*[F.when(lowered.rlike(cues), name) for name, cues in STATUS_CUES], F.lit("active"))
 
 
 def looks_like_update(text: Column | str) -> Column:
-    return F.lower(col_of(text)).rlike("changed|updated|now|instead|no longer")
+    return F.lower(col_of(text)).rlike(UPDATE_CUE)
 
 
 def looks_conflicting(left: Column, right: Column) -> Column:
-    return F.concat_ws(" ", F.lower(left), F.lower(right)).rlike("not |never|contradict|wrong")
+    return F.concat_ws(" ", F.lower(left), F.lower(right)).rlike(CONFLICT_CUE)
 
 
 def anchor_text(text: Column | str, max_terms: int = 6) -> Column:

@@ -225,6 +225,7 @@ def temporal_session_features(candidates: DataFrame, event_sessions: DataFrame)
                        flag(has["temporal_session"] & has["top_down"]).alias("temporal_and_topdown"))
 
 
+# Card types, roles and numbers that are features.
 CARD_TYPES = ["change", "preference", "state", "plan_constraint"]
 CARD_ROLES = ["old_state", "new_state", "preference_value", "polarity", "state_value", "plan_goal", "constraint", "temporal_scope", "reason_or_trigger", "exception", "context"]
 CARD_NUMBERS = [
