@@ -21,6 +21,8 @@ BANDS, ROWS = 12, 4
 SPAN = 0.5
 #: Nodes of a band that others are compared with, besides its most central and its least one.
 DRAWN = 6
+#: A band of more nodes is split into parts of about this size, each of which meets the band's leaders.
+CROWD = 500
 
 
 def gamma_quantiles(n: int) -> np.ndarray:
@@ -192,8 +194,11 @@ def near_copy_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFra
     degree = crowded.groupBy("node").agg(F.sum("size").alias("degree"))
     members = crowded.join(degree, "node")
     drawn = [F.max(F.struct(F.xxhash64("node", F.lit(i)).alias("mark"), F.col("node")))["node"] for i in range(DRAWN)]
-    leaders = members.groupBy("band").agg(F.array_distinct(F.array(F.max(F.struct("degree", "node"))["node"], F.min("node"), *drawn)).alias("leaders"))
-    pairs = members.select("node", "band").join(leaders, "band").select("node", F.explode("leaders").alias("leader")).where("node != leader")
+    leaders = members.groupBy("band").agg(F.array_distinct(F.array(F.max(F.struct("degree", "node"))["node"], F.min("node"), *drawn)).alias("leaders"), F.max("size").alias("size"))
+    parts = F.ceil(F.col("size") / CROWD).cast("int")
+    leaders = leaders.select("band", "leaders", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    split = members.select("node", "band", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    pairs = split.join(leaders, ["band", "part"]).select("node", F.explode("leaders").alias("leader")).where("node != leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"{x}_id"), F.col("signature").alias(f"{x}_signature"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Text bytes handled at once; a longer text is read in pieces of this size.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Bits of a shingle's hash; the bits above hold the text's number inside its chunk.
 HASH_BITS = 48
 HASH_MASK = np.uint64((1 << HASH_BITS) - 1)
