@@ -86,6 +86,8 @@ FEATURES: dict[str, tuple[Callable[[], Column], float]] = {
 #: sample in five dimensions falls short of the whole sample's.
 CORE_SHARE = 0.75
 CONSISTENCY = 1.4
+#: Parts into which the rows of a cell fall by a hash of their id.
+PARTS = 32
 
 
 def robust_models(rows: DataFrame, rounds: int) -> DataFrame:
@@ -104,7 +106,7 @@ def robust_models(rows: DataFrame, rounds: int) -> DataFrame:
     for _ in range(rounds):
         measured = with_distance(rows, models).withColumn("near", F.round(F.log(1.0 + F.col("distance")) * STEPS).cast("int"))
         limit = measured.groupBy("cell").agg(F.percentile("near", F.lit(CORE_SHARE)).alias("limit"))
-        core = measured.join(limit.withColumnRenamed("cell", "__cell"), F.col("cell") == F.col("__cell")).where("near <= limit")
+        core = beside(measured, limit, "inner").where("near <= limit")
         models = stored(cholesky(core, names, floors), "quality-model")
     return models
 
@@ -129,10 +131,16 @@ def cholesky(core: DataFrame, names: list[str], floors: list[float]) -> DataFram
     return df.select("cell", *[f"m_{i}" for i in range(size)], *[f"w_{i}_{k}" for i, k in pairs])
 
 
+def beside(rows: DataFrame, models: DataFrame, how: str) -> DataFrame:
+    """Rows next to what is known of their cell, on ``(cell, part)``: a cell of most rows is met in ``PARTS`` parts."""
+    spread = models.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumnRenamed("cell", "__cell")
+    return rows.join(spread, (F.col("cell") == F.col("__cell")) & (F.col("part") == F.col("__part")), how).drop("__cell", "__part")
+
+
 def with_distance(rows: DataFrame, models: DataFrame) -> DataFrame:
     """Adds ``distance``, the squared Mahalanobis distance to the model of the row's cell; null where there is none."""
     names = list(FEATURES)
-    joined = rows.join(models.withColumnRenamed("cell", "__cell"), F.col("cell") == F.col("__cell"), "left")
+    joined = beside(rows, models, "left")
     distance = F.lit(0.0)
     for i in range(len(names)):
         part = F.lit(0.0)
@@ -188,7 +196,8 @@ def fit_quality(docs: DataFrame, keep: tuple[str, ...], id_column: str, text_col
     )
     cells = stored(cells, "quality-cells")
     celled = rows.join(cells, F.col("by_source") == F.col("__by_source"), "left").drop("__by_source", "by_source", "by_lang")
-    judged = stored(celled.where("NOT base_failed").select("cell", *FEATURES), "quality-judged")
+    celled = celled.withColumn("part", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(PARTS)).cast("int"))
+    judged = stored(celled.where("NOT base_failed").select("cell", "part", *FEATURES), "quality-judged")
     enough = judged.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= min_cell).select(F.col("cell").alias("__enough"))
     models = robust_models(judged.join(enough, F.col("cell") == F.col("__enough"), "left_semi"), rounds)
     return celled, models

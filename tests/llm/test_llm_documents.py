@@ -67,7 +67,7 @@ def test_covariance_model_matches_numpy(spark):
     rng = np.random.default_rng(3)
     points = np.rint(rng.normal(size=(500, 5)) @ rng.normal(size=(5, 5)) * quality.STEPS).astype(int)
     names = list(quality.FEATURES)
-    core = spark.createDataFrame([(7, *map(int, p)) for p in points], "cell long, " + ", ".join(f"{n} long" for n in names))
+    core = spark.createDataFrame([(7, i % quality.PARTS, *map(int, p)) for i, p in enumerate(points)], "cell long, part int, " + ", ".join(f"{n} long" for n in names))
     floors = [f for _, f in quality.FEATURES.values()]
     got = quality.with_distance(core, quality.cholesky(core, names, floors)).toArrow().to_pylist()
     x = points / quality.STEPS
