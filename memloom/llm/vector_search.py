@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,22 @@ def cell_distances(vectors: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -
     return cell, np.sqrt(square[np.arange(len(cell)), cell])
 
 
+def cell_groups(centres: np.ndarray, queries: dict[int, int], least: int) -> dict[int, int]:
+    """Neighbouring query cells in groups of at least ``least`` queries: cells in the order of the pivots' main direction."""
+    if not queries:
+        return {}
+    cells = np.array(sorted(queries))
+    spread = centres[cells] - centres[cells].mean(0)
+    direction = np.linalg.svd(spread, full_matrices=False)[2][0]
+    groups, group, held = {}, 0, 0
+    for cell in cells[np.argsort(spread @ direction, kind="stable")].tolist():
+        groups[cell] = group
+        held += queries[cell]
+        if held >= least:
+            group, held = group + 1, 0
+    return groups
+
+
 def assigned(rows: DataFrame, pivots: np.ndarray, radius2: float, query: bool) -> DataFrame:
     """Rows ``id, vector`` with ``cell`` and ``distance``; queries have 0 where data have the lifting component."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
@@ -52,9 +69,9 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots:
 
     Data vectors get one more component so that all have the same length; nearness then orders as the inner product does.
     Both sides fall into the Voronoi cells of ``pivots`` hashed data vectors. A query cell's radius and the ``k + 1`` least
-    distances inside every data cell bound how far the neighbours of the cell's queries can be; a data vector goes to a query
-    cell only if the triangle inequality lets it be that near. Query cells and what they receive are split by hash into
-    blocks, so neither a hot cell nor a run of equal vectors meets in one task; partial answers are merged per query.
+    distances inside every data cell bound how far the neighbours of the cell's queries can be; a data vector goes to a group
+    of neighbouring query cells only if the triangle inequality lets it be that near for one of them. What a group asks and
+    receives is split by hash into blocks, so neither a hot cell nor a run of equal vectors meets in one task; partial answers are merged per query.
     """
     spark = data.sparkSession
     probe = data.agg(F.max(F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)).alias("r"), F.max(F.size("vector")).alias("w")).first()
@@ -76,23 +93,27 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots:
     query_summary = {r["cell"]: (r["r"], r["n"]) for r in query_cells.groupBy("cell").agg(F.max("distance").alias("r"), F.count("*").alias("n")).collect()}
     between = np.sqrt(np.maximum(0.0, ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2)))
 
-    bounds, routes = {}, []
+    group_of = cell_groups(centres, {cell: n for cell, (_, n) in query_summary.items()}, query_block)
+    asked, least = Counter(), {}
     for cell, (radius, n) in query_summary.items():
         reach = np.sort(np.concatenate([radius + between[cell, other] + np.array(nearest) for other, nearest in data_summary.items()]))
-        bounds[cell] = reach[k] if len(reach) > k else np.inf
-        blocks = -(-n // query_block)
-        routes += [(cell, other, float(max(0.0, between[cell, other] - radius - bounds[cell]) - 1e-6), blocks) for other in data_summary]
-    if not routes:
+        bound = reach[k] if len(reach) > k else np.inf
+        asked[group_of[cell]] += n
+        for other in data_summary:
+            key = (group_of[cell], other)
+            least[key] = min(least.get(key, np.inf), max(0.0, float(between[cell, other] - radius - bound)) - 1e-6)
+    if not least:
         return empty
-    route = spark.createDataFrame(routes, "query_cell int, cell int, least double, query_blocks int")
-    sent = data_cells.join(F.broadcast(route), "cell").where("distance >= least")
-    blocks = {r["query_cell"]: -(-r["n"] // data_block) for r in sent.groupBy("query_cell").agg(F.count("*").alias("n")).collect()}
-    sizes = F.broadcast(spark.createDataFrame([(c, blocks[c], -(-query_summary[c][1] // query_block)) for c in blocks], "query_cell int, data_blocks int, query_blocks int"))
+    route = spark.createDataFrame([(group, cell, value) for (group, cell), value in least.items()], "group int, cell int, least double")
+    sent = data_cells.join(F.broadcast(route), "cell").where("distance >= least").select("group", "id", "vector")
+    received = {r["group"]: r["n"] for r in sent.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    sizes = spark.createDataFrame([(g, -(-n // data_block), -(-asked[g] // query_block)) for g, n in received.items()], "group int, data_blocks int, query_blocks int")
+    members = spark.createDataFrame(list(group_of.items()), "cell int, group int")
 
-    left = query_cells.withColumnRenamed("cell", "query_cell").join(sizes, "query_cell")
-    left = left.select("query_cell", F.pmod(F.xxhash64("id", F.lit("q")), "query_blocks").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("data_blocks") - 1)).alias("d"), "id", "vector")
-    right = sent.drop("query_blocks").join(sizes, "query_cell")
-    right = right.select("query_cell", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("q"), F.pmod(F.xxhash64("id", F.lit("d")), "data_blocks").cast("int").alias("d"), "id", "vector")
+    left = query_cells.join(F.broadcast(members), "cell").join(F.broadcast(sizes), "group")
+    left = left.select("group", F.pmod(F.xxhash64("id", F.lit("q")), "query_blocks").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("data_blocks") - 1)).alias("d"), "id", "vector")
+    right = sent.join(F.broadcast(sizes), "group")
+    right = right.select("group", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("q"), F.pmod(F.xxhash64("id", F.lit("d")), "data_blocks").cast("int").alias("d"), "id", "vector")
 
     def solve(queries: pa.Table, data: pa.Table) -> pa.Table:
         ids = data["id"].to_numpy()
@@ -116,7 +137,7 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots:
         join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
         return pa.table({"query_id": join(out[0]), "vec_id": join(out[1]), "score": join(out[2])})
 
-    keys = ["query_cell", "q", "d"]
+    keys = ["group", "q", "d"]
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
