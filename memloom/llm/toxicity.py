@@ -215,12 +215,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     """Fits the scorer on a bounded sample of labelled rows that are not held out.
 
     The sample is the ``settings.examples`` labelled ids of smallest hash. Document frequencies of the indexed words are
-    counted over all documents. A label that is null teaches nothing; of several labels of one id the largest counts.
+    counted over all documents. A label that is null teaches nothing; of several labels of one id the largest counts. Ids are
+    taken to be unique; a repeated one brings an example for each of its rows.
     """
     known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
     sample = known.groupBy(F.col(id_column).alias("__id")).agg(F.max(F.col(label_column).cast("int")).alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(settings.examples)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    examples = stored(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic").limit(settings.examples), "toxicity-examples")
+    examples = stored(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic"), "toxicity-examples")
 
     sizes = {row["toxic"]: row["n"] for row in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
