@@ -193,6 +193,30 @@ def test_near_copies(spark):
     assert near_copies.near_copy_classes(docs_of(spark, [])).count() == 0
 
 
+def test_near_copies_link_what_no_leader_reaches(spark):
+    rng = random.Random(14)
+    changed = lambda words, n: [f"new{rng.randrange(10**6)}" if i in at else w for at in [set(rng.sample(range(len(words)), n))] for i, w in enumerate(words)]
+    base, rows = sentence(rng, 300).split(), []
+    for _ in range(300):
+        first = changed(base, 7)
+        rows += [first, changed(first, 5)]
+    texts = [" ".join(w) for w in rows]
+    documents = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    idf = near_copies.class_weights(documents)
+    owner, hashes, counts = shingle_counts([t.encode() for t in texts], near_copies.WIDTH)
+    weights = near_copies.shingle_weights(hashes, counts, idf)
+    signature = near_copies.signatures(owner, hashes, weights)[1]
+    bands, ends = near_copies.band_keys(signature), np.searchsorted(owner, np.arange(len(texts) + 1))
+    sets = [(hashes[a:b], weights[a:b]) for a, b in zip(ends, ends[1:])]
+    name = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if (bands[i] == bands[j]).any() and (signature[i] == signature[j]).sum() >= int(0.55 * signature.shape[1]) and near_copies.weighted_jaccard(sets[i], sets[j]) >= 0.8:
+            low, high = sorted((name[i], name[j]))
+            name = [low if n == high else n for n in name]
+    assert 1 < len(set(name)) < len(texts) and max(collections.Counter(bands.ravel().tolist()).values()) > 50
+    assert {r["doc_id"]: r["class_id"] for r in near_copies.near_copy_classes(documents).collect()} == dict(enumerate(name))
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------------
 
 
