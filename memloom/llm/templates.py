@@ -73,10 +73,11 @@ def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def region_of(paths: dict[str, int], total: int) -> str:
-    """The deepest path that holds enough of the text; an article or main element that does comes first."""
+    """The deepest article or main element that holds enough of the text; without one, the whole page, since a path that holds
+    most of the text need not hold the headings, lists and tables of the article."""
     enough = [p for p, chars in paths.items() if chars >= REGION_SHARE * total]
     marked = [p for p in enough if p.rsplit("/", 1)[-1].split(".")[0].split("#")[0] in ("article", "main")]
-    return max(marked or enough, key=lambda p: (p.count("/"), paths[p], p), default="")
+    return max(marked, key=lambda p: (p.count("/"), paths[p], p), default="")
 
 
 def template_of(table: pa.Table) -> pa.Table:
@@ -87,7 +88,7 @@ def template_of(table: pa.Table) -> pa.Table:
     region = region_of(paths, total)
     constant = [r for r in rows if r["kind"] == TEXT]
     inside = sum(r["chars"] for r in constant if within(r["path"], region))
-    if inside > MOST_CONSTANT * paths.get(region, 0):
+    if inside > MOST_CONSTANT * paths.get(region, total):
         constant = [r for r in constant if not within(r["path"], region)]
     return pa.table({"host": pa.array([rows[0]["host"]], pa.string()), "region": pa.array([region], pa.string()), "constant": pa.array([[r["token"] for r in constant]], pa.list_(pa.int64()))})
 

@@ -68,6 +68,16 @@ def test_extraction(spark):
     assert extract_articles(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_articles_without_an_article_element(spark):
+    inner = lambda i: f"<h1>Title {i}</h1><div class=body><h2>Part {i}</h2><p>{f'long text {i} ' * 40}</p><ul><li>item {i}</li></ul><blockquote>said {i}</blockquote><table><tr><td>cell {i}</table></div>"
+    layout = lambda i: f"<section><h1>Title {i}</h1><p>other layout {i}</p></section>" if i % 7 == 6 else inner(i)
+    rows = [(i, f"http://plain.example/{i}", f"<html><body><nav>Home</nav>{layout(i)}<div class=end>All rights</div></body></html>", 0, "") for i in range(14)]
+    got = {r["page_id"]: r["text"].split("\n") for r in extract_articles(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(14):
+        wanted = [f"Title {i}", f"other layout {i}"] if i % 7 == 6 else [f"Title {i}", f"Part {i}", f"long text {i} " * 39 + f"long text {i}", f"item {i}", f"said {i}", f"cell {i}"]
+        assert [t for t in got[i] if t != "All rights"] == wanted
+
+
 def test_blocks_close_as_html_does():
     texts = [b.text for b in blocks_of("<ul><li>a<li>b <i>c</i></ul><table><tr><td>d<td>e<tr><td>f</table>g<!-- x > y -->h<img alt='>'>i")]
     assert texts == ["a", "b c", "d", "e", "f", "ghi"]
