@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memloom.llm.shared import stored
-from memloom.llm.tokens import VOCABULARY, encoder
+from memloom.llm.tokens import VOCABULARY, document_encoder
 
 SEQUENCE = 1024
 END = 0
@@ -63,7 +63,7 @@ def tokenized(docs: DataFrame, id_column: str, text_column: str, source_column:
     """Stored rows ``doc_id, source, part, offset, n, ids``: 16-bit ids, and the tokens of the same source before it in its part."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, given, ids_of = TaskContext.get().partitionId(), {}, encoder(vocabulary)
+        part, given, ids_of = TaskContext.get().partitionId(), {}, document_encoder(vocabulary)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 piece = batch.slice(low, 512)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm.shared import new_path, stored
-from memloom.llm.tokens import VOCABULARY, encoder
+from memloom.llm.tokens import VOCABULARY, document_encoder
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 GROUP = ["source", "lang", "version"]
@@ -69,7 +69,7 @@ def token_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``row, doc_id, source, lang, words, ids``: words and vocabulary ids of every whole text; null texts have none of either."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(vocabulary)
+        ids_of = document_encoder(vocabulary)
         for batch in batches:
             ids = pa.array([len(ids_of(text or "")) for text in batch["text"].to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=["row", "doc_id", "source", "lang", "words", "ids"])

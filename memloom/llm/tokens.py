@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
@@ -29,7 +30,7 @@ class WordIds(dict):
 
 
 class Encoder:
-    """The ids that the vocabulary's own tokenizer gives without special tokens; special strings are ordinary text.
+    """The ids that the vocabulary's own tokenizer gives to ordinary text; a special string is ordinary text here.
 
     Its pre-tokenizer starts a new piece at every single space between two other characters, so the words between such
     spaces can be encoded one by one. Texts with longer white space are encoded whole.
@@ -54,6 +55,29 @@ class Encoder:
         return np.frombuffer(head + b"".join(map(self.words.__getitem__, rest)), np.uint32)
 
 
+class DocumentEncoder:
+    """The ids that the vocabulary's own tokenizer gives with ``add_special_tokens=False``: that adds no token around a text, but
+    an added token of the vocabulary that stands in the text is its one id, and the text on both sides is encoded by itself."""
+
+    def __init__(self, vocabulary: str = VOCABULARY) -> None:
+        import public_tokenizers
+
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+            added = json.load(file)["added_tokens"]
+        if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+            raise ValueError(f"added tokens that are not matched as they stand: {odd}")
+        self.added = {t["content"]: np.array([t["id"]], np.uint32) for t in added}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
+        self.ordinary = encoder(vocabulary)
+
+    def __call__(self, text: str) -> np.ndarray:
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self.ordinary(text)
+        return np.concatenate([self.added[p] if i % 2 else self.ordinary(p) for i, p in enumerate(parts)])
+
+
+_DOCUMENT_ENCODERS: dict[str, DocumentEncoder] = {}
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -62,3 +86,10 @@ def encoder(vocabulary: str = VOCABULARY) -> Encoder:
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary)
     return _ENCODERS[vocabulary]
+
+
+def document_encoder(vocabulary: str = VOCABULARY) -> DocumentEncoder:
+    """One encoder of documents per worker process."""
+    if vocabulary not in _DOCUMENT_ENCODERS:
+        _DOCUMENT_ENCODERS[vocabulary] = DocumentEncoder(vocabulary)
+    return _DOCUMENT_ENCODERS[vocabulary]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm import mixing, near_copies, packing, quality, toxicity, vector_search
 from memloom.llm.shingles import shingle_counts
-from memloom.llm.tokens import encoder
+from memloom.llm.tokens import document_encoder, encoder
 
 WORD = r"[^\x20\x09-\x0D]+"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label int, score string, size int, cell string, node string"
@@ -292,6 +292,26 @@ def test_encoder_matches_the_tokenizer():
         assert encoder()(text).tolist() == wanted.ids, repr(text)
 
 
+def test_documents_encode_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(13)
+    pieces = [" ", "  ", "\n", "a", "don't", "é", "字", "1", "<|endoftext|>", "<|endoftext", "|>", "word"]
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b"] + ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 30))) for _ in range(2000)]
+    wanted = [w.ids for w in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert wanted[0] == [31373, 220, 50256, 995]
+    some = texts[:200]
+    packed = packing.pack_documents(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(some)])).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in packed} == {i: len(w) + 1 for i, w in enumerate(wanted[: len(some)])}
+    for r in packed:
+        ids = np.append(wanted[r["doc_id"]], 0).astype("<u4")[r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(ids.tobytes())
+    for text, ids in zip(texts, wanted):
+        assert document_encoder()(text).tolist() == ids, repr(text)
+
+
 def test_served_is_fair_and_exact():
     rng = np.random.default_rng(11)
     for lengths in ([1], [5, 1], [1000, 7, 300], rng.integers(1, 5000, 12).tolist(), [0, 10, 3], [10**12, 3, 10**11]):
