@@ -11,7 +11,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""",
 SPACES = re.compile(r"\s+")
 LETTERS = re.compile(r"[a-z]+")
 
-# Fixed values of HTML: elements without content, elements whose content is not text, elements inside a line, and what a new element closes.
+# Fixed values of HTML: elements without content, elements whose content is not text, elements inside a line, what a new element closes, and what may stand in a head.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video"}
 INLINE = {
@@ -19,6 +19,7 @@ INLINE = {
     "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+IN_HEAD = {"html", "head", "base", "link", "meta", "title", "script", "style", "noscript", "template"}
 FENCE = {"ul": {"li"}, "ol": {"li"}, "dl": {"dt", "dd"}, "table": {"tr", "td", "th"}, "select": {"option"}}
 
 #: Elements and class, id or role words that mark what is not the article.
@@ -84,13 +85,18 @@ def blocks_of(page: str | None) -> list[Block]:
             if stack[i][0] in fence:
                 return
 
+    def leave_head(found: bool) -> None:
+        if found and any(name == "head" for name, *_ in stack):
+            close({"head"})
+
     at = 0
     while True:
         match = TAG.search(page, at)
+        text = page[at : match.start() if match else len(page)]
+        leave_head(bool(text.strip()))
+        say(text)
         if match is None:
-            say(page[at:])
             break
-        say(page[at : match.start()])
         at = match.end()
         if match[2] is None:
             continue
@@ -100,6 +106,7 @@ def blocks_of(page: str | None) -> list[Block]:
             if tag in ("br", "p"):
                 finish()
             continue
+        leave_head(tag not in IN_HEAD)
         if tag in RAW:
             if not match[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)

@@ -83,6 +83,15 @@ def test_blocks_close_as_html_does():
     assert texts == ["a", "b c", "d", "e", "f", "ghi"]
 
 
+def test_an_open_head_ends_where_the_body_starts():
+    texts = lambda html: [(b.text, b.noise) for b in blocks_of(html)]
+    head = "<!doctype html><html><head><meta charset=utf-8><title>t</title><link rel=x href=y><style>p{}</style><script>1</script>"
+    for start in ("<body>", "", "</head>", "</head><body>", "\n"):
+        assert texts(head + start + "<h1>One</h1><p>two<p>three") == [("One", False), ("two", False), ("three", False)]
+        assert texts(head + start + "<a href=/>one</a> two") == [("one two", False)] and texts(head + start + "one <b>two</b>") == [("one two", False)]
+        assert texts(head + start + "<nav>menu</nav><header>top</header>") == [("menu", True), ("top", True)]
+
+
 def test_blocks_of_layout_classes():
     blocks = blocks_of("<body class='has-sidebar nav-open'><div class=page-header>x</div><article class='with-comments'><div class='article-header'><h1>a</h1></div><p>b<div class=share-bar>y</div></article></body>")
     assert [b.text for b in blocks if not b.noise] == ["a", "b"]
