@@ -99,3 +99,40 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from memloom.llm.rollups import corpus_rollups
 
     return corpus_rollups(table(spark, folder, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(table(spark, folder, "documents"), tails=True)
+
+
+@query("op12_fourier_quality")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.kernel_quality import score_quality
+
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_bloom_search", """
+    WITH d AS (
+        SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+        FROM documents WHERE text IS NOT NULL
+    ), i AS (
+        SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+        FROM benchmark WHERE text IS NOT NULL
+    ), totals AS (SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS length FROM d WHERE len(terms) > 0),
+    asked AS (SELECT item, item_id, term, count(*) AS repeats FROM (SELECT item, item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+    held AS (SELECT row, doc_id, size, term, count(*) AS tf FROM (SELECT row, doc_id, len(terms) AS size, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weighted AS (SELECT term, CAST(floor(1000 * ln((2 * CAST(any_value(t.n) AS DOUBLE) + 2) / (2 * CAST(count(*) AS DOUBLE) + 1))) AS BIGINT) AS weight FROM held, totals t GROUP BY term),
+    scored AS (
+        SELECT item, item_id, row, doc_id, CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * t.n) // t.length)))) AS BIGINT) AS score
+        FROM asked JOIN held USING (term) JOIN weighted USING (term), totals t GROUP BY item, item_id, row, doc_id
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from memloom.llm.signature_search import rank_documents
+
+    return rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
