@@ -185,10 +185,10 @@ def uncompared(members: DataFrame, done: DataFrame, labels: DataFrame) -> DataFr
     return stored(marked.select("node", "band", "component", ((F.col("component") != F.col("largest")) & F.col("finished").isNull()).alias("probe")), "near-open")
 
 
-def compare_rest(members: DataFrame, nodes: DataFrame, done: DataFrame, labels: DataFrame, source: DataFrame, idf) -> DataFrame:
+def compare_rest(members: DataFrame, nodes: DataFrame, done: DataFrame, labels: DataFrame, known_texts: DataFrame, idf) -> DataFrame:
     """``labels`` after all pairs of a band's ``members (node, band)`` are compared whose ends are still in two components.
 
-    ``done (node, band)`` are the nodes that were compared with their whole band. A first round draws about ``EARLY`` probes of
+    ``done (node, band)`` are the nodes that were compared with their whole band; ``known_texts (node, text)`` has the texts. A first round draws about ``EARLY`` probes of
     each band, the last takes all that remain. A block is some probes and some members of a band, so a band of any size is
     compared in parts; a block gives each pair of components at most once.
     """
@@ -201,9 +201,8 @@ def compare_rest(members: DataFrame, nodes: DataFrame, done: DataFrame, labels:
             sizes = probes.groupBy("band").agg(F.count("*").alias("n"))
             probes = probes.join(sizes, "band").where(F.pmod(F.xxhash64("node", F.lit("early")), F.col("n")) < wanted).drop("n")
         probes = stored(probes, "near-probes")
-        texts = rows.join(probes.select("band").distinct(), "band", "left_semi").select("node").distinct().join(nodes, "node")
-        found = texts.join(source.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "text"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("node") == F.col("__node")))
-        texts = stored(found.select("node", "bands", "signature", "bytes", "text").dropDuplicates(["node"]), "near-texts")
+        asked = rows.join(probes.select("band").distinct(), "band", "left_semi").select("node").distinct()
+        texts = stored(asked.join(nodes.select("node", "bands", "signature", "bytes"), "node").join(known_texts, "node"), "near-open-texts")
         slim = texts.select("node", "bytes")
         parts_of = lambda most: F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
         chunked = probes.join(slim, "node").groupBy("band").agg(parts_of(PROBES).alias("chunks"))
@@ -322,14 +321,18 @@ def near_copy_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFra
     pairs = split.join(leaders, ["band", "part"]).select("node", F.explode("leaders").alias("leader")).where("node != leader")
     pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).union(in_full).distinct()
 
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"{x}_id"), F.col("signature").alias(f"{x}_signature"))
+    # Whole texts are shuffled here alone; what compares nodes reads the few that share a band.
+    asked = shared_bands.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
+    wanted = texts.select("doc_id", "node", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("node") == F.col("__node")), "left_semi")
+    wanted = stored(wanted.select("node", "text").dropDuplicates(["node"]), "near-texts")
+
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"{x}_signature"))
     agreeing = F.size(F.filter(F.zip_with("a_signature", "b_signature", lambda x, y: x == y), lambda same: same))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").where(agreeing >= int(0.55 * BANDS * ROWS)).select("a", "b", "a_id", "b_id")
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where(agreeing >= int(0.55 * BANDS * ROWS)).select("a", "b")
     close = stored(close, "near-pairs")
 
-    source = texts.select("doc_id", "node", "text")
-    with_a = close.join(source, close["a_id"].eqNullSafe(source["doc_id"]) & (close["a"] == source["node"])).select("a", "b", "b_id", F.col("text").alias("a_text"))
-    both = with_a.join(source, with_a["b_id"].eqNullSafe(source["doc_id"]) & (with_a["b"] == source["node"])).select("a", "b", "a_text", F.col("text").alias("b_text"))
+    with_a = close.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+    both = with_a.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
@@ -351,6 +354,6 @@ def near_copy_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFra
                 yield part.select(["a", "b"]).filter(pa.array([weighted_jaccard(known[x], known[y]) >= SIMILARITY for x, y in zip(a, b)], pa.bool_()))
 
     links = stored(both.mapInArrow(verify, "a binary, b binary"), "near-verified")
-    found = compare_rest(crowded.select("node", "band"), nodes, done, components(links), source, shared)
+    found = compare_rest(crowded.select("node", "band"), nodes, done, components(links), wanted, shared)
     rows = signed.select("doc_id", "node").join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     return stored(rows, "near-rows")
