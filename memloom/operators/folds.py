@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from memloom.functions import text as tx
 from memloom.functions import vectors as vx
 from memloom.operators.ordering import dense_ordinal
+from memloom.operators.scans import scan_states
 
 
 def sorted_fold(
@@ -71,22 +72,21 @@ def segment_cues(views: DataFrame) -> DataFrame:
     )
 
 
-def _segmenter(max_size: int, min_size: int, is_soft: Callable[[dict], bool], is_hard: Callable[[dict], bool]):
-    def make():
-        state = {"no": 0, "size": 0}
+PLAIN, SOFT, HARD = 0, 1, 2
 
-        def step(row):
-            grown = state["size"]
-            if grown == 0 or is_hard(row) or grown >= max_size or (grown >= min_size and is_soft(row)):
-                state["no"] += 1
-                state["size"] = 1
-            else:
-                state["size"] += 1
-            return (state["no"],)
 
-        return step
+def _cutter(max_size: int, min_size: int):
+    """Step of a segment's size: a hard row cuts, a soft one from ``min_size`` on, any at ``max_size``."""
 
-    return make
+    def step(size: Column, kind: Column) -> tuple[Column, Column]:
+        cuts = (size == 0) | (kind == HARD) | (size >= max_size) | ((size >= min_size) & (kind == SOFT))
+        return F.when(cuts, 1).otherwise(size + 1), cuts
+
+    return step
+
+
+def _kind(hard: Column, soft: Column) -> Column:
+    return F.when(hard, HARD).when(soft, SOFT).otherwise(PLAIN)
 
 
 def topic_segments(
@@ -94,40 +94,29 @@ def topic_segments(
 ) -> DataFrame:
     """Facts cut into topics: at a new session, at ``max_facts``, or where neighbours have little in common.
 
-    A session change always cuts, so sessions are folded independently; small leftovers then join the
-    segment before them.
+    Small leftovers then join the segment before them. Both are scans over at most ``max_facts + 1`` states.
     """
     cues = segment_cues(views)
-    soft = lambda r: r["cos"] < min_cosine and r["term_sim"] < min_terms
-    cut = sorted_fold(
-        cues, ["conv_id", "session"], ["ordinal"],
-        _segmenter(max_facts, min_facts, soft, lambda r: r["new_session"]), "seg_no long",
-        ["conv_id", "node_id", "pos", "ordinal", "session"],
-    )
-    return merge_tiny_segments(cut, min_facts, max_facts)
+    soft = (F.col("cos") < min_cosine) & (F.col("term_sim") < min_terms)
+    marked = cues.withColumn("kind", _kind(F.col("new_session"), soft))
+    cut = scan_states(marked, ["conv_id"], "ordinal", "kind", max_facts, _cutter(max_facts, min_facts), ["node_id", "pos"])
+    return merge_tiny_segments(cut.withColumnRenamed("opened", "seg_no"), min_facts, max_facts)
 
 
 def merge_tiny_segments(cut: DataFrame, min_size: int, max_size: int) -> DataFrame:
-    """A segment below ``min_size`` joins the segment before it when both fit ``max_size``."""
-    segments = cut.groupBy("conv_id", "session", "seg_no").agg(
-        F.count(F.lit(1)).alias("size"), F.min("ordinal").alias("first_ordinal")
-    )
-
-    def make():
-        state = {"no": 0, "size": 0}
+    """A segment below ``min_size`` joins the segment before it when both fit ``max_size``.
 
-        def step(row):
-            if state["no"] and row["size"] < min_size and state["size"] + row["size"] <= max_size:
-                state["size"] += row["size"]
-            else:
-                state["no"] += 1
-                state["size"] = row["size"]
-            return (state["no"],)
+    ``cut``: (conv_id, node_id, pos, ordinal, seg_no), segments numbered from 1 without gaps.
+    """
+    segments = cut.groupBy("conv_id", "seg_no").agg(F.count(F.lit(1)).alias("size")).withColumn("place", F.col("seg_no") - 1)
 
-        return step
+    def step(size: Column, own: Column) -> tuple[Column, Column]:
+        joins = (size > 0) & (own < min_size) & (size + own <= max_size)
+        return F.when(joins, size + own).otherwise(own), ~joins
 
-    merged = sorted_fold(segments, ["conv_id"], ["first_ordinal"], make, "topic_no long", ["conv_id", "session", "seg_no"])
-    return cut.join(merged, ["conv_id", "session", "seg_no"]).select("conv_id", "node_id", "pos", "ordinal", "topic_no")
+    merged = scan_states(segments, ["conv_id"], "place", "size", max_size, step)
+    named = merged.select("conv_id", (F.col("place") + 1).alias("seg_no"), F.col("opened").alias("topic_no"))
+    return cut.join(named, ["conv_id", "seg_no"]).select("conv_id", "node_id", "pos", "ordinal", "topic_no")
 
 
 def event_segments(
@@ -135,12 +124,12 @@ def event_segments(
     min_overlap: float = 0.12,
 ) -> DataFrame:
     """Facts of a topic cut into events at ``max_facts`` or where neighbours have little in common."""
-    cues = segment_cues(views).join(topics.select("conv_id", "node_id", "topic_no"), ["conv_id", "node_id"])
-    soft = lambda r: r["cos"] < min_cosine and max(r["term_sim"], r["entity_sim"]) < min_overlap
-    return sorted_fold(
-        cues, ["conv_id", "topic_no"], ["ordinal"], _segmenter(max_facts, min_facts, soft, lambda r: False),
-        "event_no long", ["conv_id", "node_id", "pos", "topic_no"],
-    )
+    first = topics.groupBy("conv_id", "topic_no").agg(F.min("ordinal").alias("first_ordinal"))
+    placed = topics.join(first, ["conv_id", "topic_no"]).select("conv_id", "node_id", "topic_no", (F.col("ordinal") - F.col("first_ordinal")).alias("place"))
+    soft = (F.col("cos") < min_cosine) & (F.greatest("term_sim", "entity_sim") < min_overlap)
+    cues = segment_cues(views).join(placed, ["conv_id", "node_id"]).withColumn("kind", _kind(F.lit(False), soft))
+    cut = scan_states(cues, ["conv_id", "topic_no"], "place", "kind", max_facts, _cutter(max_facts, min_facts), ["node_id", "pos"])
+    return cut.select("conv_id", "node_id", "pos", "topic_no", F.col("opened").alias("event_no"))
 
 
 # --- greedy clustering -----------------------------------------------------------------------------------
