@@ -8,7 +8,6 @@ conversation: a session for topic segments, a topic for events and episodes, an
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -17,8 +16,10 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
 from memloom.functions import vectors as vx
+from memloom.operators.greedy import OpenCluster, OpenClusters, Score, set_overlap, unit
 from memloom.operators.ordering import dense_ordinal
 from memloom.operators.scans import scan_states
+from memloom.session import cut_lineage
 
 
 def sorted_fold(
@@ -153,74 +154,31 @@ def session_similarity(left: dict[str, set], right: dict[str, set]) -> float:
     return 0.5 if steps_apart(left["numbers"], right["numbers"]) == 1 else 0.0
 
 
-def set_overlap(left: set, right: set) -> float:
-    return len(left & right) / len(left | right) if left and right else 0.0
+def greedy_maker(read: Callable[[dict], tuple[np.ndarray, dict[str, set]]], score: Score, threshold: float, capacity: int, scan: int | None = None, normal: bool = True):
+    """Online clustering: each row joins the best open cluster at or above ``threshold`` or opens a new one."""
 
+    def make():
+        clusters = OpenClusters(score, threshold, capacity, scan, normal)
+        return lambda row: (clusters.place(*read(row)),)
 
-def unit(vector) -> np.ndarray:
-    value = np.asarray(vector, dtype=np.float32)
-    size = float(np.linalg.norm(value))
-    return value / size if size > 1e-12 else value
-
-
-def cosine(left: np.ndarray, right: np.ndarray) -> float:
-    size = float(np.linalg.norm(left) * np.linalg.norm(right))
-    return float(np.dot(left, right) / size) if size > 1e-12 else 0.0
-
-
-@dataclass
-class OpenCluster:
-    """What a greedy fold remembers of a cluster: its centre and the union of its members' sets."""
-
-    number: int
-    size: int
-    centre: np.ndarray
-    sets: dict[str, set] = field(default_factory=dict)
-
-    def absorb(self, vector: np.ndarray, sets: dict[str, set]) -> None:
-        self.centre = unit((self.centre * self.size + vector) / (self.size + 1))
-        self.size += 1
-        for name, values in sets.items():
-            self.sets[name] |= values
+    return make
 
 
-def greedy_maker(
-    read: Callable[[dict], tuple[np.ndarray, dict[str, set]]],
-    score: Callable[[np.ndarray, dict[str, set], OpenCluster], float | None],
-    threshold: float, capacity: int, scan: int | None = None, floor: float = -1.0,
-):
-    """Online clustering: each row joins the best open cluster at or above ``threshold`` or opens a new one.
+def restart_runs(rows: DataFrame, max_gap: int) -> DataFrame:
+    """Adds ``run``: where every earlier row's session number lies more than ``max_gap`` below that of this and each later row, no
+    earlier cluster takes a row any more, and a new run starts. Runs of a conversation are folded in different tasks.
 
-    Full clusters are forgotten; with ``scan`` only the most recent clusters (full ones counted) compete.
+    Only one row per conversation and session takes part in the running extremes. A row without a number may join any
+    cluster, so its conversation is one run.
     """
-
-    def make():
-        open_clusters: list[OpenCluster] = []
-        opened = [0]
-
-        def step(row):
-            vector, sets = read(row)
-            if scan is not None:
-                while open_clusters and open_clusters[0].number <= opened[0] - scan:
-                    open_clusters.pop(0)
-            best, best_score = None, floor
-            for cluster in open_clusters:
-                value = score(vector, sets, cluster)
-                if value is not None and value > best_score:
-                    best, best_score = cluster, value
-            if best is None or best_score < threshold:
-                opened[0] += 1
-                best = OpenCluster(opened[0], 1, vector.copy(), {k: set(v) for k, v in sets.items()})
-                open_clusters.append(best)
-            else:
-                best.absorb(vector, sets)
-            if best.size >= capacity:
-                open_clusters.remove(best)
-            return (best.number,)
-
-        return step
-
-    return make
+    number = F.get("numbers", F.lit(0))
+    sessions = rows.groupBy("conv_id", "o1").agg(F.min(number).alias("low"), F.max(number).alias("high"), F.max(number.isNull()).alias("open"))
+    order = Window.partitionBy("conv_id").orderBy("o1")
+    before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("low").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    closed = ~F.max("open").over(Window.partitionBy("conv_id")) & (after - before > max_gap)
+    starts = sessions.withColumn("starts", F.when(closed, 1).otherwise(0)).withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.join(starts.select("conv_id", "o1", "run"), ["conv_id", "o1"])
 
 
 def cluster_events(
@@ -229,36 +187,34 @@ def cluster_events(
     """Online event clusters of facts ``(conv_id, node_id, session, speaker, terms, entities, vector, order_key, pos)``."""
 
     def read(row):
-        return unit(row["vector"]), {
+        return unit(np.asarray(row["vector"], dtype=np.float32)), {
             "terms": set(row["terms"]), "entities": set(row["entities"]),
             "sessions": {row["session"]} if row["session"] else set(), "numbers": set(row["numbers"]),
             "speakers": {row["speaker"]} if row["speaker"] else set(),
         }
 
-    def score(vector, sets, cluster):
+    def extra(sets, cluster):
         held, known = cluster.sets["sessions"], cluster.sets["numbers"] | sets["numbers"]
         if known and max(known) - min(known) > max_session_gap:
             return None
         apart = held and sets["sessions"] and not held & sets["sessions"]
         gap = steps_apart(sets["numbers"], cluster.sets["numbers"]) if apart else 0
         near = 1.0 if gap == 0 else 0.5 if gap == 1 else 0.0
-        return (
-            0.60 * cosine(vector, cluster.centre)
-            + 0.15 * set_overlap(sets["entities"], cluster.sets["entities"])
-            + 0.15 * set_overlap(sets["terms"], cluster.sets["terms"])
-            + 0.05 * near
-            + 0.05 * float(bool(sets["speakers"] & cluster.sets["speakers"]))
-            - 0.06 * gap
-        )
+        return 0.05 * near + 0.05 * float(bool(sets["speakers"] & cluster.sets["speakers"])) - 0.06 * gap
 
     source = views.select(
         "conv_id", "node_id", "session", "speaker", "terms", "entities", "vector", "pos",
         F.col("order_key.session").alias("o1"), F.col("order_key.number").alias("o2"), F.col("order_key.id").alias("o3"),
     )
-    return sorted_fold(
-        with_session_numbers(source, F.array("session")), ["conv_id"], ["o1", "o2", "o3", "pos"], greedy_maker(read, score, threshold, max_facts, scan),
-        "event_no long", ["conv_id", "node_id", "pos"],
-    )
+    runs = restart_runs(with_session_numbers(source, F.array("session")), max_session_gap)
+    score = Score(0.60, {"entities": 0.15, "terms": 0.15}, extra, 0.10)
+    placed = cut_lineage(sorted_fold(
+        runs, ["conv_id", "run"], ["o1", "o2", "o3", "pos"], greedy_maker(read, score, threshold, max_facts, scan), "own_no long", ["conv_id", "run", "node_id", "pos"],
+    ))
+    sizes = placed.groupBy("conv_id", "run").agg(F.max("own_no").alias("opened"))
+    earlier = F.sum("opened").over(Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("conv_id", "run", F.coalesce(earlier, F.lit(0)).alias("offset"))
+    return placed.join(offsets, ["conv_id", "run"]).select("conv_id", "node_id", "pos", (F.col("own_no") + F.col("offset")).alias("event_no"))
 
 
 def running_centroids(members: DataFrame) -> DataFrame:
@@ -267,15 +223,15 @@ def running_centroids(members: DataFrame) -> DataFrame:
     ``members``: (conv_id, cluster_id, member_id, pos, vector).
     """
     def make():
-        state: dict = {"n": 0, "c": None}
+        held: list[OpenCluster] = []
 
         def step(row):
             vector = np.asarray(row["vector"], dtype=np.float64)
-            moved = vector if state["c"] is None else (state["c"] * state["n"] + vector) / (state["n"] + 1)
-            size = float(np.linalg.norm(moved))
-            state["c"] = moved / size if size > 1e-12 and state["c"] is not None else moved
-            state["n"] += 1
-            return (state["n"], state["c"].tolist())
+            if held:
+                held[0].absorb(vector, {})
+            else:
+                held.append(OpenCluster(1, 1, vector))
+            return (held[0].size, held[0].centre.tolist())
 
         return step
 
@@ -287,16 +243,9 @@ def cluster_topics(events: DataFrame, threshold: float = 0.52, max_events: int =
     """Online topic clusters of events ``(conv_id, event_id, vector, terms, entities, sessions, first_pos)``."""
 
     def read(row):
-        return unit(row["vector"]), {k: set(row[k]) for k in ("terms", "entities", "sessions", "numbers")}
-
-    def score(vector, sets, cluster):
-        return (
-            0.65 * cosine(vector, cluster.centre)
-            + 0.20 * set_overlap(sets["entities"], cluster.sets["entities"])
-            + 0.10 * set_overlap(sets["terms"], cluster.sets["terms"])
-            + 0.05 * session_similarity(sets, cluster.sets)
-        )
+        return unit(np.asarray(row["vector"], dtype=np.float32)), {k: set(row[k]) for k in ("terms", "entities", "sessions", "numbers")}
 
+    score = Score(0.65, {"entities": 0.20, "terms": 0.10}, lambda sets, cluster: 0.05 * session_similarity(sets, cluster.sets), 0.05)
     return sorted_fold(
         with_session_numbers(events.select("conv_id", "event_id", "vector", "terms", "entities", "sessions", "first_pos"), F.col("sessions")),
         ["conv_id"], ["first_pos", "event_id"], greedy_maker(read, score, threshold, max_events),
@@ -308,16 +257,9 @@ def cluster_episodes(events: DataFrame, threshold: float = 0.50, max_events: int
     """Online episode clusters inside each topic; events come in order of their first session."""
 
     def read(row):
-        return unit(row["vector"]), {k: set(row[k]) for k in ("terms", "entities", "sessions")}
-
-    def score(vector, sets, cluster):
-        return (
-            0.70 * cosine(vector, cluster.centre)
-            + 0.15 * set_overlap(sets["entities"], cluster.sets["entities"])
-            + 0.10 * set_overlap(sets["terms"], cluster.sets["terms"])
-            + 0.05 * set_overlap(sets["sessions"], cluster.sets["sessions"])
-        )
+        return unit(np.asarray(row["vector"], dtype=np.float32)), {k: set(row[k]) for k in ("terms", "entities", "sessions")}
 
+    score = Score(0.70, {"entities": 0.15, "terms": 0.10}, lambda sets, cluster: 0.05 * set_overlap(sets["sessions"], cluster.sets["sessions"]), 0.05)
     return sorted_fold(
         events.select("conv_id", "topic_id", "event_id", "vector", "terms", "entities", "sessions", "first_pos",
                       F.coalesce(F.get("sessions", F.lit(0)), F.col("event_id")).alias("first_session")),
@@ -341,38 +283,10 @@ def cluster_entity_states(
             sets[name] = {row[name]} if row[name] else set()
         return np.asarray(row["vector"], dtype=np.float64), sets
 
-    def make():
-        clusters: list[OpenCluster] = []
-        opened = [0]
-
-        def step(row):
-            vector, sets = read(row)
-            best, best_score = None, 0.0
-            for cluster in clusters:
-                value = (
-                    0.35 * max(0.0, cosine(vector, cluster.centre))
-                    + 0.25 * set_overlap(sets["terms"], cluster.sets["terms"])
-                    + 0.18 * bool(sets["episode_id"] & cluster.sets["episode_id"])
-                    + 0.12 * bool(sets["event_id"] & cluster.sets["event_id"])
-                    + 0.10 * bool(sets["session_id"] & cluster.sets["session_id"])
-                )
-                if value > best_score:
-                    best, best_score = cluster, value
-            if best is None or best_score < threshold:
-                opened[0] += 1
-                best = OpenCluster(opened[0], 1, vector.copy(), {k: set(v) for k, v in sets.items()})
-                clusters.append(best)
-            else:
-                best.centre = (best.centre * best.size + vector) / (best.size + 1)
-                best.size += 1
-                for name, values in sets.items():
-                    best.sets[name] |= values
-            if best.size >= max_facts:
-                clusters.remove(best)
-            return (best.number,)
-
-        return step
-
+    ids = {"episode_id": 0.18, "event_id": 0.12, "session_id": 0.10}
+    extra = lambda sets, cluster: sum(w * bool(sets[n] & cluster.sets[n]) for n, w in ids.items())
+    score = Score(0.35, {"terms": 0.25}, extra, sum(ids.values()), tuple(ids), positive=True)
+    make = greedy_maker(read, score, threshold, max_facts, normal=False)
     last = F.lit("zzzz")
     ordered = units.select(
         "conv_id", "entity_key", "fact_id", "terms", "vector", "episode_id", "event_id", "session_id",
