@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
 from memloom.operators.ordering import dense_ordinal, first_per, top_per
+from memloom.session import cut_lineage
 
 EDGE_COLUMNS = ["conv_id", "src", "dst", "relation", "role", "view", "confidence", "similarity"]
 
@@ -32,20 +33,32 @@ def support_edges(nodes: DataFrame) -> DataFrame:
     return _edge(wanted.join(raws, ["conv_id", "dst"], "left_semi"), F.lit("SUPPORTS"), F.lit(0.98))
 
 
-def _term_pairs(terms: Column) -> Column:
-    """All two-element subsets of a sorted term list as structs."""
-    ordered = F.array_sort(terms)
-    return F.flatten(F.transform(ordered, lambda t, i: F.transform(
-        F.slice(ordered, i + 2, F.greatest(F.size(ordered) - i - 1, F.lit(0))), lambda u: F.struct(t.alias("t"), u.alias("u")))))
+def _scored(pairs: DataFrame, fact_sets: DataFrame, anchor_sets: DataFrame) -> DataFrame:
+    return (
+        pairs.join(fact_sets, ["conv_id", "fact_id"]).join(anchor_sets, ["conv_id", "anchor_id"])
+        .withColumn("shared", F.size(F.array_intersect("fact_terms", "anchor_terms")).cast("bigint"))
+        .withColumn("similarity", tx.jaccard(F.col("fact_terms"), F.col("anchor_terms")))
+        .select("conv_id", "fact_id", "anchor_id", "anchor_pos", "shared", "similarity")
+    )
+
+
+def _longer(rows: DataFrame, key: str, crowded: DataFrame) -> DataFrame:
+    """Rows ``(conv_id, key, terms, last, combo)`` of crowded combinations, longer by each later term of ``terms``."""
+    kept = rows.join(crowded.select("conv_id", "combo"), ["conv_id", "combo"], "left_semi")
+    later = F.expr("explode(filter(transform(terms, (t, i) -> struct(i, t)), x -> x.i > last))")
+    return kept.select("conv_id", key, "terms", "combo", later.alias("next")).select(
+        "conv_id", key, "terms", F.col("next.i").alias("last"), F.concat("combo", F.array("next.t")).alias("combo"))
 
 
 def _sharing_pairs(facts: DataFrame, anchors: DataFrame, limit: int) -> DataFrame:
     """Fact and anchor pairs that can be among a fact's ``limit`` anchors with most shared terms.
 
-    A term with more than ``limit`` anchors is crowded. An anchor that shares one crowded term and nothing else
-    can only count if it is among the term's first ``limit`` anchors, because those share at least as much and
-    come earlier. So single terms join at most ``limit`` anchors each, and crowded terms join in full only by
-    pairs. Nothing that could rank is lost, and a word everybody uses never pairs all facts with all anchors.
+    A combination of terms is looked up in the first ``limit`` anchors that hold it all. It is crowded if more do: then an
+    anchor beyond them that shares just this combination cannot rank, since they share as much and come earlier. So level by
+    level, from single terms on, only crowded combinations grow by a term, and what a fact has not seen must share more terms
+    than the level has, and no fewer than the ``limit``-th best it has seen. Of ``n`` crowded terms, rarest first, an
+    anchor that shares ``r`` has ``k`` among the first ``n - r + k``: longer combinations stay inside that prefix. The loop ends
+    when no fact can share enough; a fact meets ``limit`` anchors per combination, however many hold its words.
     """
     fact_sets = facts.select("conv_id", F.col("node_id").alias("fact_id"), tx.term_set("text").alias("fact_terms"))
     anchor_sets = anchors.select(
@@ -54,21 +67,36 @@ def _sharing_pairs(facts: DataFrame, anchors: DataFrame, limit: int) -> DataFram
     fact_rows = fact_sets.select("conv_id", "fact_id", F.explode("fact_terms").alias("term"))
     postings = anchor_sets.select("conv_id", "anchor_id", "anchor_pos", F.explode("anchor_terms").alias("term"))
     first = top_per(postings, ["conv_id", "term"], [F.asc("anchor_pos")], limit, "list_no")
-    single = fact_rows.join(first.select("conv_id", "term", "anchor_id"), ["conv_id", "term"]).select("conv_id", "fact_id", "anchor_id")
-    crowded = postings.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > limit).select("conv_id", "term")
-
-    def pairs(rows: DataFrame, key: str) -> DataFrame:
-        kept = rows.join(crowded, ["conv_id", "term"], "left_semi").groupBy("conv_id", key).agg(F.collect_set("term").alias("terms"))
-        return kept.select("conv_id", key, F.inline(_term_pairs(F.col("terms"))))
-
-    double = pairs(fact_rows, "fact_id").join(pairs(postings, "anchor_id"), ["conv_id", "t", "u"]).select("conv_id", "fact_id", "anchor_id")
-    return (
-        single.unionByName(double).distinct()
-        .join(fact_sets, ["conv_id", "fact_id"]).join(anchor_sets, ["conv_id", "anchor_id"])
-        .withColumn("shared", F.size(F.array_intersect("fact_terms", "anchor_terms")).cast("bigint"))
-        .withColumn("similarity", tx.jaccard(F.col("fact_terms"), F.col("anchor_terms")))
-        .select("conv_id", "fact_id", "anchor_id", "anchor_pos", "shared", "similarity")
-    )
+    pairs = fact_rows.join(first.select("conv_id", "term", "anchor_id"), ["conv_id", "term"]).select("conv_id", "fact_id", "anchor_id").distinct()
+    crowded = postings.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > limit)
+    if crowded.isEmpty():
+        return _scored(pairs, fact_sets, anchor_sets)
+
+    crowded = cut_lineage(crowded)
+    ordered = lambda rows, key: rows.join(crowded, ["conv_id", "term"]).groupBy("conv_id", key).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("terms"))
+    start = lambda rows, key: rows.select("conv_id", key, "terms", F.posexplode("terms").alias("last", "term")).select("conv_id", key, "terms", "last", F.array("term").alias("combo"))
+    fact_combos, anchor_combos = start(ordered(fact_rows, "fact_id"), "fact_id"), start(ordered(postings, "anchor_id"), "anchor_id")
+    places = anchor_sets.select("conv_id", "anchor_id", "anchor_pos")
+    seen = cut_lineage(_scored(pairs, fact_sets, anchor_sets))
+    dense = crowded.select("conv_id", F.array("term").alias("combo"))
+    level = 1
+    while True:
+        level += 1
+        worst = top_per(seen, ["conv_id", "fact_id"], [F.desc("shared"), F.asc("anchor_pos")], limit, "place").filter(F.col("place") == limit)
+        needed = F.greatest(F.lit(level), F.coalesce("shared", F.lit(0)))
+        grown = _longer(fact_combos, "fact_id", dense).join(worst.select("conv_id", "fact_id", "shared"), ["conv_id", "fact_id"], "left")
+        fact_combos = cut_lineage(grown.filter(F.col("last") < F.size("terms") - needed + level).drop("shared"))
+        if fact_combos.isEmpty():
+            return seen
+        anchor_combos = cut_lineage(_longer(anchor_combos, "anchor_id", dense))
+        held = anchor_combos.join(fact_combos.select("conv_id", "combo").distinct(), ["conv_id", "combo"], "left_semi").join(places, ["conv_id", "anchor_id"])
+        counted = held.groupBy("conv_id", "combo").agg(F.count(F.lit(1)).alias("df"))
+        dense = cut_lineage(counted.filter(F.col("df") > limit).drop("df"))
+        lists = top_per(held, ["conv_id", "combo"], [F.asc("anchor_pos")], limit, "list_no").select("conv_id", "combo", "anchor_id")
+        found = fact_combos.join(lists, ["conv_id", "combo"]).select("conv_id", "fact_id", "anchor_id").distinct()
+        fresh = found.join(seen.select("conv_id", "fact_id", "anchor_id"), ["conv_id", "fact_id", "anchor_id"], "left_anti")
+        seen = cut_lineage(seen.unionByName(_scored(fresh, fact_sets, anchor_sets)))
 
 
 def anchor_candidates(facts: DataFrame, anchors: DataFrame, limit: int = 40) -> DataFrame:

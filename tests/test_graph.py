@@ -200,3 +200,27 @@ def test_siblings_keep_the_strongest_and_skip_hubs(spark):
     assert {(r.anchor_id, r.node_id) for r in ex.siblings(seeds, links, 2).collect()} == {("hub", "f7"), ("hub", "f6"), ("small", "f0")}
     assert {r.anchor_id for r in ex.siblings(seeds, links, 2, max_degree=5).collect()} == {"small"}
     assert math.isclose(ex.siblings(seeds, links, 2, 5).first().sibling_confidence, 0.9)
+
+
+@pytest.mark.parametrize("common", [3, 6])
+def test_words_in_every_anchor_keep_candidates_exact_and_linear(spark, common):
+    rng = random.Random(common)
+    everywhere = WORDS[:common]
+    rare = [f"word{i}x" for i in range(60)]
+    text = lambda k: " ".join([*rng.sample(everywhere, rng.choice([common, common, common - 1])), *rng.choices(rare, k=k)])
+    facts = [("c", f"f{i}", text(rng.randrange(0, 3))) for i in range(150)]
+    anchors = [("c", f"a{i}", text(rng.randrange(0, 3)), i) for i in range(300)]
+    f = spark.createDataFrame(facts, "conv_id string, node_id string, text string")
+    a = spark.createDataFrame(anchors, "conv_id string, node_id string, text string, pos long")
+    pairs = ed._sharing_pairs(f, a, 10).cache()
+    want = set()
+    for _, fact, body in facts:
+        ranked = sorted((x for x in anchors if terms(body) & terms(x[2])), key=lambda x: (-len(terms(body) & terms(x[2])), x[3]))
+        want |= {(fact, x[1]) for x in ranked[:10]}
+    got = {}
+    for r in pairs.collect():
+        got.setdefault(r.fact_id, []).append((-r.shared, r.anchor_pos, r.anchor_id))
+    assert {(k, x[2]) for k, v in got.items() for x in sorted(v)[:10]} == want
+    assert pairs.count() < 0.4 * len(facts) * len(anchors)
+    wide = spark.createDataFrame([("c", f"b{i}", text(0), 300 + i) for i in range(600)], a.schema)
+    assert ed._sharing_pairs(f, a.unionByName(wide), 10).count() < 1.2 * pairs.count()
