@@ -11,6 +11,7 @@ from memloom.catalog.retrieval import bm25_sql, exp_sql, ldist_sql
 from memloom.catalog.nodes import hash_embedding_sql, names_sql
 from memloom.functions import text as tx
 from memloom.functions import vectors as vx
+from memloom.operators import balls as ba
 from memloom.operators import expansion as ex
 from memloom.operators import hierarchy as hi
 from memloom.operators import nodes as nd
@@ -222,19 +223,11 @@ def _vector_hierarchy(spark, d):
     return queries, events, topics.select("conv_id", "topic_id", F.col("centroid").alias("vector")), fact_event
 
 
-def _euclid(q, v):
-    return vx.dot(q, v)
-
-
-def _hyper(q, v):
-    return -vx.lorentz_distance(q, v)
-
-
 def _hyper_route(queries, events, topics, fact_event):
     """Points are computed once per question, event and topic, not per pair."""
     point = lambda c, s: vx.exp_map(vx.scale(F.col(c), F.lit(s)))
     return ex.topdown_candidates(
-        queries.withColumn("query_vector", point("query_vector", 0.72)), events.withColumn("vector", point("vector", 0.6)), topics.withColumn("vector", point("vector", 0.6)), fact_event, _hyper, "hyp")
+        queries.withColumn("query_vector", point("query_vector", 0.72)), events.withColumn("vector", point("vector", 0.6)), topics.withColumn("vector", point("vector", 0.6)), fact_event, ba.lorentz(), "hyp")
 
 
 def _nmean(keys: str, name: str) -> str:
@@ -277,7 +270,7 @@ def td_columns(df):
 @query("topdown_euclidean_X08", "WITH " + VH_SQL + "," + td_sql(EU, "eu") + TD_SELECT.format("eu"))
 def _(spark, d):
     queries, events, topics, fact_event = _vector_hierarchy(spark, d)
-    return td_columns(ex.topdown_candidates(queries, events, topics, fact_event, _euclid, "eu"))
+    return td_columns(ex.topdown_candidates(queries, events, topics, fact_event, ba.EUCLIDEAN, "eu"))
 
 
 @query("topdown_hyperbolic_X09", "WITH " + VH_SQL + "," + td_sql(HYP_BODY, "hyp") + TD_SELECT.format("hyp"))
@@ -295,7 +288,7 @@ mg AS (SELECT conv_id, node_id, string_agg(DISTINCT route, '+' ORDER BY route) A
 
 def both_routes(spark, d):
     queries, events, topics, fact_event = _vector_hierarchy(spark, d)
-    return ex.topdown_candidates(queries, events, topics, fact_event, _euclid, "eu").unionByName(
+    return ex.topdown_candidates(queries, events, topics, fact_event, ba.EUCLIDEAN, "eu").unionByName(
         _hyper_route(queries, events, topics, fact_event))
 
 

@@ -9,6 +9,7 @@ from memloom.catalog.hierarchy import VM_SQL, cos_sql, vector_members
 from memloom.catalog.nodes import lexical_sql, names_sql
 from memloom.functions import text as tx
 from memloom.functions import vectors as vx
+from memloom.operators import balls as ba
 from memloom.operators import hierarchy as hi
 from memloom.operators import retrieval as re_
 from memloom.sources import tables as tb
@@ -109,8 +110,8 @@ sc AS (SELECT vm.conv_id, member_id, list_dot_product(qv, vector) AS score FROM
 rk AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, member_id) AS rank FROM sc)
 SELECT conv_id || ':q0001' AS question_id, conv_id, member_id AS item_id, round(score, 6) AS score, rank::INTEGER AS rank FROM rk WHERE rank <= 10""")
 def _(spark, d):
-    items = vector_members(spark, d).select("conv_id", F.col("member_id").alias("item_id"), "vector")
-    return re_.scoped_top_k(_scoped_queries(spark, d), items, vx.dot(F.col("query_vector"), F.col("vector")), 10).withColumn("score", F.round("score", 6))
+    items = vector_members(spark, d).select("conv_id", F.col("member_id").alias("item_id"), F.col("cluster_id").alias("ball"), "vector")
+    return ba.ball_top_k(_scoped_queries(spark, d), items, ba.EUCLIDEAN, 10).drop("ball").withColumn("score", F.round("score", 6))
 
 
 def exp_sql(t: str) -> str:
@@ -200,9 +201,9 @@ sc AS (SELECT pt.conv_id, member_id, -{ldist_sql('qp.p', 'pt.p')} AS score FROM
 rk AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9) DESC, member_id) AS rank FROM sc)
 SELECT conv_id || ':q0001' AS question_id, conv_id, member_id AS item_id, round(score, 6) AS score, rank::INTEGER AS rank FROM rk WHERE rank <= 10""")
 def _(spark, d):
-    items = vector_members(spark, d).select("conv_id", F.col("member_id").alias("item_id"), vx.exp_map(vx.scale(F.col("vector"), F.lit(0.8))).alias("vector"))
+    items = vector_members(spark, d).select("conv_id", F.col("member_id").alias("item_id"), F.col("cluster_id").alias("ball"), vx.exp_map(vx.scale(F.col("vector"), F.lit(0.8))).alias("vector"))
     queries = _scoped_queries(spark, d).withColumn("query_vector", vx.project_level_query(F.col("query_vector")))
-    return re_.scoped_top_k(queries, items, -vx.lorentz_distance(F.col("query_vector"), F.col("vector")), 10).withColumn("score", F.round("score", 6))
+    return ba.ball_top_k(queries, items, ba.lorentz(), 10).drop("ball").withColumn("score", F.round("score", 6))
 
 
 @query("cone_violation_R12", PAIR_SQL + f"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
 from memloom.functions import vectors as vx
+from memloom.operators.balls import Metric, ball_top_k
 from memloom.operators.edges import edge_id
 from memloom.operators.ordering import first_per, top_per
 from memloom.operators.retrieval import log1p, reciprocal_rank
@@ -243,26 +244,26 @@ def hierarchy_candidates(
 
 
 def topdown_candidates(
-    queries: DataFrame, events: DataFrame, topics: DataFrame, fact_event: DataFrame, score, route: str,
+    queries: DataFrame, events: DataFrame, topics: DataFrame, fact_event: DataFrame, metric: Metric, route: str,
     event_top: int = 20, topic_top: int = 3, events_per_topic: int = 3, facts_per_event: int = 8, top: int = 100,
 ) -> DataFrame:
     """Route rows from the closest events and from the closest topics' closest events.
 
-    ``score(query_column, item_column)`` is a dot product or a negative hyperbolic distance; ``route`` names it
-    (``eu`` or ``hyp``). ``events``: (conv_id, event_id, topic_id, vector), ``topics``: (conv_id, topic_id, vector),
-    ``queries``: (question_id, conv_id, query_vector). Rows are per (question, fact, sub-route).
+    The events of a topic lie in one ball, so a question scores only events of topics that can hold one of its closest, and
+    of its best topics. ``route`` names the metric (``eu`` or ``hyp``). ``events``: (conv_id, event_id, topic_id, vector),
+    ``topics``: (conv_id, topic_id, vector), ``queries``: (question_id, conv_id, query_vector). Rows are per (question, fact, sub-route).
     """
-    paired = queries.join(events.select("conv_id", "event_id", "topic_id", "vector"), "conv_id").withColumn(
-        "event_score", score(F.col("query_vector"), F.col("vector"))).drop("vector", "query_vector")
-    by_event = top_per(paired, ["question_id"], [F.desc(F.round("event_score", 9)), F.asc("event_id")], event_top, "route_rank").select(
-        "question_id", "conv_id", "event_id", "topic_id", F.col("event_score").alias("query_score"), "route_rank", F.lit(0).alias("event_rank"),
-        F.lit(f"{route}_event").alias("route"))
+    items = events.select("conv_id", F.col("event_id").alias("item_id"), F.col("topic_id").alias("ball"), "vector")
+    by_event = ball_top_k(queries, items, metric, event_top).select(
+        "question_id", "conv_id", F.col("item_id").alias("event_id"), F.col("ball").alias("topic_id"), F.col("score").alias("query_score"), F.col("rank").alias("route_rank"),
+        F.lit(0).alias("event_rank"), F.lit(f"{route}_event").alias("route"))
     best_topics = top_per(
-        queries.join(topics.select("conv_id", "topic_id", "vector"), "conv_id").withColumn("topic_score", score(F.col("query_vector"), F.col("vector"))),
+        queries.join(topics.select("conv_id", "topic_id", "vector"), "conv_id").withColumn("topic_score", metric.score(F.col("query_vector"), F.col("vector"))).drop("vector"),
         ["question_id"], [F.desc(F.round("topic_score", 9)), F.asc("topic_id")], topic_top, "topic_rank",
-    ).select("question_id", "conv_id", "topic_id", "topic_score", "topic_rank")
-    inside = top_per(paired.join(best_topics, ["question_id", "conv_id", "topic_id"]), ["question_id", "topic_id"],
-                     [F.desc(F.round("event_score", 9)), F.asc("event_id")], events_per_topic, "event_rank")
+    )
+    within = best_topics.join(events.select("conv_id", "topic_id", "event_id", "vector"), ["conv_id", "topic_id"])
+    within = within.withColumn("event_score", metric.score(F.col("query_vector"), F.col("vector"))).drop("vector", "query_vector")
+    inside = top_per(within, ["question_id", "topic_id"], [F.desc(F.round("event_score", 9)), F.asc("event_id")], events_per_topic, "event_rank")
     by_topic = inside.select(
         "question_id", "conv_id", "event_id", "topic_id", (0.55 * F.col("topic_score") + 0.45 * F.col("event_score")).alias("query_score"),
         F.col("topic_rank").alias("route_rank"), "event_rank", F.lit(f"{route}_topic").alias("route"))
