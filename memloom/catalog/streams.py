@@ -36,7 +36,7 @@ s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id::VARCHAR AS conv_id, count(*) AS turns, count(DISTINCT event_type) AS speakers, {iso_sql('min(ts)')} AS first_ts, {iso_sql('max(ts)')} AS last_ts FROM s GROUP BY user_id, no""")
 def _(spark, d):
     e = st.table_stream(spark, d, "events.parquet").select(F.col("user_id").cast("string").alias("conv_id"), F.col("event_type").alias("speaker"), F.col("ts").cast("timestamp").alias("ts"))
-    rows = st.run_available(st.session_activity(e), ar.shared_folder(spark), "complete")
+    rows = st.session_table(st.run_available(st.session_activity(e), ar.shared_folder(spark)))
     return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_ts", "last_ts")})
 
 

@@ -1,17 +1,18 @@
 """Streaming forms over a turn or state stream. Semantics are those of the batch twins.
 
-Sources are plain ``readStream`` tables; state per key is a list of 20 facts or one open version.
+Sources are plain ``readStream`` tables. State per key is typed: the last facts, the open sessions or the open version; it goes
+when a key is idle or its sessions are over.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from memloom.functions import text as tx
 from memloom.operators import nodes as nd
@@ -26,19 +27,27 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_available(stream: DataFrame, target: str, mode: str = "append") -> DataFrame:
-    """Process what is there into Parquet with its own checkpoint, and read the result.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    In complete mode every micro-batch replaces the table by the whole current result, so the last one also holds what the
-    watermark has not closed yet.
-    """
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that typed state and timers need, for queries started inside; the session's own setting comes back."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def run_available(stream: DataFrame, target: str) -> DataFrame:
+    """Process what is there into Parquet with its own checkpoint, in append mode, and read the result."""
     spark = stream.sparkSession
-    writer = stream.writeStream.option("checkpointLocation", f"{target}/checkpoint").outputMode(mode).trigger(availableNow=True)
-    if mode == "complete":
-        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{target}/data"))
-    else:
-        writer = writer.format("parquet").option("path", f"{target}/data")
-    writer.start().awaitTermination()
+    writer = stream.writeStream.option("checkpointLocation", f"{target}/checkpoint").outputMode("append").trigger(availableNow=True)
+    with keyed_state(spark):
+        writer.format("parquet").option("path", f"{target}/data").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{target}/data")
 
 
@@ -47,88 +56,206 @@ def extracted_nodes(turns: DataFrame) -> DataFrame:
     return nd.raw_nodes(turns).unionByName(nd.fact_nodes(turns))
 
 
+SESSION_OUTPUT = "conv_id string, first_ts timestamp, last_ts timestamp, turns long, speakers long, closed boolean, seq long"
+SESSION_STATE = "first_ts timestamp, last_ts timestamp, turns long, speakers array<string>"
+
+
+class Sessions(StatefulProcessor):
+    """Open activity sessions of a key: a row joins those it lies within the gap of; the watermark closes them, by a timer."""
+
+    def __init__(self, gap: str) -> None:
+        self.gap = pd.Timedelta(gap)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", SESSION_STATE)
+        self.seq = handle.getValueState("seq", "seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        for frame in rows:
+            for row in frame.sort_values("ts").itertuples(index=False):
+                near = [s for s in held if s[0] - self.gap <= row.ts <= s[1] + self.gap]
+                speakers = {row.speaker} - {None}
+                held = [s for s in held if s not in near]
+                held.append((min([row.ts, *[s[0] for s in near]]), max([row.ts, *[s[1] for s in near]]), 1 + sum(s[2] for s in near), speakers.union(*[s[3] for s in near])))
+        yield self._emit(key, held, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._emit(key, self._held(), timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _held(self) -> list[tuple]:
+        return [(pd.Timestamp(first), pd.Timestamp(last), turns, set(speakers)) for first, last, turns, speakers in self.open.get()] if self.open.exists() else []
+
+    def _emit(self, key, held: list[tuple], timer_values) -> pd.DataFrame:
+        """Closed sessions leave; the key's open ones are passed on as they are now, under the next number."""
+        passed = pd.Timestamp(timer_values.getCurrentWatermarkInMs(), unit="ms")
+        over = lambda s: s[1] + self.gap < passed
+        seq = self.seq.get()[0] + 1 if self.seq.exists() else 0
+        left = sorted((s for s in held if not over(s)), key=lambda s: s[0])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if left:
+            self.open.put([(first.to_pydatetime(), last.to_pydatetime(), turns, sorted(speakers)) for first, last, turns, speakers in left])
+            self.seq.update((seq,))
+            self.handle.registerTimer(int((left[0][1] + self.gap).timestamp() * 1000) + 1)
+        else:
+            self.open.clear()
+            self.seq.clear()
+        rows = [(key[0], first, last, turns, len(speakers), over((first, last)), seq) for first, last, turns, speakers in held]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SESSION_OUTPUT.split(", ")])
+
+
 def session_activity(turns: DataFrame, delay: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
-    """Turns, distinct speakers and first and last time per conversation and activity session.
+    """Turns, distinct speakers and first and last time per conversation and activity session, in append mode.
+
+    A micro-batch passes on the sessions of the keys it touches: closed ones for good, open ones as they are so far.
+    ``session_table`` keeps the newest of each. State are the sessions that the watermark has not passed, whatever the stream's age.
+    """
+    return turns.withWatermark("ts", delay).groupBy("conv_id").transformWithStateInPandas(Sessions(gap), SESSION_OUTPUT, "append", "eventTime")
+
+
+def session_table(emitted: DataFrame) -> DataFrame:
+    """Every session once: closed ones, and the open ones of a key's newest emission since its last session closed."""
+    newest = F.max_by("seq", F.struct("last_ts", "seq")).over(Window.partitionBy("conv_id"))
+    closed = emitted.filter("closed")
+    opened = emitted.filter("NOT closed").withColumn("newest", newest).filter("seq = newest").drop("newest")
+    later = closed.select("conv_id", F.col("first_ts").alias("from"), F.col("last_ts").alias("to"))
+    still = opened.join(later, (opened["conv_id"] == later["conv_id"]) & (opened["first_ts"] >= later["from"]) & (opened["first_ts"] <= later["to"]), "left_anti")
+    return closed.unionByName(still).select("conv_id", "turns", "speakers", "first_ts", "last_ts")
+
 
-    In append mode a session leaves when the watermark has passed it and its state goes; in complete mode all are kept. A
-    session's speakers are a set in its state: as many as take part in it.
+class Changes(StatefulProcessor):
+    """The last facts of a conversation by position; twice the window, so that a late one finds its neighbours."""
+
+    UPDATE_WORDS, CONFLICT_WORDS = ("changed", "updated", "now", "instead", "no longer"), ("not ", "never", "contradict", "wrong")
+
+    def __init__(self, window: int, min_similarity: float, idle: str | None) -> None:
+        self.window, self.min_similarity, self.idle = window, min_similarity, pd.Timedelta(idle) if idle else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", "pos long, node_id string, text string, status string, terms array<string>")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        return iter(())
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        latest = max((f["at"].max() for f in frames if f["at"].notna().any()), default=None)
+        if self.idle is not None and latest is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((latest + self.idle).timestamp() * 1000))
+        held = [(*f[:4], set(f[4])) for f in self.recent.get()] if self.recent.exists() else []
+        full = len(held) >= 2 * self.window
+        arrived = sorted(((int(r.pos), r.node_id, r.text, r.status, set(r.terms)) for frame in frames for r in frame.itertuples(index=False)), key=lambda f: f[0])
+        arrived = [f for f in arrived if not full or f[0] > held[0][0]]
+        fresh = {f[1] for f in arrived}
+        facts = sorted(held + arrived, key=lambda f: f[0])
+        found = []
+        for i, new in enumerate(facts):
+            for old in facts[max(0, i - self.window) : i]:
+                if (new[1] in fresh or old[1] in fresh) and (edge := self._edge(key[0], new, old)):
+                    found.append(edge)
+        self.recent.put([(*f[:4], sorted(f[4])) for f in facts[-2 * self.window :]])
+        yield pd.DataFrame(found, columns=["conv_id", "src", "dst", "relation", "confidence", "similarity"])
+
+    def close(self) -> None:
+        pass
+
+    def _edge(self, conv: str, new: tuple, old: tuple) -> tuple | None:
+        similarity = len(new[4] & old[4]) / len(new[4] | old[4]) if new[4] and old[4] else 0.0
+        lowered = new[2].lower()
+        if similarity < self.min_similarity:
+            return None
+        if new[3] == "outdated" or any(w in lowered for w in self.UPDATE_WORDS):
+            return conv, new[1], old[1], "UPDATES", min(0.9, 0.5 + similarity), similarity
+        if any(w in f"{old[2].lower()} {lowered}" for w in self.CONFLICT_WORDS):
+            return conv, new[1], old[1], "CONFLICTS_WITH", min(0.85, 0.45 + similarity), similarity
+        return None
+
+
+def change_edges(turns: DataFrame, window: int = 20, min_similarity: float = 0.18, idle: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """UPDATES and CONFLICTS_WITH edges against the last ``window`` facts of each conversation.
+
+    A late turn is placed by its position: it meets its predecessors and those after it meet it, as long as it lies among the
+    last ``2 * window`` facts; edges already passed on stay. With ``idle`` a conversation's state goes when the watermark of the
+    turns' times, ``delay`` behind, is that far past its last turn; turns behind the watermark are dropped then. A
+    conversation's facts of one micro-batch are together, so the trigger's limits bound them.
     """
-    return (
-        turns.withWatermark("ts", delay)
-        .groupBy("conv_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("turns"), F.size(F.collect_set("speaker")).cast("long").alias("speakers"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-        .drop("w")
-    )
-
-
-def _changes(window: int, min_similarity: float):
-    update_words, conflict_words = ("changed", "updated", "now", "instead", "no longer"), ("not ", "never", "contradict", "wrong")
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = json.loads(state.get[0]) if state.exists else []
-        arrived = pd.concat(list(batches)).sort_values("pos")
-        edges = []
-        for row in arrived.itertuples(index=False):
-            terms, lowered = set(row.terms), row.text.lower()
-            for old_id, old_text, old_terms in recent:
-                shared, union = len(terms & set(old_terms)), len(terms | set(old_terms))
-                similarity = shared / union if terms and old_terms else 0.0
-                if similarity < min_similarity:
-                    continue
-                if row.status == "outdated" or any(w in lowered for w in update_words):
-                    edges.append((key[0], row.node_id, old_id, "UPDATES", min(0.9, 0.5 + similarity), similarity))
-                elif any(w in f"{old_text.lower()} {lowered}" for w in conflict_words):
-                    edges.append((key[0], row.node_id, old_id, "CONFLICTS_WITH", min(0.85, 0.45 + similarity), similarity))
-            recent = (recent + [[row.node_id, row.text, sorted(terms)]])[-window:]
-        state.update((json.dumps(recent),))
-        yield pd.DataFrame(edges, columns=["conv_id", "src", "dst", "relation", "confidence", "similarity"])
-
-    return step
-
-
-def change_edges(turns: DataFrame, window: int = 20, min_similarity: float = 0.18) -> DataFrame:
-    """UPDATES and CONFLICTS_WITH edges against the last ``window`` facts of each conversation."""
-    facts = nd.fact_nodes(turns).select("conv_id", "node_id", "text", "status", "pos", tx.term_set("text").alias("terms"))
-    return facts.groupBy("conv_id").applyInPandasWithState(_changes(window, min_similarity), CHANGE_OUTPUT, "recent string", "append", "NoTimeout")
-
-
-def _versions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else (None, None, None, 0)
-    passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-    rows = pd.concat(list(batches)).sort_values(["ts", "state_id"])
-    start, state_id, value, late = held
-    out = []
-    for row in rows.itertuples(index=False):
-        if row.ts < passed or start is not None and (row.ts, row.state_id) < (pd.Timestamp(start), state_id):
-            late += 1
-            continue
-        if start is not None:
-            out.append((key[0], key[1], state_id, value, pd.Timestamp(start), row.ts, row.state_id, late))
-        start, state_id, value = row.ts.isoformat(), int(row.state_id), int(row.value)
-    state.update((start, state_id, value, late))
-    if start is not None:
-        out.append((key[0], key[1], state_id, value, pd.Timestamp(start), None, None, late))
-    produced = pd.DataFrame(out, columns=[c.split()[0] for c in VERSION_OUTPUT.split(", ")])
-    yield produced.astype({"next_id": "Int64", "valid_to": "datetime64[ns]"})
-
-
-def state_versions(states: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Versions per (entity, attribute): a closed one as the next state arrives, and the open one (no ``valid_to``) of every
-    micro-batch that touches the key. Rows behind the watermark or older than the open version are left out and counted in
-    ``late_rows``. State is the open version of each key, nothing else.
-
-    ``states``: (entity, attribute, state_id, value, ts).
+    facts = nd.fact_nodes(turns).select("conv_id", "node_id", "text", "status", "pos", tx.term_set("text").alias("terms"), F.to_timestamp("time").alias("at"))
+    if idle:
+        facts = facts.withWatermark("at", delay)
+    return facts.groupBy("conv_id").transformWithStateInPandas(Changes(window, min_similarity, idle), CHANGE_OUTPUT, "append", "eventTime" if idle else "none")
+
+
+class Versions(StatefulProcessor):
+    """The open version of a key; a timer drops it when the watermark has left it ``idle`` behind."""
+
+    def __init__(self, idle: str | None) -> None:
+        self.idle = pd.Timedelta(idle) if idle else None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start timestamp, state_id long, value long, late long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.open.get() if self.open.exists() else None
+        start, state_id, value, late = (pd.Timestamp(held[0]) if held[0] is not None else None, *held[1:]) if held else (None, None, None, 0)
+        first, before = state_id, late
+        out = []
+        arrived = sorted((r.ts, int(r.state_id), int(r.value)) for frame in rows for r in frame.itertuples(index=False))
+        for ts, new_id, new_value in arrived:
+            if start is not None and (ts, new_id) < (start, state_id):
+                late += 1
+                continue
+            if start is not None:
+                out.append((*key, state_id, value, start, ts, new_id, late))
+            start, state_id, value = ts, new_id, new_value
+        if state_id != first:
+            out.append((*key, state_id, value, start, None, None, late))
+        self.open.update((start.to_pydatetime(), state_id, value, late))
+        if self.idle is not None and state_id != first:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((start + self.idle).timestamp() * 1000))
+        produced = pd.DataFrame(out, columns=[c.split()[0] for c in VERSION_OUTPUT.split(", ")])
+        yield produced.astype({"next_id": "Int64", "valid_to": "datetime64[ns]"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.open.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def state_versions(states: DataFrame, delay: str = "1 hour", idle: str | None = None) -> DataFrame:
+    """Versions per (entity, attribute): a closed one as the next state arrives, an open one (no ``valid_to``) once, when it opens.
+
+    Rows behind the watermark are dropped; rows older than the open version are left out and counted in ``late_rows``. State
+    is the open version of each key; with ``idle`` it goes when the watermark is that far past it, and ``latest_versions``
+    closes such a version by the next one of its key. ``states``: (entity, attribute, state_id, value, ts).
     """
-    return states.withWatermark("ts", delay).groupBy("entity", "attribute").applyInPandasWithState(
-        _versions, VERSION_OUTPUT, "start string, state_id long, value long, late long", "append", "NoTimeout")
+    mode = "eventTime" if idle else "none"
+    return states.withWatermark("ts", delay).groupBy("entity", "attribute").transformWithStateInPandas(Versions(idle), VERSION_OUTPUT, "append", mode)
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """The emitted versions with each state once: closed where a later micro-batch has closed it, else open."""
+    """The emitted versions with each state once: closed where a later row has closed it or a later version opened, else open."""
     keys = ["entity", "attribute", "state_id"]
-    return versions.groupBy(*keys).agg(
+    once = versions.groupBy(*keys).agg(
         F.max_by(F.struct("value", "valid_from", "valid_to", "next_id", "late_rows"), F.struct(F.col("next_id").isNotNull(), F.col("late_rows"))).alias("v")
     ).select(*keys, "v.*")
+    order = Window.partitionBy("entity", "attribute").orderBy("valid_from", "state_id")
+    following = F.lead(F.struct("valid_from", "state_id")).over(order)
+    return once.withColumn("_next", following).select(
+        *keys, "value", "valid_from", F.coalesce("valid_to", "_next.valid_from").alias("valid_to"), F.coalesce("next_id", "_next.state_id").alias("next_id"), "late_rows")
 
 
 def versions_at(versions: DataFrame, asked: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -69,15 +70,72 @@ def test_streamed_versions_drop_and_count_late_rows(spark, tmp_path):
     assert sorted((r.ask, r.state_id) for r in st.versions_at(versions, asked).collect()) == [(1, 1), (2, 4), (3, 4)]
 
 
+def at(minute):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
+
+
+def progress(stream, target):
+    """State rows after each micro-batch, of a stream run to its end."""
+    with st.keyed_state(stream.sparkSession):
+        query = stream.writeStream.option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{target}/data").start()
+        query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+
+
 def test_streamed_sessions_keep_the_open_ones(spark, tmp_path):
     schema = "conv_id string, speaker string, ts timestamp"
-    at = lambda minute: __import__("datetime").datetime(2024, 1, 1, minute // 60, minute % 60)
     write_batch(spark, str(tmp_path / "in"), "b0", [("c", "a", at(0)), ("c", "b", at(30)), ("c", "a", at(61))], schema)
     write_batch(spark, str(tmp_path / "in"), "b1", [("c", "c", at(70)), ("d", "a", at(600))], schema)
-    rows = st.run_available(st.session_activity(stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), "complete").collect()
+    rows = st.session_table(st.run_available(st.session_activity(stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"))).collect()
     assert sorted((r.conv_id, r.turns, r.speakers) for r in rows) == [("c", 2, 2), ("c", 2, 2), ("d", 1, 1)]
 
 
+def test_streamed_sessions_merge_close_and_free_their_state(spark, tmp_path):
+    schema = "conv_id string, speaker string, ts timestamp"
+    first = [(f"k{i}", "a", at(i)) for i in range(40)] + [("m", "a", at(0)), ("m", "b", at(50))]
+    batches = [first, [("m", "c", at(25)), ("x", "a", at(60))], [("x", "a", at(80)), ("x", "b", at(1000))], [("x", "b", at(1010)), ("k3", "z", at(1020))], [("x", None, at(1030))]]
+    for n, rows in enumerate(batches):
+        write_batch(spark, str(tmp_path / "in"), f"b{n}", rows, schema)
+    held = progress(st.session_activity(stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"))
+    assert max(held) > 80 and held[-1] < 12
+    rows = st.session_table(spark.read.parquet(str(tmp_path / "out" / "data"))).collect()
+    got = sorted((r.conv_id, r.turns, r.speakers, r.first_ts, r.last_ts) for r in rows)
+    assert got == sorted([*[(f"k{i}", 1, 1, at(i), at(i)) for i in range(40)], ("k3", 1, 1, at(1020), at(1020)), ("m", 3, 3, at(0), at(50)), ("x", 2, 1, at(60), at(80)), ("x", 3, 1, at(1000), at(1030))])
+
+
+def test_a_late_turn_is_placed_by_its_position(spark, tmp_path):
+    rows = [("c", i, f"D1:{i + 1}", "Ann", f"the blue house by the river {'now' if i % 2 else 'not sold'} {i}", None, "D1") for i in range(12)]
+    for n, part in enumerate([rows[:3] + rows[4:9], [rows[3]], rows[9:]]):
+        write_batch(spark, str(tmp_path / "in"), f"b{n}", part, TURNS)
+    got = st.run_available(st.change_edges(stream(spark, str(tmp_path / "in"), TURNS)), str(tmp_path / "out"))
+    want = ed.change_edges(nd.fact_nodes(spark.createDataFrame(rows, TURNS)))
+    key = lambda df: sorted((r.src, r.dst, r.relation) for r in df.select("src", "dst", "relation").collect())
+    assert key(got) == key(want)
+
+
+def test_idle_conversations_leave_the_state(spark, tmp_path):
+    turn = lambda conv, i, minute: (conv, i, f"D1:{i + 1}", "Ann", f"the blue house by the river now {i}", str(at(minute)), "D1")
+    batches = [[turn(f"k{c}", i, i) for c in range(20) for i in range(3)], [turn("live", 0, 3000)], [turn("live", 1, 3001)], [turn("live", 2, 3002)]]
+    for n, rows in enumerate(batches):
+        write_batch(spark, str(tmp_path / "in"), f"b{n}", rows, TURNS)
+    held = progress(st.change_edges(stream(spark, str(tmp_path / "in"), TURNS), idle="1 day"), str(tmp_path / "out"))
+    assert max(held) >= 20 and held[-1] < 5
+    assert spark.read.parquet(str(tmp_path / "out" / "data")).filter("src LIKE 'live%'").count() == 3
+
+
+def test_idle_states_go_and_open_versions_come_once(spark, tmp_path):
+    schema = "entity string, attribute string, state_id long, value long, ts timestamp"
+    batches = [[(f"e{i}", "x", i, i, at(i)) for i in range(30)], [("a", "x", 100, 1, at(5000))], [("a", "x", 101, 2, at(5001))], [("e7", "x", 102, 9, at(5002))]]
+    for n, rows in enumerate(batches):
+        write_batch(spark, str(tmp_path / "in"), f"b{n}", rows, schema)
+    held = progress(st.state_versions(stream(spark, str(tmp_path / "in"), schema), idle="1 day"), str(tmp_path / "out"))
+    assert max(held) >= 30 and held[-1] < 10
+    emitted = spark.read.parquet(str(tmp_path / "out" / "data"))
+    assert emitted.filter("valid_to IS NULL").groupBy("entity", "state_id").count().filter("count > 1").count() == 0
+    rows = {(r.entity, r.state_id): (r.next_id, r.valid_to) for r in st.latest_versions(emitted).collect()}
+    assert rows[("e7", 7)] == (102, at(5002)) and rows[("e7", 102)] == (None, None) and rows[("a", 100)] == (101, at(5001)) and rows[("e3", 3)] == (None, None)
+
+
 def test_graph_store_round_trip(spark, tmp_path):
     turns = spark.createDataFrame([("c", 0, "D1:1", "Ann", "river stone", None, "D1")], TURNS)
     nodes = nd.extract_nodes(turns)
