@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.catalog import query
-from memloom.catalog.features import CAND_SQL, candidates, route_rows
+from memloom.catalog.features import CAND_SQL, ROUTE_SOURCES, candidates, route_rows
+from memloom.catalog.temporal import _pick
 from memloom.operators import cards as ca
 from memloom.operators import features as fe
 from memloom.operators import metrics as me
+from memloom.session import cut_lineage
 from memloom.sources import tables as tb
 
 Q = "question_id"
@@ -118,33 +120,41 @@ def _(spark, d):
     return s.withColumn("card_gold_rate", F.round("card_gold_rate", 6)).withColumn("quota_gold_rate", F.round("quota_gold_rate", 6))
 
 
-SMALL = ["route_source_count", "fused_rrf", "topdown_best_reciprocal", "eu_best_score", "hyp_best_score", "route_consistency_entropy"]
-
-
 def training_rows(spark, d):
-    """Route features of events with a label from their value; users are spread over three folds."""
-    f = fe.route_features(route_rows(spark, d)).select(Q, "node_id", *SMALL)
-    label = tb.table(spark, d, "events").select(F.col("user_id").alias(Q), F.col("event_id").alias("node_id"), (F.col("value") > 10).cast("int").alias("label"))
-    return f.join(label, [Q, "node_id"]).withColumn("fold", F.col(Q) % 3)
+    """The features of the main ranking model for the candidates of each conversation question, with their labels.
+
+    Routes and cards follow from a candidate's rank and position; a fold is whole conversations, by hash.
+    """
+    rows, nodes, _, _, q = candidates(spark, d)
+    r, key = F.col("rank"), F.pmod(F.xxhash64("node_id"), F.lit(24)).cast("int")
+    rows = cut_lineage(rows.withColumn("route_source", _pick(ROUTE_SOURCES, key % 8)).withColumns({
+        "from_both": key % 3 == 0, "fact_offset": key % 4, "semantic_score": F.col("ce") / 2, "hyperbolic_score": -1 - F.col("ce"),
+        **{n: F.lit(0.0) for n in ("eu_event_score", "eu_topic_score", "hyp_event_score", "hyp_topic_score", "hyp_bottom_score")},
+        **{n: (r + i) % 13 for i, n in enumerate(fe.RANKS)},
+        "is_card": key % 2 == 0, "nary_type": _pick(["change", "state", "preference"], key % 3), "nary_role": _pick(["old_state", "new_state", "evidence"], key % 3),
+        "nary_seed_route": _pick(ROUTE_SOURCES, key % 8), "nary_extractor": F.lit(""), **{n: key % 5 for n in fe.CARD_NUMBERS},
+    }))
+    features = fe.retrieval_features(rows, nodes, q).join(fe.route_features(rows), [Q, "node_id"]).join(fe.card_features(rows), [Q, "node_id"])
+    gold = q.select(Q, F.col("gold_turn").alias("evidence"))
+    labelled = features.join(fe.labels(rows, me.node_evidence(nodes), gold), [Q, "node_id"])
+    return labelled.select(Q, "conv_id", "node_id", "label", *fe.MODEL_FEATURES, F.pmod(F.xxhash64("conv_id"), F.lit(3)).cast("int").alias("fold"))
 
 
 @query("ranking_model_C09")
 def _(spark, d):
-    rows = training_rows(spark, d)
-    model = ca.fit_ranker(rows, SMALL)
-    return ca.score_rows(model, rows, SMALL, [Q, "node_id"]).withColumn("model_score", F.round("model_score", 6))
+    rows = cut_lineage(training_rows(spark, d))
+    trees = ca.fit_boosted(rows, fe.MODEL_FEATURES)
+    return ca.score_boosted(trees, rows, fe.MODEL_FEATURES, [Q, "node_id"]).withColumn("model_score", F.round("model_score", 6))
 
 
 @query("cross_validated_scores_C10")
 def _(spark, d):
-    rows = training_rows(spark, d)
-    return ca.cross_validate(rows, [0, 1, 2], SMALL, "fold")[0].withColumn("model_score", F.round("model_score", 6))
+    return ca.cross_validate_boosted(training_rows(spark, d), [0, 1, 2], fe.MODEL_FEATURES)[0].withColumn("model_score", F.round("model_score", 6))
 
 
 @query("feature_importance_C10")
 def _(spark, d):
-    rows = training_rows(spark, d)
-    return ca.cross_validate(rows, [0, 1, 2], SMALL, "fold")[1]
+    return ca.cross_validate_boosted(training_rows(spark, d), [0, 1, 2], fe.MODEL_FEATURES)[1].withColumn("importance", F.round("importance", 6))
 
 
 @query("holdout_split_C10", "WITH l AS (SELECT DISTINCT conv_id FROM conversations ORDER BY 'c' || conv_id DESC LIMIT 10) SELECT 'c' || c.conv_id AS conv_id, turn AS pos, l.conv_id IS NOT NULL AS is_test FROM conversations c LEFT JOIN l ON l.conv_id = c.conv_id")

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memloom.operators.ordering import dense_ordinal, first_per, top_per
+from memloom.session import cut_lineage
 
 Q = "question_id"
 # Accepted card types and roles.
@@ -193,6 +195,75 @@ def cross_validate(rows: DataFrame, folds: Sequence, features: Sequence[str], fo
     return scored, table.groupBy("feature").agg(F.avg("importance").alias("importance"))
 
 
+def listwise_targets(rows: DataFrame) -> DataFrame:
+    """Adds ``target`` and ``weight``, the Newton step of each row and its curvature, for the listwise softmax loss of its question.
+
+    A row pulls its score up by its share of the question's relevance less its share of the softmax of scores. Both shares
+    come from per-question sums, so no rows are paired. Questions without a relevant row teach nothing.
+    """
+    sums = rows.groupBy(Q).agg(F.sum(F.exp("score")).alias("_mass"), F.sum("label").alias("_relevance")).filter("_relevance > 0")
+    share = F.exp("score") / F.col("_mass")
+    gradient, curvature = F.col("label") / F.col("_relevance") - share, share * (1 - share)
+    joined = rows.join(sums, Q).withColumn("weight", curvature + 1e-3).withColumn("target", gradient / F.col("weight"))
+    return joined.drop("_mass", "_relevance")
+
+
+def _assembled(rows: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    return rows.select(*keep, array_to_vector(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])).alias("features"))
+
+
+def _boosted_score(trees: Sequence, rows: DataFrame, rate: float) -> DataFrame:
+    """Adds ``score``, the trees' predictions summed at the learning rate."""
+    scored = rows.withColumn("score", F.lit(0.0))
+    for tree in trees:
+        scored = tree.transform(scored).withColumn("score", F.col("score") + rate * F.col("prediction")).drop("prediction")
+    return scored
+
+
+def fit_boosted(rows: DataFrame, features: Sequence[str], rounds: int = 8, depth: int = 4, rate: float = 0.5, least: int = 5, seed: int = 13) -> list:
+    """Regression trees that together rank relevant rows of a question first: each fits the listwise steps of those before it.
+
+    All rows train; a round is one pass of per-question sums and one distributed tree. ``rows``: (question_id, label, features).
+    """
+    table = cut_lineage(_assembled(rows, features, [Q, "label"]))
+    trees: list = []
+    for number in range(rounds):
+        steps = listwise_targets(_boosted_score(trees, table, rate))
+        tree = DecisionTreeRegressor(featuresCol="features", labelCol="target", weightCol="weight", maxDepth=depth, minInstancesPerNode=least, seed=seed + number)
+        trees.append(tree.fit(steps.select("features", "target", "weight")))
+    return trees
+
+
+def score_boosted(trees: Sequence, rows: DataFrame, features: Sequence[str], keep: Sequence[str], rate: float = 0.5) -> DataFrame:
+    return _boosted_score(trees, _assembled(rows, features, keep), rate).select(*keep, F.col("score").alias("model_score"))
+
+
+def cross_validate_boosted(rows: DataFrame, folds: Sequence, features: Sequence[str], fold: str = "fold", seed: int = 13, **params) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold scores of boosted trees, and the share of each feature in their splits, averaged over the folds.
+
+    A fold is whole conversations: one each on small data, groups of them by hash on large.
+    """
+    rows = cut_lineage(rows)
+    scored, shares = None, []
+    for number, value in enumerate(folds):
+        trees = fit_boosted(rows.filter(F.col(fold) != value), features, seed=seed + number, **params)
+        part = score_boosted(trees, rows.filter(F.col(fold) == value), features, [Q, "node_id", fold], params.get("rate", 0.5))
+        scored = part if scored is None else scored.unionByName(part)
+        total = [sum(float(t.featureImportances[i]) for t in trees) / max(1, len(trees)) for i in range(len(features))]
+        shares += list(zip([number] * len(features), features, total))
+    table = rows.sparkSession.createDataFrame(shares, "fold int, feature string, importance double")
+    return scored, table.groupBy("feature").agg(F.avg("importance").alias("importance"))
+
+
+def ndcg(scored: DataFrame, k: int = 10) -> DataFrame:
+    """``question_id, ndcg`` of rows (question_id, node_id, label, model_score), for questions with a relevant row."""
+    gain = (F.pow(F.lit(2.0), F.col("label")) - 1) / F.log2(F.col("place") + 1)
+    total = lambda order: top_per(scored, [Q], order, k, "place").groupBy(Q).agg(F.sum(gain).alias("gain"))
+    got = total([F.desc(F.round("model_score", 9)), F.asc("node_id")])
+    best = total([F.desc("label"), F.asc("node_id")]).withColumnRenamed("gain", "best").filter("best > 0")
+    return best.join(got, Q).select(Q, (F.col("gain") / F.col("best")).alias("ndcg"))
+
+
 def holdout(rows: DataFrame, count: int) -> DataFrame:
     """Rows marked as test when their conversation is among the last ``count`` in order."""
     last = rows.select("conv_id").distinct().orderBy(F.desc("conv_id")).limit(count).withColumn("is_test", F.lit(True))

@@ -44,3 +44,48 @@ def test_pairwise_ranking_beats_pointwise_regression(spark):
     assert ranked > 0.99 and ranked >= pair_accuracy(pointwise.withColumn("s", F.round("prediction", 9)))
     weights = {r["feature"]: r["importance"] for r in importance.collect()}
     assert weights["near"] > weights["noise"]
+
+
+def crossed(spark, questions=80, size=12):
+    """Relevant rows have two signs alike: neither sign says anything alone, so no linear score ranks them."""
+    rng = random.Random(2)
+    rows = []
+    for q in range(questions):
+        for n in range(size):
+            relevant = n < 2
+            left = rng.choice([0, 1])
+            right = left if relevant else 1 - left
+            rows.append((q, q * 100 + n, f"c{q % 4}", int(relevant), left + rng.uniform(0, 0.4), right + rng.uniform(0, 0.4), rng.random(), q % 4 % 2))
+    return spark.createDataFrame(rows, "question_id long, node_id long, conv_id string, label int, left double, right double, noise double, fold int")
+
+
+def test_boosted_trees_rank_what_no_linear_score_can(spark):
+    rows = crossed(spark).cache()
+    names = ["left", "right", "noise"]
+    scored, importance = ca.cross_validate_boosted(rows, [0, 1], names, rounds=4)
+    assert scored.count() == rows.count()
+    quality = lambda s: ca.ndcg(s.select("question_id", "node_id", "model_score").join(rows.select("node_id", "label"), "node_id")).agg(F.avg("ndcg")).first()[0]
+    linear = ca.cross_validate(rows, [0, 1], names, "fold")[0]
+    assert quality(scored) > 0.95 > quality(linear) + 0.1
+    shares = {r["feature"]: r["importance"] for r in importance.collect()}
+    assert shares["noise"] < min(shares["left"], shares["right"])
+
+
+def test_listwise_steps_equal_the_softmax_gradient(spark):
+    import math
+
+    rows = [(1, 1, 0.3), (1, 0, -0.2), (1, 0, 1.0), (2, 0, 0.0), (2, 0, 5.0)]
+    got = ca.listwise_targets(spark.createDataFrame(rows, "question_id int, label int, score double")).collect()
+    mass = sum(math.exp(s) for q, _, s in rows if q == 1)
+    assert len(got) == 3
+    for r in got:
+        p = math.exp(r.score) / mass
+        assert abs(r.target * r.weight - (r.label - p)) < 1e-9 and abs(r.weight - p * (1 - p) - 1e-3) < 1e-9
+
+
+def test_ndcg_of_a_known_order(spark):
+    import math
+
+    rows = [(1, 1, 1, 0.9), (1, 2, 0, 0.8), (1, 3, 1, 0.7), (2, 4, 0, 0.1)]
+    got = ca.ndcg(spark.createDataFrame(rows, "question_id int, node_id int, label int, model_score double")).collect()
+    assert len(got) == 1 and abs(got[0].ndcg - (1 + 0.5) / (1 + 1 / math.log2(3))) < 1e-9
