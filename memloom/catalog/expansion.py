@@ -20,7 +20,7 @@ from memloom.session import cut_lineage
 from memloom.sources import tables as tb
 from memloom.sources.tables import jaccard_sql, term_set_sql
 
-SEEDS = 3
+SEEDS = 20
 QNAMES = "list_filter(list_distinct({0}), lambda x: NOT list_contains(['What','When','Where','Which','Would','Could','Should','The','How','Why'], x))"
 
 QUESTIONS_SQL = """

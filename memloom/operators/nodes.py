@@ -468,11 +468,23 @@ def hash_embedding(texts: DataFrame, key: list[str], dim: int = 31) -> DataFrame
 
     def signed(token: Column) -> Column:
         value = F.conv(F.left(F.md5(token), F.lit(8)), 16, 10).cast("bigint")
-        return F.struct(F.pmod(value, F.lit(dim)).cast("int").alias("bucket"), F.when(F.pmod(F.shiftright(value, 8), F.lit(2)) == 1, 1.0).otherwise(-1.0).alias("sign"))
+        return (2 * F.pmod(value, F.lit(dim)) + F.pmod(F.shiftright(value, 8), F.lit(2))).cast("int")
 
-    def dense(signs: Column) -> Column:
-        cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(signs, F.lit(0.0), lambda sum_, s: F.when(s["bucket"] == i, sum_ + s["sign"]).otherwise(sum_)))
-        return tx.let(cells, lambda c: tx.let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)), lambda size: F.transform(c, lambda x: F.when(size > 0, x / size).otherwise(0.0))))
+    def summed(codes: Column) -> Column:
+        """Sums per bucket of codes in order: a bucket that ends is put down, with a 0 for each bucket skipped."""
+
+        def step(acc: Column, code: Column) -> Column:
+            bucket, sign = F.floor(code / 2).cast("int"), 2.0 * (code % 2) - 1.0
+            ends = F.concat(acc["cells"], F.array(acc["sum"]), F.array_repeat(F.lit(0.0), bucket - acc["bucket"] - 1))
+            same = bucket == acc["bucket"]
+            return F.struct(bucket.alias("bucket"), F.when(same, acc["sum"] + sign).otherwise(sign).alias("sum"), F.when(same, acc["cells"]).otherwise(ends).alias("cells"))
+
+        start = F.struct(F.lit(-1).alias("bucket"), F.lit(0.0).alias("sum"), F.lit([]).cast("array<double>").alias("cells"))
+        close = lambda acc: F.concat(acc["cells"], F.array(acc["sum"]), F.array_repeat(F.lit(0.0), dim - 1 - acc["bucket"]))
+        return F.slice(F.aggregate(codes, start, step, close), 2, dim)
+
+    def dense(codes: Column) -> Column:
+        return tx.let(summed(F.sort_array(codes)), lambda c: tx.let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)), lambda size: F.transform(c, lambda x: F.when(size > 0, x / size).otherwise(0.0))))
 
     return texts.select(*key, tx.let(F.transform(tx.lexical_tokens("text"), signed), dense).alias("vector"))
 
