@@ -151,22 +151,29 @@ def usage_totals(rows: DataFrame, sums: Sequence[str], keys: Sequence[str] = ())
     return rows.groupBy(*keys).agg(calls.alias("calls"), questions.alias("questions"), *cells)
 
 
-def percentile_rank(values: DataFrame, keys: Sequence[str], value: str, q: float, rule: str) -> DataFrame:
+def percentile_rank(values: DataFrame, keys: Sequence[str], value: str, q: float, rule: str, ranges: int = 256) -> DataFrame:
     """Value at a rank of the sorted column: ``round`` and ``trunc`` of (n-1)q, or ``ceil`` of nq minus one.
 
-    The rank is found on counts of distinct values (a running sum over far fewer rows), never in a list.
+    Found by narrowing: a key's values fall into ``ranges`` ranges at approximate quantiles, range counts tell which range holds the
+    rank, and only its distinct values are sorted. A key with any number of distinct values is counted by all tasks.
     """
-    keys = list(keys)
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    total = F.sum("n").over(whole)
+    keys, named = list(keys), values.withColumn("_key", F.struct(F.lit(1).alias("_one"), *keys))
+    whole = ["_key"]
+    counts = named.filter(F.col(value).isNotNull()).groupBy(*whole, value).agg(F.count(F.lit(1)).alias("n"))
+    cuts = counts.groupBy(*whole).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 50 * ranges).alias("_cuts"))
+    parted = counts.join(cuts, whole).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = parted.groupBy(*whole, "_range").agg(F.sum("n").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy(*whole))
     index = {
         "round": F.bround((total - 1) * q, 0), "trunc": F.floor((total - 1) * F.lit(q)), "ceil": F.ceil(total * F.lit(q)) - 1,
     }[rule].cast("bigint")
-    placed = counts.withColumn("upto", F.sum("n").over(order)).withColumn("index", F.least(total - 1, F.greatest(F.lit(0), index)))
-    hit = placed.filter((F.col("upto") > F.col("index")) & (F.col("upto") - F.col("n") <= F.col("index")))
-    return hit.select(*keys, F.col(value).alias("percentile"))
+    upto = F.sum("_n").over(Window.partitionBy(*whole).orderBy("_range"))
+    placed = sums.withColumn("_before", upto - F.col("_n")).withColumn("_index", F.least(total - 1, F.greatest(F.lit(0), index)))
+    held = placed.filter((F.col("_before") <= F.col("_index")) & (F.col("_before") + F.col("_n") > F.col("_index"))).drop("_n")
+    inside = parted.join(held, [*whole, "_range"])
+    reached = F.col("_before") + F.sum("n").over(Window.partitionBy(*whole, "_range").orderBy(value))
+    hit = inside.withColumn("_upto", reached).filter((F.col("_upto") > F.col("_index")) & (F.col("_upto") - F.col("n") <= F.col("_index")))
+    return hit.select(*[F.col(f"_key.{k}").alias(k) for k in keys], F.col(value).alias("percentile"))
 
 
 def ratio(part: Column, whole: Column) -> Column:
