@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from memloom.catalog import query
 from memloom.catalog.edges import graph
-from memloom.catalog.expansion import SEED_SQL, seeded
+from memloom.catalog.expansion import SEED_SQL, questions, seeded
 from memloom.catalog.temporal import _pick
 from memloom.operators import packs as pk
 from memloom.operators.ordering import top_per
+from memloom.plans.answer import evidence_packs
 from memloom.sources import tables as tb
 
 # Twelve question shapes over customers, with their operation.
@@ -284,3 +285,11 @@ def _(spark, d):
     rows = records(spark, d)[0].withColumn("topic_id", F.col("conv_id")).withColumn("episode_id", F.lit("")).withColumn(
         "event_id", F.when(F.col("rank") % 2 == 0, F.regexp_extract("node_id", ":fact:(D[0-9]+)", 1)))
     return pk.evidence_path_rows(rows)
+
+
+@query("dialogue_to_packs_E2E")
+def _(spark, d):
+    """From the turns of all dialogues to the pack of each one's question, with the reader's text."""
+    packs_, selected_ = evidence_packs(tb.turns(spark, d), questions(spark, d).select("question_id", "conv_id", "question"))
+    return packs_.join(pk.render_packs(selected_), "question_id", "left").select(
+        "question_id", F.array_join("covered_slots", "|").alias("covered_slots"), F.array_join("missing_slots", "|").alias("missing_slots"), "answerability", "sessions", "token_cost", "units", "grounded_units", "text")
