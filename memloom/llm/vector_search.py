@@ -18,6 +18,18 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
 
 
+def products(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
+    """Exact inner products: as floating-point numbers while these hold every sum, else as 64-bit integers; larger ones are refused."""
+    a, b = matrix(left, width), matrix(right, width)
+    most = (np.abs(a).max() if a.size else 0.0) * (np.abs(b).max() if b.size else 0.0) * width
+    if most < 2.0**53:
+        return np.rint(a @ b.T).astype(np.int64)
+    if np.abs(a @ b.T).max() >= 2.0**63:
+        raise OverflowError("an inner product exceeds 64 bits")
+    whole = lambda x: x.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+    return whole(left) @ whole(right).T
+
+
 def lifted(vectors: np.ndarray, radius2: float) -> np.ndarray:
     """One more component that gives all data vectors the same length: the largest inner product is then the nearest point."""
     return np.sqrt(np.maximum(0.0, radius2 - (vectors**2).sum(1)))
@@ -60,7 +72,7 @@ def assigned(rows: DataFrame, pivots: np.ndarray, radius2: float, query: bool) -
                 cell, distance = cell_distances(vectors, np.zeros(len(vectors)) if query else lifted(vectors, radius2), shared.value)
                 yield pa.RecordBatch.from_arrays([part["id"], part["vector"], pa.array(cell, pa.int32()), pa.array(distance)], names=["id", "vector", "cell", "distance"])
 
-    return rows.mapInArrow(assign, "id long, vector array<int>, cell int, distance double")
+    return rows.mapInArrow(assign, "id long, vector array<long>, cell int, distance double")
 
 
 def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64, query_block: int = 512, data_block: int = 2048) -> DataFrame:
@@ -74,7 +86,8 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots:
     receives is split by hash into blocks, so neither a hot cell nor a run of equal vectors meets in one task; partial answers are merged per query.
     """
     spark = data.sparkSession
-    probe = data.agg(F.max(F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)).alias("r"), F.max(F.size("vector")).alias("w")).first()
+    data, queries = (rows.select("id", F.col("vector").cast("array<long>").alias("vector")) for rows in (data, queries))
+    probe = data.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("r"), F.max(F.size("vector")).alias("w")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if probe["w"] is None:
         return empty
@@ -84,6 +97,8 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots:
     centres = np.unique(np.c_[points, lifted(points, radius2)], axis=0)
     data_cells = stored(assigned(data, centres, radius2, False), "knn-data")
     query_cells = stored(assigned(queries, centres, radius2, True), "knn-queries")
+    # Distances are roots of differences of squares up to radius2, so they may be off by a small share of the radius.
+    slack = 1e-6 * (1.0 + float(np.sqrt(radius2)))
 
     near = Window.partitionBy("cell", "slice").orderBy("distance")
     sliced = data_cells.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64)))
@@ -101,7 +116,7 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots:
         asked[group_of[cell]] += n
         for other in data_summary:
             key = (group_of[cell], other)
-            least[key] = min(least.get(key, np.inf), max(0.0, float(between[cell, other] - radius - bound)) - 1e-6)
+            least[key] = min(least.get(key, np.inf), max(0.0, float(between[cell, other] - radius - bound)) - slack)
     if not least:
         return empty
     route = spark.createDataFrame([(group, cell, value) for (group, cell), value in least.items()], "group int, cell int, least double")
@@ -119,12 +134,12 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots:
         ids = data["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        base = matrix(data["vector"].combine_chunks(), width)[order] if len(order) else np.zeros((0, width))
+        base = data["vector"].combine_chunks().take(pa.array(order))
         out: list[list[np.ndarray]] = [[], [], []]
         asked = queries["id"].to_numpy()
-        wanted = matrix(queries["vector"].combine_chunks(), width) if len(asked) else np.zeros((0, width))
+        wanted = queries["vector"].combine_chunks()
         for low in range(0, len(asked), 256):
-            score = np.rint(wanted[low : low + 256] @ base.T).astype(np.int64)
+            score = products(wanted.slice(low, 256), base, width)
             for i, row in enumerate(score):
                 own = ids == asked[low + i]
                 row[own] = np.iinfo(np.int64).min
@@ -145,14 +160,21 @@ def top_inner_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots:
 
 def quantised(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 64) -> DataFrame:
     """``id, vector``: floor(scale * x) of every component; rows without an id, with a null or non-finite component, or without
-    components take no part. Vectors shorter or longer than the commonest would have no inner product: they are refused."""
+    components take no part. Vectors shorter or longer than the commonest have no inner product with it: ``of_one_width`` leaves
+    them out. Components of any size are kept; an inner product of more than 64 bits ends the query with an error."""
     real = F.transform(F.col(vector_column), lambda x: x.cast("double"))
     finite = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & (F.size(vector_column) > 0) & F.coalesce(finite, F.lit(False)))
-    return rows.select(F.col(id_column).cast("long").alias("id"), F.transform(real, lambda x: F.floor(x * scale).cast("int")).alias("vector"))
+    return rows.select(F.col(id_column).cast("long").alias("id"), F.transform(real, lambda x: F.floor(x * scale).cast("long")).alias("vector"))
+
+
+def of_one_width(rows: DataFrame) -> DataFrame:
+    """The rows whose vectors have the commonest width, of equal ones the least."""
+    widths = rows.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(2).collect()
+    return rows if len(widths) < 2 else rows.where(F.size("vector") == widths[0]["w"])
 
 
 def embedding_neighbours(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """``top_inner_products`` of the rows whose id is divisible by ``every`` among all rows. A repeated id is one candidate per row."""
-    rows = stored(quantised(table), "knn-vectors")
+    rows = of_one_width(stored(quantised(table), "knn-vectors"))
     return top_inner_products(rows, rows.where(F.col("id") % every == 0), k)

@@ -385,6 +385,22 @@ def test_vectors_that_take_no_part(spark):
     assert vector_search.embedding_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_large_components_and_ragged_vectors(spark):
+    rng = random.Random(16)
+    rows = [(i, [float(rng.randrange(-(10**7), 10**7)) for _ in range(6)]) for i in range(120)] + [(200, [1e6] * 5), (201, [1.0] * 7), (220, [3.0])]
+    schema = "vec_id long, embedding array<double>"
+    got = collections.defaultdict(list)
+    for r in vector_search.embedding_neighbours(spark.createDataFrame(rows, schema)).sort("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = {i: [int(64 * x) for x in v] for i, v in rows if len(v) == 6}
+    for q in range(0, 120, 20):
+        score = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in whole.items() if i != q}
+        assert got[q] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:20]
+    assert set(got) == set(range(0, 120, 20))
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        vector_search.embedding_neighbours(spark.createDataFrame([(0, [1e12]), (20, [1e12])], schema)).collect()
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------------
 
 
