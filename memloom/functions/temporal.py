@@ -193,6 +193,7 @@ def bind_time(expression: Column | str, mentioned: Column) -> Column:
                         value.alias("duration_value"), unit.alias("duration_unit"), F.when(at.isNotNull(), "resolved").otherwise("unresolved").alias("status"))
 
     unresolved = made(F.lit(None).cast("timestamp_ntz"), "unknown")
+    # Forms of offsets and dates.
     offset = r"(?:exactly\s+|about\s+|around\s+|for\s+(?:the\s+past\s+)?|past\s+)?(" + AMOUNT + r")\s+(day|week|month|year)s?(?:\s+ago|\s+now)?"
     slash = r"\b(?:on\s+the\s+)?(\d{1,2})/(\d{1,2})\b"
     day_of = r"(?:on\s+the\s+)?(\d{1,2})(?:st|nd|rd|th)?\s+of\s+(" + MONTH + r")"
