@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.catalog import query
-from memloom.catalog.expansion import POOL_SQL, SEED_SQL, pool, questions, seeded
+from memloom.catalog.expansion import POOL_SQL, SEED_SQL, SEEDS, pool, questions, seeded
 from memloom.catalog.retrieval import BENCH_SQL, bench_hits
 from memloom.functions import text as tx
 from memloom.operators import expansion as ex
@@ -75,7 +75,7 @@ def _(spark, d):
     q, nodes, _, _, _, seeds = seeded(spark, d)
     paths = seeds.select("question_id", "conv_id", "rank", F.array("node_id", F.regexp_replace("node_id", ":fact:", ":raw:")).alias("node_ids"))
     gold = q.select("question_id", F.col("gold_turn").alias("evidence"))
-    return me.retrieval_rows(q, paths, nodes, gold, 3).select("question_id", "gold", "matched", "tokens", "path_len")
+    return me.retrieval_rows(q, paths, nodes, gold, SEEDS).select("question_id", "gold", "matched", "tokens", "path_len")
 
 
 @query("retrieval_quality_summary_M04", BENCH_ROWS + "SELECT count(*) AS num_questions, round(avg(hit), 6) AS hit, round(avg(recall), 6)::DOUBLE AS recall, round(avg(full_cover), 6) AS full_cover FROM mr")
