@@ -14,7 +14,7 @@ from memloom.sources import tables as tb
 from memloom.sources.tables import TURNS_SQL
 
 
-def session_documents(spark, d):
+def session_json(spark, d):
     """One JSON document per conversation with ``session_N`` keys, parsed with the source's schema; assistant turns carry no id."""
     t = tb.turns(spark, d)
     turn = F.struct("pos", F.when(F.col("speaker") != "assistant", F.col("turn_id")).alias("dia_id"), "speaker", "text")
@@ -23,9 +23,12 @@ def session_documents(spark, d):
     key = F.concat(F.lit("session_"), F.substring("session_id", 2, 9))
     entry = F.concat(F.lit('"'), key, F.lit('":'), F.to_json(body), F.lit(',"'), key, F.lit('_date_time":"'), F.col("first_ts"), F.lit('"'))
     qa = F.concat(F.lit('[{"question":"Who is '), F.col("conv_id"), F.lit('?","answer":"x","category":2,"evidence":["D1:1"]},{"question":"And?"}]'))
-    docs = sessions.groupBy("conv_id").agg(F.array_join(F.collect_list(entry), ",").alias("body")).select(
-        F.concat(F.lit('{"sample_id":"'), F.col("conv_id"), F.lit('","conversation":{'), F.col("body"), F.lit('},"qa":'), qa, F.lit("}")).alias("doc"))
-    return docs.select(F.from_json("doc", dg.SESSION_SCHEMA).alias("r")).select("r.*")
+    return sessions.groupBy("conv_id").agg(F.array_join(F.collect_list(entry), ",").alias("body")).select(
+        "conv_id", F.concat(F.lit('{"sample_id":"'), F.col("conv_id"), F.lit('","conversation":{'), F.col("body"), F.lit('},"qa":'), qa, F.lit("}")).alias("doc"))
+
+
+def session_documents(spark, d):
+    return session_json(spark, d).select(F.from_json("doc", dg.SESSION_SCHEMA).alias("r")).select("r.*")
 
 
 @query("session_keyed_turns_S01", "WITH " + TURNS_SQL + """z AS (SELECT 1) SELECT conv_id, pos, turn_id, speaker, text, min(ts) OVER (PARTITION BY conv_id, session_id) AS ts, 'session_' || substr(session_id, 2) AS session_id FROM turns""")
@@ -67,6 +70,33 @@ def _(spark, d):
     return dg.haystack_questions(docs, dg.haystack_turns(docs)).select("conv_id", "question_id", "question_type", F.size("gold_evidence").alias("gold_turns"), "is_abstention")
 
 
+def _array_files(spark, rows, part):
+    """A folder of JSON array files, one per ``part`` of ``rows`` (key, doc), in the order of their keys."""
+    path = ar.shared_folder(spark)
+    arrays = rows.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("key", "doc"))).alias("docs"))
+    text = F.concat(F.lit("[\n  "), F.array_join(F.transform("docs", lambda x: x["doc"]), ",\n  "), F.lit("\n]"))
+    arrays.select("part", text.alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+@query("session_files_S01", "WITH " + TURNS_SQL + """z AS (SELECT 1) SELECT conv_id, pos, turn_id, speaker, text, min(ts) OVER (PARTITION BY conv_id, session_id) AS ts, 'session_' || substr(session_id, 2) AS session_id FROM turns""")
+def _(spark, d):
+    """All conversations by way of JSON array files."""
+    rows = session_json(spark, d).select(F.col("conv_id").alias("key"), "doc")
+    return dg.session_turns(dg.read_session_documents(spark, _array_files(spark, rows, F.pmod(F.xxhash64("key"), F.lit(8)))))
+
+
+@query("haystack_files_S02", "WITH " + HAY_SQL + """
+SELECT conv_id AS question, 's' || lpad((substr(session_id, 2)::INT - 1)::VARCHAR, 3, '0') || ':' || session_id || ':t' || lpad(t::VARCHAR, 3, '0') AS turn_id, speaker, trim(text) AS text, session_id, speaker = 'user' AS is_gold FROM hc WHERE speaker <> 'system'""")
+def _(spark, d):
+    """All instances by way of JSON array files; an instance is found again by its question, since its number is its place in a file."""
+    docs = haystack_documents(spark, d)
+    rows = docs.select(F.col("instance_no").alias("key"), F.to_json(F.struct(*[c for c in docs.columns if c != "instance_no"])).alias("doc"))
+    read = dg.read_haystack_documents(spark, _array_files(spark, rows, F.floor(F.col("key") / 50)))
+    turns = dg.haystack_turns(read).drop("ts")
+    return turns.withColumn("question", F.regexp_extract("conv_id", r"_q_(c[0-9]+)", 1)).drop("conv_id")
+
+
 @query("id_sanitiser_S03", r"SELECT page_id, left(regexp_replace(url, '[^\p{L}\p{N}_-]', '_', 'g'), 80) AS safe FROM pages UNION ALL SELECT -1 - doc_id, left(regexp_replace(text, '[^\p{L}\p{N}_-]', '_', 'g'), 80) FROM documents")
 def _(spark, d):
     pages = tb.table(spark, d, "pages").select("page_id", tx.safe_id("url").alias("safe"))

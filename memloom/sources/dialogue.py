@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
+from memloom.sources.json_arrays import read_json_array
 
 SESSION_TURNS = "array<struct<dia_id:string,speaker:string,text:string>>"
 SESSION_SCHEMA = (
@@ -21,17 +22,17 @@ HAYSTACK_SCHEMA = (
 
 def read_session_documents(spark: SparkSession, path: str) -> DataFrame:
     """Conversation documents with ``session_N`` keys; session bodies stay JSON text until parsed."""
-    return spark.read.schema(SESSION_SCHEMA).option("multiLine", True).json(path)
+    return read_json_array(spark, path, SESSION_SCHEMA)
 
 
 def read_haystack_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HAYSTACK_SCHEMA).option("multiLine", True).json(path)
+    """Instances with ``instance_no``, their place in the file."""
+    return read_json_array(spark, path, HAYSTACK_SCHEMA, "instance_no")
 
 
 def convert_json_array(spark: SparkSession, path: str, target: str, schema: str) -> DataFrame:
-    """Read top-level JSON arrays once and keep them as Parquet, which splits; the table of the new files."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    spark.read.schema(schema).option("multiLine", True).json(path).select(*names).write.mode("overwrite").parquet(target)
+    """Read top-level JSON arrays once and keep them as Parquet; the table of the new files."""
+    read_json_array(spark, path, schema).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 

@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from memloom.operators import edges as ed
 from memloom.operators import nodes as nd
 from memloom.sources import artifacts as ar
 from memloom.sources import dialogue as dg
+from memloom.sources import json_arrays as ja
 from memloom.streaming import turns as st
 
 TURNS = "conv_id string, pos long, turn_id string, speaker string, text string, ts string, session_id string"
@@ -22,6 +24,40 @@ def test_session_documents_round_trip(spark, tmp_path):
     assert [(r.question_id, r.evidence) for r in dg.session_questions(docs).collect()] == [("c1:q0001", ["D1:1"])]
 
 
+def test_one_array_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    pick = ['"', "\\", "}", "{", "[", "]", ",", "\n", "é", "𝄞", "}}", '\\"', "x"]
+    word = lambda: "".join(rng.choice(pick) for _ in range(rng.randrange(12)))
+    rows = [{"k": n, "t": word(), "m": {word() + str(i): word() for i in range(rng.randrange(3))}, "l": [{"a": word(), "b": [[]]} for _ in range(rng.randrange(3))]} for n in range(150)]
+    (tmp_path / "tight.json").write_text(json.dumps(rows), encoding="utf-8")
+    (tmp_path / "wide.json").write_text("\ufeff \n" + json.dumps(rows, indent=3, ensure_ascii=False) + "\n", encoding="utf-8")
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)), encoding="utf-8")
+    schema = "k long, t string, m map<string,string>, l array<struct<a:string,b:array<array<int>>>>"
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        for name in ("tight", "wide", "lines"):
+            path = str(tmp_path / f"{name}.json")
+            assert ja.json_pieces(spark, path).select("split").distinct().count() > 5
+            got = sorted(((r.n, r.k, r.t, r.m, [(x.a, x.b) for x in r.l]) for r in ja.read_json_array(spark, path, schema, "n").collect()), key=lambda r: r[0])
+            assert got == [(n, r["k"], r["t"], r["m"], [(x["a"], x["b"]) for x in r["l"]]) for n, r in enumerate(rows)]
+        one_task = spark.read.schema(schema).option("multiLine", True).json(str(tmp_path / "tight.json"))
+        plain = lambda df: sorted(map(repr, df.collect()))
+        assert plain(one_task) == plain(ja.read_json_array(spark, str(tmp_path / "tight.json"), schema))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_arrays_without_records_and_broken_files(spark, tmp_path):
+    for name, text, want in (("none", "", []), ("empty", "[]", []), ("blank", " [ ] ", []), ("one", '{"k": 1}', [1]), ("odd", '[null, 3, {"k": 2} , "}", {"k": "bad"}, {}]', [2, None, None])):
+        (tmp_path / name).write_text(text)
+        assert [r.k for r in ja.read_json_array(spark, str(tmp_path / name), "k int", "n").orderBy("n").collect()] == want
+    for name, text in (("cut1", '[{"k": 1}, {"k": 2'), ("cut2", '[{"k": 1}, {"k": 2}'), ("cut3", '[{"k": 1}, {"k": "2}')):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="ends early"):
+            ja.read_json_array(spark, str(tmp_path / name), "k int").collect()
+
+
 def test_haystack_rejects_unequal_arrays(spark):
     schema = "instance_no long, " + dg.HAYSTACK_SCHEMA
     good = spark.createDataFrame([(0, "x_abs", None, "?", "!", "d", ["s"], ["t"], [[("user", " hi ", True), ("user", " ", None)]], [])], schema)
