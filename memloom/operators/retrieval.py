@@ -127,36 +127,107 @@ def _block_scores(k: int, unit_only: bool):
     return run
 
 
-def _blocks(rows: DataFrame, block_bytes: int) -> int:
-    bytes_ = rows.agg(F.sum(F.size("vector").cast("bigint") * 8)).first()[0] or 0
-    return max(2, -(-bytes_ // block_bytes))
+def _pivots(items: DataFrame, count: int) -> np.ndarray:
+    """Directions of at most ``count`` vectors of ``items``, drawn by hash."""
+    drawn = items.select(vx.as_double(F.col("vector")).alias("vector"), F.xxhash64("item_id").alias("drawn")).orderBy("drawn", "vector").limit(count)
+    found = np.array([r.vector for r in drawn.collect()], dtype=np.float64)
+    length = np.linalg.norm(found, axis=-1, keepdims=True)
+    return found / np.where(length > 0, length, 1)
+
+
+def _place(rows: DataFrame, id_column: str, pivots: np.ndarray) -> DataFrame:
+    """``id, vector, length, angles, cell, angle``: angles to all pivots, the nearest pivot and the angle to it; a vector of length 0 is at angle 0."""
+    def run(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            vectors = np.vstack(batch["vector"].to_numpy())
+            length = np.linalg.norm(vectors, axis=1)
+            angles = np.arccos(np.clip(vectors @ pivots.T / np.where(length > 0, length, 1)[:, None], -1, 1))
+            angles[length == 0] = 0
+            yield pd.DataFrame({id_column: batch[id_column], "vector": batch["vector"], "length": length, "angles": list(angles), "cell": np.argmin(angles, axis=1).astype(np.int32), "angle": angles.min(axis=1)})
+
+    kind = dict(rows.dtypes)[id_column]
+    return rows.select(id_column, vx.as_double(F.col("vector")).alias("vector")).mapInPandas(
+        run, f"{id_column} {kind}, vector array<double>, length double, angles array<double>, cell int, angle double")
+
+
+#: What names a block: nearest pivot, ring around it, band of lengths, part of a crowded one.
+BLOCK = ["cell", "ring", "band", "part"]
+
+
+def norm_blocks(items: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
+    """``item_id, vector, length, angle, cell, ring, band, part``: blocks of items in about the same direction and of about the same length.
+
+    A ring spans a quarter of a radian and a band a quarter of a doubling of the length; a crowded block is dealt into parts of about
+    ``block_rows`` items by hash.
+    """
+    placed = _place(items, "item_id", pivots).drop("angles").withColumn("band", F.when(F.col("length") > 0, F.floor(4 * F.log2("length")).cast("int")).otherwise(F.lit(-(1 << 20)))).withColumn("ring", F.floor(4 * F.col("angle")).cast("int"))
+    counts = placed.groupBy(*BLOCK[:3]).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
+    return placed.join(counts, BLOCK[:3]).withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts"))).drop("parts")
+
+
+def block_bounds(queries: DataFrame, blocks: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``query_id``, block, ``size, likely, bound`` of each query and block: no item of the block scores more than ``bound``.
+
+    An item's angle to the query is no less than the gap between the query's angle to the pivot and the block's; the bound is the product of
+    both lengths, the longest or for obtuse angles the shortest of the block, and the cosine of the gap. ``likely`` is what
+    the longest item scores at the far side of the block.
+    """
+    summaries = blocks.groupBy(*BLOCK).agg(F.max("length").alias("longest"), F.min("length").alias("shortest"), F.max("angle").alias("wide"), F.min("angle").alias("narrow"), F.count(F.lit(1)).alias("size"))
+    asked = _place(queries, "query_id", pivots).select("query_id", F.col("length").alias("asked"), F.posexplode("angles").alias("cell", "from_pivot"))
+    # arccos is good to about 1e-8 near 0
+    cosine = F.cos(F.greatest(F.lit(0.0), F.col("from_pivot") - F.col("wide") - 1e-7, F.col("narrow") - F.col("from_pivot") - 1e-7))
+    bound = F.col("asked") * cosine * F.when(cosine > 0, F.col("longest")).otherwise(F.col("shortest"))
+    likely = F.col("asked") * F.col("longest") * F.cos(F.least(F.col("from_pivot") + F.col("wide"), F.lit(np.pi)))
+    return asked.join(summaries, "cell").select("query_id", *BLOCK, "size", likely.alias("likely"), bound.alias("bound"))
+
+
+def _open_blocks(opened: DataFrame, queries: DataFrame, blocks: DataFrame, query_blocks: int, k: int, positive: bool) -> DataFrame:
+    """Best rows ``query_id, item_id, score`` of the opened blocks: one matrix product per block and hashed group of its queries."""
+    keys = [*BLOCK, "qb"]
+    asked = opened.select("query_id", *BLOCK).join(queries, "query_id").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
+    sent = blocks.select("item_id", "vector", *BLOCK).join(asked.select(*keys).distinct(), BLOCK)
+    kinds = dict(queries.dtypes)["query_id"], dict(blocks.dtypes)["item_id"]
+    sent = sent.toDF(*sent.columns)  # columns of its own: both sides stem from the same blocks
+    return asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_block_scores(k, positive), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
 
 
 def dense_top_k(
-    queries: DataFrame, items: DataFrame, k: int = 20, query_blocks: int | None = None, item_blocks: int | None = None, positive: bool = True,
-    block_bytes: int = 16 << 20,
+    queries: DataFrame, items: DataFrame, k: int = 20, query_blocks: int | None = None, positive: bool = True,
+    block_rows: int = 4096, pivots: int = 64, block_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """Exact, exhaustive best ``k`` items per question by dot product over whole tables.
+    """Exact best ``k`` items per question by dot product, without the blocks of items that cannot hold one.
 
-    Both sides are hashed into blocks and every block pair is one matrix product, so memory per task is one
-    block of each side; each pair passes on only its best rows. Without given counts a side has as many blocks as keep one
-    at ``block_bytes``: their number follows the data, their size does not.
+    Items lie in blocks by nearest direction of a pivot and length. A question first opens the most likely blocks until they hold ``k``
+    items; the ``k``-th score found there stops all blocks whose bound is lower. An opened block is one matrix product with a group of its
+    questions, so a task holds one block and one group. Block and group sizes are fixed; their number follows the data, and so
+    does the number of pivots up to ``pivots``.
     ``queries``: (query_id, vector); ``items``: (item_id, vector).
     """
-    query_blocks, item_blocks = query_blocks or _blocks(queries, block_bytes), item_blocks or _blocks(items, block_bytes)
-    q = queries.select(
-        "query_id", vx.as_double(F.col("vector")).alias("vector"),
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("ib"),
-    )
-    i = items.select(
-        "item_id", vx.as_double(F.col("vector")).alias("vector"),
-        F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>")).alias("qb"),
-    )
-    kinds = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
-    partial = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(
-        _block_scores(k, positive), f"query_id {kinds[0]}, item_id {kinds[1]}, score double"
-    )
-    return top_per(partial, ["query_id"], [F.desc(F.round("score", 9)), F.asc("item_id")], k)
+    points = _pivots(items, min(pivots, -(-4 * items.count() // block_rows)))
+    if not len(points):
+        return top_per(queries.join(items.select("item_id"), F.lit(False)).select("query_id", "item_id", F.lit(0.0).alias("score")), ["query_id"], [F.asc("item_id")], k)
+    queries = cut_lineage(queries.select("query_id", vx.as_double(F.col("vector")).alias("vector")))
+    bytes_ = queries.agg(F.sum(F.size("vector").cast("bigint") * 8)).first()[0] or 0
+    query_blocks = query_blocks or max(1, -(-bytes_ // block_bytes))
+    blocks = cut_lineage(norm_blocks(items, points, block_rows))
+    first, rest = opened_blocks(queries, blocks, points, k, positive, query_blocks)
+    found = first.unionByName(_open_blocks(rest, queries, blocks, query_blocks, k, positive))
+    return top_per(found, ["query_id"], [F.desc(F.round("score", 9)), F.asc("item_id")], k)
+
+
+def opened_blocks(queries: DataFrame, blocks: DataFrame, points: np.ndarray, k: int, positive: bool, query_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Best rows of the blocks that are opened first, and the (query, block) rows that their ``k``-th score leaves open."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("likely"), *BLOCK)
+    bounds = block_bounds(queries, blocks, points).withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = cut_lineage(_open_blocks(bounds.filter(F.col("before") < k), queries, blocks, query_blocks, k, positive))
+    worst = top_per(first, ["query_id"], [F.desc("score")], k, "place").filter(F.col("place") == k).select("query_id", F.col("score").alias("worst"))
+    # the slack covers rounding of bounds and products, in proportion to them, and scores that agree to nine digits
+    slack = 1e-8 + 1e-9 * (F.abs("bound") + F.abs("worst"))
+    reach = F.col("worst").isNull() | (F.col("bound") >= F.col("worst") - slack)
+    rest = bounds.filter(F.col("before") >= k).join(worst, "query_id", "left").filter(reach)
+    return first, rest.filter(F.col("bound") > -1e-8) if positive else rest
 
 
 def scoped_top_k(queries: DataFrame, items: DataFrame, score: Column, k: int, scope: Sequence[str] = ("conv_id",)) -> DataFrame:
