@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+UNSEEN = re.compile(r"""(?<![\w-])style\s*=\s*(?:"[^"]*|'[^']*|)display\s*:\s*none""", re.I)
 SPACES = re.compile(r"\s+")
 LETTERS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # Fixed values of HTML: elements without content, elements whose content is not text, elements inside a line, what a new element closes, and what may stand in a head.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span",
     "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
+    "math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "mstyle", "mspace", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "mover", "munder", "munderover", "mtable", "mtr", "mtd",
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 IN_HEAD = {"html", "head", "base", "link", "meta", "title", "script", "style", "noscript", "template"}
@@ -27,9 +33,18 @@ NOISE_TAGS = {"nav", "footer", "aside", "form", "button", "select", "dialog", "m
 NOISE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead",
     "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "reply", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored",
-    "subscribe", "toolbar", "widget", "contentinfo", "complementary", "search",
+    "subscribe", "toolbar", "widget", "contentinfo", "complementary", "search", "adv", "cookiebar",
 }
 HEADER_WORDS = {"header", "masthead"}
+#: Words that say where or in what shape a thing stands, not what it is about.
+LAYOUT_WORDS = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "center", "col", "column", "container", "content", "count", "div", "form", "grid", "group", "icon", "icons", "inline",
+    "inner", "item", "items", "large", "left", "link", "links", "list", "main", "media", "module", "outer", "page", "panel", "post", "posts", "reader", "right", "row", "section", "signup", "site", "slot", "small", "sticky", "stories",
+    "story", "text", "thread", "title", "top", "unit", "user", "wrap", "wrapper",
+}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold text themselves: what names them need not say what they are for.
+TEXTUAL = {*HEADINGS, "p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figure", "figcaption", "caption"}
 WHOLE = {"html", "body", "main", "article"}
 
 
@@ -42,14 +57,31 @@ class Block:
     noise: bool
 
 
-def noisy(tag: str, words: set[str], inside: bool) -> bool:
-    """Whether an element starts something that is not the article; a header inside the article belongs to it, and what the
-    classes of the page as a whole say is about its layout."""
+def noisy(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element starts something that is not the article.
+
+    Hidden elements and those of ``NOISE_TAGS`` do, and headers outside the article. Outside it, containers do whose class, id or role has a word
+    of ``NOISE_WORDS``. Inside it, and for elements of text and lines anywhere, a name as a whole must be about noise: ``share-bar``
+    is, ``share-price`` is not. Ids of headings repeat their text and say nothing; what the classes of the page as a whole say is about its layout.
+    """
     if tag in WHOLE:
         return False
-    if inside:
-        words = words - HEADER_WORDS
-    return tag in NOISE_TAGS or (tag == "header" and not inside) or bool(words & NOISE_WORDS)
+    if tag in NOISE_TAGS or (tag == "header" and not inside):
+        return True
+    if not attributes:
+        return False
+    if HIDDEN.search(QUOTED.sub("", attributes)) or UNSEEN.search(attributes):
+        return True
+    noise = NOISE_WORDS - HEADER_WORDS if inside else NOISE_WORDS
+    whole_names = inside or tag in TEXTUAL or tag in INLINE
+    for attribute, value in ATTRIBUTE.findall(attributes):
+        if tag in HEADINGS and attribute.lower() == "id":
+            continue
+        for name in value.strip("\"'").split():
+            words = {w.lower() for w in WORDS.findall(name)}
+            if words & noise and (not whole_names or words <= noise | LAYOUT_WORDS):
+                return True
+    return False
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -57,6 +89,7 @@ def blocks_of(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, str, bool, int]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     link = 0
 
@@ -72,21 +105,28 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal link
         if text:
             parts.append(text)
-            if any(name == "a" for name, *_ in stack):
+            if opened["a"]:
                 link += len(text)
 
+    def start(tag: str, step: str, noise: bool) -> None:
+        stack.append((tag, step, noise or bool(stack) and stack[-1][2], at))
+        opened[tag] += 1
+
     def close(names: set[str], fence: set[str] = frozenset()) -> None:
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 if any(name not in INLINE for name, *_ in stack[i:]):
                     finish()
+                opened.subtract(name for name, *_ in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in fence:
                 return
 
     def leave_head(found: bool) -> None:
-        if found and any(name == "head" for name, *_ in stack):
+        if found and opened["head"]:
             close({"head"})
 
     at = 0
@@ -114,8 +154,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag in INLINE:
             if tag not in VOID and not match[3].endswith("/"):
-                words = {w for _, value in ATTRIBUTE.findall(match[3]) for w in LETTERS.findall(value.lower())} if match[3] else set()
-                stack.append((tag, "", (bool(stack) and stack[-1][2]) or bool(words & NOISE_WORDS), at))
+                start(tag, "", noisy(tag, match[3], bool(opened["article"] or opened["main"])))
             continue
         if tag not in ("br", "hr"):
             close({"p"}, {"table", "button", "object"})
@@ -125,9 +164,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         marks = [(name.lower(), value.strip("\"'").lower()) for name, value in ATTRIBUTE.findall(match[3])] if match[3] else []
-        words = {w for _, value in marks for w in LETTERS.findall(value)}
-        inside = any(name in ("article", "main") for name, *_ in stack)
         label = "".join(("#" if name == "id" else ".") + "-".join(LETTERS.findall(value)) for name, value in sorted(marks) if name != "role")
-        stack.append((tag, tag + label, (bool(stack) and stack[-1][2]) or noisy(tag, words, inside), at))
+        start(tag, tag + label, noisy(tag, match[3], bool(opened["article"] or opened["main"])))
     finish()
     return out

@@ -100,6 +100,27 @@ def test_blocks_of_layout_classes():
 DOCS = "doc_id long, text string, lang string, source string, size int"
 
 
+def test_names_inside_the_article_must_be_about_noise_as_a_whole():
+    said = lambda html: [b.text for b in blocks_of(html) if not b.noise]
+    kept = (
+        "<h2 id='search-results'>a</h2><p class='share-price'>b</p><section id='social-science'>c</section><div id='related-work'>d <span class='ad-hoc'>e</span></div>"
+        "<h2 id=comments>f</h2><p data-id='comments'>g</p><p>h <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math></p><p class='not-hidden'>i</p>"
+    )
+    want = ["a", "b", "c", "d e", "f", "g", "h x=2", "i"]
+    dropped = (
+        "<div class='share-bar'>1</div><div class='ad'>2</div><section id='comments-list'>3</section><div class='shareButtons top'>4</div><ul class='related-posts'><li>5</ul><div hidden>6</div>"
+        "<p style='color:red; display: none'>7</p><p class='ad'>8</p><div class='cookie-notice'><p>9</p></div><div class=comment-17>10</div><div id='adv-box'>11</div>"
+    )
+    assert said(f"<article>{kept}{dropped}</article>") == said(f"<main>{dropped}{kept}</main>") == want
+    outside = "<div id='topNav'>1</div><div class='cookiebar'>2</div><div class='hot-search'>3</div><p class='share-price'>b</p><h2 id='search'>a</h2>"
+    assert said(f"<body>{outside}</body>") == ["b", "a"]
+
+
+def test_deeply_nested_pages():
+    blocks = blocks_of("<div>" * 3000 + "<p>x" * 500)
+    assert len(blocks) == 500 and not any(b.noise for b in blocks)
+
+
 def test_rollups_brute_force(spark):
     rows = [(i, " ".join(["word"] * n), lang, source, 0) for i, (n, lang, source) in enumerate([(60, "en", "a"), (10, "en", "a"), (70, None, "a"), (55, "de", None), (0, "de", "b")])]
     rows += [(9, None, "en", "a", 0), rows[0]]
