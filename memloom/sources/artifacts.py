@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.operators.ordering import first_per, top_per
-from memloom.session import checkpoint_folder, own_folder
+from memloom.session import checkpoint_folder, cut_lineage, own_folder
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -88,9 +88,19 @@ def verify_files(hashes: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.select("file", F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") == F.col("expected"), "ok").otherwise("mismatch").alias("verdict"))
 
 
-def slice_rows(rows: DataFrame, order: Sequence, offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` … ``offset + limit`` of a total order, as a distributed top-k."""
-    return rows.orderBy(*order).offset(offset).limit(limit)
+def slice_rows(rows: DataFrame, order: Sequence, offset: int, limit: int, near: int = 100_000) -> DataFrame:
+    """Rows ``offset`` … ``offset + limit`` of a total order.
+
+    Slices that end within the first ``near`` rows are a distributed top-k. Farther ones are found by place: rows are sorted over all
+    tasks and stored with their place in the task, one count a task tells the rows before it, and only the slice leaves the tasks.
+    """
+    if offset + limit <= near:
+        return rows.orderBy(*order).offset(offset).limit(limit)
+    placed = cut_lineage(rows.orderBy(*order).withColumn("__place", F.monotonically_increasing_id())).withColumn("__task", F.shiftright("__place", 33))
+    earlier = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("__task").agg(F.count(F.lit(1)).alias("__rows")).select("__task", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    at = F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(counts, "__task").filter((at >= offset) & (at < offset + limit)).drop("__task", "__place", "__before")
 
 
 def first_per_question(rows: DataFrame, count: int) -> DataFrame:

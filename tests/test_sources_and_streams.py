@@ -70,6 +70,15 @@ def test_haystack_rejects_unequal_arrays(spark):
         dg.haystack_turns(bad).collect()
 
 
+def test_far_slices_are_found_by_place(spark):
+    values = [(n * 7919 % 1009 // 3, n) for n in range(1009)]
+    rows = spark.createDataFrame(values, "a int, b int").repartition(5)
+    for offset, limit in ((0, 20), (123, 400), (1000, 50), (1009, 5), (2000, 1), (300, 0)):
+        got = ar.slice_rows(rows, [F.desc("a"), F.asc("b")], offset, limit, 10)
+        want = sorted(values, key=lambda v: (-v[0], v[1]))[offset : offset + limit]
+        assert got.columns == ["a", "b"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_completeness_is_enforced(spark):
     a, b = (spark.createDataFrame(rows, "question_id string, v int") for rows in ([("q1", 1), ("q2", 2)], [("q1", 3)]))
     with pytest.raises(ValueError, match="q2"):
