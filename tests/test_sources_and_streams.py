@@ -187,3 +187,17 @@ def test_graph_store_round_trip(spark, tmp_path):
     ar.write_graph(nodes, ed.build_edges(nodes), str(tmp_path / "g"))
     back, edges = ar.read_graph(spark, str(tmp_path / "g"))
     assert back.count() == 3 and edges.filter(F.col("relation") == "SUPPORTS").count() == 1
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_table_streams_as_one_file_or_as_a_directory_of_files(spark, tmp_path, parts):
+    rows = spark.range(30).selectExpr("id AS conv_id", "'x' AS text")
+    rows.repartition(parts).write.parquet(str(tmp_path / "t.parquet"))
+    folder = tmp_path
+    if parts == 1:
+        folder = tmp_path / "file"
+        folder.mkdir()
+        next((tmp_path / "t.parquet").glob("part-*.parquet")).rename(folder / "t.parquet")
+    rows.limit(1).write.parquet(str(folder / "other.parquet"))
+    got = st.run_available(st.table_stream(spark, str(folder), "t.parquet"), str(tmp_path / "out"))
+    assert sorted(r.conv_id for r in got.collect()) == list(range(30))
