@@ -89,3 +89,10 @@ def test_ndcg_of_a_known_order(spark):
     rows = [(1, 1, 1, 0.9), (1, 2, 0, 0.8), (1, 3, 1, 0.7), (2, 4, 0, 0.1)]
     got = ca.ndcg(spark.createDataFrame(rows, "question_id int, node_id int, label int, model_score double")).collect()
     assert len(got) == 1 and abs(got[0].ndcg - (1 + 0.5) / (1 + 1 / math.log2(3))) < 1e-9
+
+
+def test_candidates_equal_to_nine_digits_keep_node_order(spark):
+    rows = spark.createDataFrame([("q", "a", 0.3), ("q", "b", 0.1 + 0.2), ("q", "c", 0.9)], "question_id string, node_id string, ce double")
+    fields = "question_id string, card_no int, card_type string, role string, role_no int, role_confidence double, role_count long, node_id string, entity string, aspect string, confidence double, size long, is_needed boolean"
+    got = ca.annotate_candidates(rows, spark.createDataFrame([], fields)).orderBy("position").collect()
+    assert [r.node_id for r in got] == ["c", "a", "b"]
