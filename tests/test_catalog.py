@@ -39,3 +39,9 @@ def test_sample_matches_duckdb(spark, name):
 
 def test_entry_returns_rows(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_order_hierarchy_is_built_once_a_call(spark):
+    df = entry.queries()["hierarchy_features_F04"](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
