@@ -424,3 +424,21 @@ def test_pipeline(spark, tmp_path):
     full = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert len(full) > 50 and sum(r["n"] != 1024 for r in full) <= 1
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= wanted
+
+
+def test_packing_does_not_shuffle_ids(spark):
+    rows = [(i, "a few words " * 20, "en", f"source {i % 30}") for i in range(600)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+        plan = packing.pack_documents(docs_of(spark, rows).repartition(8))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_the_encoder_forgets_words_between_tasks():
+    encode = document_encoder()
+    encode("some plain words")
+    encode.forget()
+    assert not encode.ordinary.words and len(encode("some plain words")) > 0
