@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from memloom.catalog import query
 from memloom.catalog.expansion import POOL_SQL, SEED_SQL, SEEDS, pool, questions, seeded
-from memloom.catalog.retrieval import BENCH_SQL, bench_hits
+from memloom.catalog.retrieval import BENCH_SQL, bench_hits, bench_postings
 from memloom.functions import text as tx
 from memloom.operators import expansion as ex
 from memloom.operators import metrics as me
+from memloom.operators.ordering import first_per
 from memloom.sources import tables as tb
+from memloom.sources.artifacts import written
 
 MEANS = ["hit", "recall", "full_cover"]
 GOLD_SQL = "gold AS (SELECT b.item_id AS q, d.doc_id AS e FROM benchmark b JOIN documents d ON contains(d.text, b.text)),"
@@ -30,17 +32,18 @@ BENCH_ROWS = "WITH " + BENCH_SQL + "," + GOLD_SQL + _rows_sql("bhit", 20)
 def bench_gold(spark, d):
     """Documents that contain a benchmark passage verbatim.
 
-    A document that contains a passage contains its inner words as whole tokens, so candidates come from an equi
-    join on the passage's longest inner word (passages have at least three words) and are then compared in full.
+    A document that contains a passage contains its inner words as whole tokens, so candidates are the documents that hold the
+    passage's rarest inner word (passages have at least three words); only their texts are read and compared in full.
     """
     b, docs = tb.table(spark, d, "benchmark"), tb.table(spark, d, "documents")
-    words = tx.raw_tokens("text")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    word = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    keyed = b.select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"), word.alias("word"))
-    tokens = docs.select("doc_id", F.explode(tx.raw_tokens("text")).alias("word"))
-    pairs = tokens.join(keyed.select("question_id", "word"), "word").select("question_id", "doc_id").distinct()
-    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("question_id", "passage"), "question_id").filter(
+    held = bench_postings(spark, d)
+    words = tx.lexical_tokens("text")
+    inner = b.select(F.col("item_id").alias("question_id"), F.explode(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))).alias("term"))
+    frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = written(first_per(inner.join(frequency, "term"), ["question_id"], ["df", "term"], ["term"]))
+    candidates = written(held.join(rarest, "term").select("question_id", "doc_id"))
+    passages = b.select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"))
+    return candidates.join(docs.select("doc_id", "text"), "doc_id").join(passages, "question_id").filter(
         F.col("text").contains(F.col("passage"))).select("question_id", F.col("doc_id").alias("evidence"))
 
 
