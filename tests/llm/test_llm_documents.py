@@ -442,3 +442,13 @@ def test_the_encoder_forgets_words_between_tasks():
     encode("some plain words")
     encode.forget()
     assert not encode.ordinary.words and len(encode("some plain words")) > 0
+
+
+def test_the_encoder_encodes_whole_texts_where_words_are_ever_new():
+    encode, whole = document_encoder(), document_encoder().ordinary.encode
+    repeated, new = ([" ".join(f"w{(n * 1000 + i) % most}x" for i in range(1000)) for n in range(130)] for most in (3000, 10**9))
+    for texts, plain in ((repeated, False), (new, True)):
+        encode.forget()
+        assert all(encode(t).tolist() == whole(t) for t in texts)
+        assert encode.ordinary.whole is plain and bool(encode.ordinary.words) is not plain
+    encode.forget()
