@@ -201,3 +201,25 @@ def test_a_table_streams_as_one_file_or_as_a_directory_of_files(spark, tmp_path,
     rows.limit(1).write.parquet(str(folder / "other.parquet"))
     got = st.run_available(st.table_stream(spark, str(folder), "t.parquet"), str(tmp_path / "out"))
     assert sorted(r.conv_id for r in got.collect()) == list(range(30))
+
+
+def test_versions_are_made_of_plain_rows():
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    made = st.Versions(None)
+    made.init(Handle())
+    rows = lambda *found: iter([st.Row(at=a, state_id=i, value=v) for a, i, v in found])
+    first = list(made.handleInputRows(("e", "x"), rows((50, 2, 7), (10, 1, 5)), None))
+    assert [tuple(r) for r in first] == [("e", "x", 1, 5, 10, 50, 2, 0), ("e", "x", 2, 7, 50, None, None, 0)]
+    assert [tuple(r) for r in made.handleInputRows(("e", "x"), rows((20, 3, 1), (60, 4, 2)), None)] == [("e", "x", 2, 7, 50, 60, 4, 1), ("e", "x", 4, 2, 60, None, None, 1)]
