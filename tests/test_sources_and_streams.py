@@ -223,3 +223,51 @@ def test_versions_are_made_of_plain_rows():
     first = list(made.handleInputRows(("e", "x"), rows((50, 2, 7), (10, 1, 5)), None))
     assert [tuple(r) for r in first] == [("e", "x", 1, 5, 10, 50, 2, 0), ("e", "x", 2, 7, 50, None, None, 0)]
     assert [tuple(r) for r in made.handleInputRows(("e", "x"), rows((20, 3, 1), (60, 4, 2)), None)] == [("e", "x", 2, 7, 50, 60, 4, 1), ("e", "x", 4, 2, 60, None, None, 1)]
+
+
+def test_sessions_are_made_of_plain_rows():
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def put(self, value):
+            self.value = value
+
+        update = put
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        timers = []
+
+        def getListState(self, name, schema):
+            return Held()
+
+        getValueState = getListState
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def deleteTimer(self, timer):
+            self.timers.remove(timer)
+
+        def registerTimer(self, timer):
+            self.timers.append(timer)
+
+    class Passed:
+        def getCurrentWatermarkInMs(self):
+            return 100_000
+
+    made = st.Sessions("30 seconds")
+    made.init(Handle())
+    second = 1_000_000
+    rows = [st.Row(at=n * second, speaker=who) for n, who in ((200, "b"), (10, "a"), (40, None), (175, "a"))]
+    got = [tuple(r) for r in made.handleInputRows(("c",), iter(rows), Passed())]
+    assert got == [("c", 10 * second, 40 * second, 2, 1, True, 0), ("c", 175 * second, 200 * second, 2, 2, False, 0)]
+    assert Handle.timers == [230_001]
