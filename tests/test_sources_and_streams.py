@@ -1,4 +1,6 @@
 import datetime
+import gzip
+import hashlib
 import json
 import random
 
@@ -271,3 +273,21 @@ def test_sessions_are_made_of_plain_rows():
     got = [tuple(r) for r in made.handleInputRows(("c",), iter(rows), Passed())]
     assert got == [("c", 10 * second, 40 * second, 2, 1, True, 0), ("c", 175 * second, 200 * second, 2, 2, False, 0)]
     assert Handle.timers == [230_001]
+
+
+def test_long_files_are_hashed_split_by_split(spark, tmp_path):
+    rng, mark = random.Random(3), b"\xef\xbb\xbf"
+    files = {"random": rng.randbytes(200_000), "a {b}%20é": rng.randbytes(70_001), "line ends": b"\n" * 20_000, "no last end": b"ab\r\ncd" * 4000, "last end": b"ab\ncd\n" * 4000, "mark": mark + b"ab\n" * 6000,
+             "mark, no end": mark + b"a\nb" * 6000, "marks only": mark * 6000, "no line": bytes(90_000), "short": b"x\n", "packed.gz": gzip.compress(rng.randbytes(3500))}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    before = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    # a task that takes a longer file whole fails
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "16384")
+    try:
+        got = {row.file: (row.length, row.sha256) for row in ar.file_hashes(spark, str(tmp_path), piece=16384).collect()}
+    finally:
+        for key, setting in before.items():
+            spark.conf.set(key, setting)
+    assert got == {name: (len(content), hashlib.sha256(content).hexdigest()) for name, content in files.items()}
