@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,14 +45,29 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts.cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
 
 
-def shift(ts: Column, amount: Column, unit: Column) -> Column:
-    """Calendar shift: months and years clamp to the month end, hours to weeks add time."""
+def shift_parts(amount: Column, unit: Column) -> tuple[Column, Column]:
+    """Months or, for hours to weeks, seconds of an amount; both null for any other unit."""
     months = F.when(unit == "month", amount).when(unit == "year", amount * 12)
     seconds = F.when(unit == "hour", amount * 3600).when(unit == "day", amount * 86400).when(unit == "week", amount * 604800)
+    return months.cast("int"), F.round(seconds).cast("bigint")
+
+
+def shift(ts: Column, amount: Column, unit: Column) -> Column:
+    """Calendar shift: months and years clamp to the month end, hours to weeks add time."""
+    months, seconds = shift_parts(amount, unit)
     day = F.to_date(ts)
-    moved = F.date_diff(F.add_months(day, months.cast("int")), day)
-    return F.when(months.isNotNull(), F.timestamp_add("DAY", moved.cast("bigint"), ts)).when(
-        seconds.isNotNull(), F.timestamp_add("SECOND", F.round(seconds).cast("bigint"), ts))
+    moved = F.date_diff(F.add_months(day, months), day)
+    return F.when(months.isNotNull(), F.timestamp_add("DAY", moved.cast("bigint"), ts)).when(seconds.isNotNull(), F.timestamp_add("SECOND", seconds, ts))
+
+
+def moved(at: np.ndarray, months: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """``shift`` of microseconds inside a task, by its parts; one of them is 0."""
+    day = at.astype("M8[us]").astype("M8[D]")
+    month = day.astype("M8[M]")
+    target = month + months.astype("m8[M]")
+    last = (target + 1).astype("M8[D]") - 1
+    other = np.minimum(target.astype("M8[D]") + (day - month.astype("M8[D]")), last)
+    return at + (other - day).astype("m8[us]").astype("int64") + seconds * 1_000_000
 
 
 def word_number(word: Column) -> Column:

@@ -1,4 +1,6 @@
-from datetime import datetime
+import calendar
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +125,54 @@ def test_propagation_composes_hops_and_reports_conflicts(spark):
     known, conflicts = tp.propagate(times, links)
     assert {(r.question_id, r.event_id): r.at for r in known.collect()}[("q", "c")] == when("2023-06-15")
     assert [(r.question_id, r.event_id) for r in conflicts.collect()] == [("p", "b")]
+
+
+def moved(at, amount, unit):
+    """A calendar shift by hand."""
+    if unit in ("month", "year"):
+        months = at.year * 12 + at.month - 1 + amount * (12 if unit == "year" else 1)
+        last = calendar.monthrange(months // 12, months % 12 + 1)[1]
+        return at.replace(year=months // 12, month=months % 12 + 1, day=min(at.day, last))
+    return at + timedelta(hours=amount * {"hour": 1, "day": 24, "week": 168}[unit])
+
+
+def spread(times, links):
+    """Rounds over one question by hand."""
+    known = {}
+    for event, at in times:
+        known[event] = min(at, known.get(event, at))
+    both = [(a, e, n, u) for e, a, n, u in links] + [(e, a, -n, u) for e, a, n, u in links]
+    fresh = dict(known)
+    while fresh:
+        reached = [(b, moved(fresh[a], n, u)) for a, b, n, u in both if a in fresh and b not in known and u != "moon"]
+        fresh = {b: min(t for e, t in reached if e == b) for b, _ in reached}
+        known.update(fresh)
+    wrong = {(e, a) for e, a, n, u in links if u != "moon" and e in known and a in known and moved(known[a], n, u).date() != known[e].date()}
+    return known, wrong | {(e, "absolute") for e, at in times if any(f == e and t.date() != at.date() for f, t in times)}
+
+
+def test_propagation_is_one_shuffle_and_equals_rounds_by_hand(spark):
+    rng = random.Random(8)
+    times, links = [], []
+    for q in range(300):
+        events = [f"e{q}"] + [f"e{i}" for i in range(rng.randrange(2, 9))]
+        times += [(q, rng.choice(events), datetime(2024, rng.randrange(1, 13), rng.choice([1, 28, 15]), rng.randrange(24), 5)) for _ in range(rng.randrange(4))]
+        links += [(q, rng.choice(events), rng.choice(events), rng.choice(["AFTER_OFFSET", "BEFORE_OFFSET", "SAME_TIME"]), rng.randrange(15), rng.choice(["hour", "day", "week", "month", "year", "moon"])) for _ in range(rng.randrange(9))]
+    # a chain of 60 links, over a month end each time
+    times.append((999, "c0", datetime(2024, 1, 31)))
+    links += [(999, f"c{i + 1}", f"c{i}", "AFTER_OFFSET", 1, "month") for i in range(60)]
+    t = spark.createDataFrame(times, "question_id long, event_id string, at timestamp_ntz").repartition(7)
+    l = spark.createDataFrame(links, "question_id long, event_id string, anchor_event_id string, relation string, offset_value int, offset_unit string").repartition(7)
+    spark.sparkContext.setJobGroup("propagation", "propagation")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        known, conflicts = tp.propagate(t, l)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("propagation")) < 10
+    signed = {"AFTER_OFFSET": 1, "BEFORE_OFFSET": -1, "SAME_TIME": 0}
+    want = {q: spread([(e, at) for k, e, at in times if k == q], [(e, a, signed[r] * n, u) for k, e, a, r, n, u in links if k == q]) for q in {r[0] for r in times + links}}
+    assert sorted(map(tuple, known.collect())) == sorted((q, e, at) for q, (found, _) in want.items() for e, at in found.items())
+    assert {tuple(r) for r in conflicts.collect()} == {(q, *pair) for q, (_, wrong) in want.items() for pair in wrong}
