@@ -75,7 +75,7 @@ def _(spark, d):
 SELECT s.q AS question_id, 1::BIGINT AS gold, max((f.turn_id = qs.gold)::INT)::BIGINT AS matched, sum(len(string_split(trim(f.text), ' ')) + len(string_split(trim(r.text), ' ')))::BIGINT AS tokens, 2.0::DOUBLE AS path_len
 FROM seeds s JOIN qs ON qs.q = s.q JOIN facts f ON f.node_id = s.doc JOIN raws r ON r.node_id = f.raw_id GROUP BY s.q""")
 def _(spark, d):
-    q, nodes, _, hits = found(spark, d)
+    q, nodes, _, hits = found(spark, d, 100)
     paths = hits.filter(F.col("rank") <= SEEDS).select("question_id", "conv_id", "rank", F.array("node_id", F.regexp_replace("node_id", ":fact:", ":raw:")).alias("node_ids"))
     gold = q.select("question_id", F.col("gold_turn").alias("evidence"))
     return me.retrieval_rows(q, paths, nodes, gold, SEEDS).select("question_id", "gold", "matched", "tokens", "path_len")

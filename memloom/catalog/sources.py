@@ -113,7 +113,7 @@ def _(spark, d):
 
 @query("candidate_paths_round_trip_S05", "WITH " + SEED_SQL + " SELECT q AS question_id, rank::INTEGER AS rank, doc AS node_id, round(norm, 6) AS score FROM hits WHERE rank <= 100")
 def _(spark, d):
-    hits = found(spark, d)[3].select("question_id", "rank", "node_id", F.round("norm", 6).alias("score"))
+    hits = found(spark, d, 100)[3].select("question_id", "rank", "node_id", F.round("norm", 6).alias("score"))
     return dg.flatten_paths(dg.nest_paths(hits))
 
 
@@ -164,7 +164,7 @@ def _(spark, d):
 
 @query("question_path_merge_S10", "WITH " + SEED_SQL + " SELECT qs.q AS question_id, count(h.doc)::INTEGER AS paths FROM qs LEFT JOIN hits h ON h.q = qs.q AND h.rank <= 100 WHERE substr(qs.conv_id, 2)::BIGINT % 10 <> 0 GROUP BY qs.q")
 def _(spark, d):
-    q, _, _, hits = found(spark, d)
+    q, _, _, hits = found(spark, d, 100)
     items = dg.nest_paths(hits.select("question_id", "rank", "node_id"))
     asked = q.withColumn("is_abstention", F.regexp_extract("conv_id", "([0-9]+)", 1).cast("bigint") % 10 == 0)
     return ar.merge_questions(asked, items, drop_abstention=True).select("question_id", F.size("paths").alias("paths"))
